@@ -1,0 +1,23 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest side we broadcast (bytes, optimizer estimate of the projected side).
+BROADCAST_LIMIT = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (no job is run)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable: treat as large
+        return 1 << 62
+
+
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Broadcast ``df`` only when its estimated size is within ``limit``;
+    otherwise return it unchanged so the planner uses a shuffled join."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
