@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import dedupe, dedupe_sql, facts, facts_sql, packs, packs_sql
-    return [(packs, packs_sql), (facts, facts_sql), (dedupe, dedupe_sql)]
+    from . import curate, curate_sql, dedupe, dedupe_sql, facts, facts_sql, packs, packs_sql
+    return [(packs, packs_sql), (facts, facts_sql), (dedupe, dedupe_sql), (curate, curate_sql)]
 
 
 def _configured(fn):
