@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import catalog, catalog_sql, curate, curate_sql, dedupe, dedupe_sql, facts, facts_sql, packs, packs_sql
+    from . import (catalog, catalog_sql, curate, curate_sql, dedupe, dedupe_sql, facts, facts_sql, inventory,
+                   inventory_sql, packs, packs_sql)
     return [(packs, packs_sql), (facts, facts_sql), (dedupe, dedupe_sql), (curate, curate_sql),
-            (catalog, catalog_sql)]
+            (catalog, catalog_sql), (inventory, inventory_sql)]
 
 
 def _configured(fn):
