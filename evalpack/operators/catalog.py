@@ -142,3 +142,45 @@ def query_variants(query: Column) -> Column:
     stripped = F.array_join(F.filter(toks, lambda t: ~F.array_contains(stop, F.lower(t))), " ")
     first2 = F.array_join(F.slice(toks, 1, 2), " ")
     return F.array_distinct(F.filter(F.array(norm, stripped, first2), lambda v: F.trim(v) != ""))
+
+
+def fallback_search(variants: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    """Cascading search over a landed catalog.
+
+    ``variants``: ``(qid, k, variant)`` with ``k`` = 1, 2, ... in order;
+    ``docs``: ``(doc_id, text)``. A variant matches a document when every
+    token of the variant is a token of the document; each variant returns
+    its first ``limit`` matches by ``doc_id``. Variant ``k`` only runs while
+    the distinct hits of variants before it are fewer than ``limit``; hits
+    keep their first position and the result is cut to ``limit``.
+
+    Matching joins each variant on its rarest token only (document
+    frequency from a map-side combined count), then verifies the whole
+    token set, so frequent tokens never drive the join."""
+    from ..functions.text import token_set
+    vt = variants.withColumn("vt", token_set(F.col("variant")))
+    dt = docs.select("doc_id", token_set(F.col("text")).alias("dtoks"))
+    dtok = dt.select("doc_id", F.explode("dtoks").alias("tok"))
+    dfreq = dtok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    vtok = vt.filter(F.size("vt") > 0).select("qid", "k", F.explode("vt").alias("tok"))
+    rare = (vtok.join(dfreq, "tok", "left").fillna(0, ["df"])
+            .groupBy("qid", "k").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok")))
+    cand = rare.join(dtok, "tok").select("qid", "k", "doc_id")
+    verified = (cand.join(vt.select("qid", "k", "vt"), ["qid", "k"]).join(dt, "doc_id")
+                .filter(F.size(F.array_except("vt", "dtoks")) == 0).select("qid", "k", "doc_id"))
+    # a variant without tokens matches every document: its first ``limit`` documents
+    first_docs = docs.select("doc_id").orderBy("doc_id").limit(limit).withColumn("_e", F.lit(True))
+    empty = (vt.filter(F.size("vt") == 0).select("qid", "k", F.lit(True).alias("_e"))
+             .join(first_docs, "_e").select("qid", "k", "doc_id"))
+    w = Window.partitionBy("qid", "k").orderBy("doc_id")
+    hits = (verified.unionByName(empty).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit))
+    first = hits.groupBy("qid", "doc_id").agg(F.min_by(F.struct("k", "r"), "k").alias("f")) \
+        .select("qid", "doc_id", F.col("f.k").alias("first_k"), F.col("f.r").alias("first_r"))
+    per_k = first.groupBy("qid", "first_k").agg(F.count(F.lit(1)).alias("n"))
+    wk = Window.partitionBy("qid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    ran = (variants.select("qid", "k").join(per_k.withColumnRenamed("first_k", "k"), ["qid", "k"], "left")
+           .withColumn("before", F.coalesce(F.sum("n").over(wk), F.lit(0)))
+           .filter(F.col("before") < limit).select("qid", F.col("k").alias("first_k")))
+    kept = first.join(ran, ["qid", "first_k"])
+    wr = Window.partitionBy("qid").orderBy("first_k", "first_r")
+    return kept.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= limit)

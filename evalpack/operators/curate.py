@@ -165,15 +165,18 @@ def gap_fields(missing: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(missing, lambda s: F.element_at(mapping, s))))
 
 
-def merge_missing(original: Column, completion: Column, fields: list[str]) -> Column:
+def merge_missing(original: Column, completion: Column, fields: list[str],
+                  allowed: Column | None = None) -> Column:
     """JSON object text: the original plus each listed field that is absent
     from the original (a JSON null counts as present) and present in the
-    completion. Never overwrites; other completion keys are ignored."""
+    completion. Never overwrites; other completion keys are ignored.
+    ``allowed`` (array<string>) narrows the fields per row."""
     c = F.try_parse_json(completion)
     okeys = F.coalesce(F.json_object_keys(original), F.array().cast("array<string>"))
     ckeys = F.coalesce(F.json_object_keys(completion), F.array().cast("array<string>"))
     frags = F.array_compact(F.array(*[
-        F.when(~F.array_contains(okeys, f) & F.array_contains(ckeys, f),
+        F.when(~F.array_contains(okeys, f) & F.array_contains(ckeys, f)
+               & (F.array_contains(allowed, f) if allowed is not None else F.lit(True)),
                F.concat(F.lit(json.dumps(f) + ":"), F.to_json(F.try_variant_get(c, f"$.{f}", "variant"))))
         for f in fields]))
     body = F.regexp_replace(F.trim(original), r"\}\s*$", "")

@@ -146,3 +146,17 @@ def source_quota(spark, sf):
     u = _hub(spark, sf).unionByName(_repo(spark, sf))
     q = ct.source_quota(u, TOP_N)
     return q.select("source", F.col("rank").cast("int").alias("rank"), "seq", "id")
+
+
+SEARCH_LIMIT = 5
+
+
+def fallback_search(spark, sf):
+    """Each benchmark text is a query; its variants search the documents."""
+    b = table(spark, sf, "benchmark")
+    v = b.select(F.col("item_id").alias("qid"), F.posexplode(ct.query_variants(F.col("text"))).alias("pos", "variant")) \
+        .select("qid", (F.col("pos") + 1).alias("k"), "variant")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    r = ct.fallback_search(v, docs, SEARCH_LIMIT)
+    return r.select(F.col("qid").alias("item_id"), F.col("rank").cast("int").alias("rank"), "doc_id",
+                    F.col("first_k").cast("int").alias("variant_k"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import dims
 from ..functions.text import sql_str
-from .catalog import HUB_LICENSE, TOP_N
+from .catalog import HUB_LICENSE, SEARCH_LIMIT, TOP_N
 from .packs_sql import _ldo
 
 LIC_LINE = r"NULLIF(trim(regexp_extract(text, '(?m)^[^\n]*[Ll]icen[cs]e[^\n]*', 0)), '')"
@@ -134,6 +134,22 @@ SELECT key, min(seq) AS position, max(seq) AS last_seq, arg_max(title, seq) AS t
 FROM (SELECT 'repo:' || languages[1] || '/' || tags[2] AS key, * FROM repo) r GROUP BY key"""
     q["catalog_topk"] = f"""WITH {HUB}, {_cand_profile()}
 SELECT page_id, readiness_level, completeness FROM cp ORDER BY readiness_level DESC, completeness DESC, page_id LIMIT {TOP_N}"""
+    q["fallback_search"] = f"""WITH v AS (
+  SELECT item_id, CAST(generate_subscripts(v, 1) AS INTEGER) AS k, unnest(v) AS variant FROM (
+    SELECT item_id, {variants} AS v FROM (
+      SELECT item_id, norm, array_to_string(list_filter(toks, lambda t: NOT list_contains({stop}, lower(t))), ' ') AS stripped,
+        array_to_string(toks[1:2], ' ') AS first2 FROM (
+        SELECT item_id, norm, list_filter(string_split(norm, ' '), lambda x: x <> '') AS toks FROM (
+          SELECT item_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM benchmark) a) b) c) d),
+vt AS (SELECT item_id, k, list_distinct(regexp_extract_all(lower(variant), '[a-z0-9]+')) AS vt FROM v),
+dt AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS dt FROM documents),
+hits AS (SELECT * FROM (SELECT vt.item_id, vt.k, dt.doc_id, row_number() OVER (PARTITION BY vt.item_id, vt.k ORDER BY dt.doc_id) AS r
+  FROM vt JOIN dt ON list_has_all(dt.dt, vt.vt)) x WHERE r <= {SEARCH_LIMIT}),
+firsts AS (SELECT item_id, doc_id, min(k) AS first_k, arg_min(r, k) AS first_r FROM hits GROUP BY item_id, doc_id),
+ran AS (SELECT v.item_id, v.k FROM v WHERE (SELECT count(*) FROM firsts f WHERE f.item_id = v.item_id AND f.first_k < v.k) < {SEARCH_LIMIT})
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(first_k AS INTEGER) AS variant_k FROM (
+  SELECT f.*, row_number() OVER (PARTITION BY f.item_id ORDER BY f.first_k, f.first_r) AS rank
+  FROM firsts f JOIN ran ON f.item_id = ran.item_id AND f.first_k = ran.k) y WHERE rank <= {SEARCH_LIMIT}"""
     quota = max(1, -(-TOP_N // 2))
     q["source_quota"] = f"""WITH {HUB}, {REPO}
 SELECT source, CAST(rank AS INTEGER) AS rank, seq, id FROM (

@@ -185,3 +185,6 @@ FROM (SELECT c_custkey, c_name AS name,
   coalesce(CASE WHEN c_acctbal > 5000 THEN 'seeded' WHEN c_acctbal > 0 THEN 'from-scratch' END, 'from-scratch') AS mode,
   CASE WHEN c_acctbal > 8000 THEN 'seeds.jsonl' END AS seeds FROM customer) s"""
     return q
+
+
+ROWS_ONLY = ["closed_loop_lift"]
