@@ -169,9 +169,10 @@ def fallback_search(variants: DataFrame, docs: DataFrame, limit: int) -> DataFra
     verified = (cand.join(vt.select("qid", "k", "vt"), ["qid", "k"]).join(dt, "doc_id")
                 .filter(F.size(F.array_except("vt", "dtoks")) == 0).select("qid", "k", "doc_id"))
     # a variant without tokens matches every document: its first ``limit`` documents
-    first_docs = docs.select("doc_id").orderBy("doc_id").limit(limit).withColumn("_e", F.lit(True))
-    empty = (vt.filter(F.size("vt") == 0).select("qid", "k", F.lit(True).alias("_e"))
-             .join(first_docs, "_e").select("qid", "k", "doc_id"))
+    # (attached as a scalar subquery: at most ``limit`` ids)
+    first_docs = docs.select("doc_id").orderBy("doc_id").limit(limit).agg(F.collect_list("doc_id").alias("ids"))
+    empty = (vt.filter(F.size("vt") == 0)
+             .select("qid", "k", F.explode(first_docs.select("ids").scalar()).alias("doc_id")))
     w = Window.partitionBy("qid", "k").orderBy("doc_id")
     hits = (verified.unionByName(empty).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit))
     first = hits.groupBy("qid", "doc_id").agg(F.min_by(F.struct("k", "r"), "k").alias("f")) \

@@ -114,20 +114,30 @@ def provenance_stamp(spark, sf):
 
 def synthesis_report(spark, sf):
     """One report row: requested slots, generated, failed, first 50 failing
-    slots (a top-50, never the whole failure list) and token sums."""
+    slots (a top-50, never the whole failure list) and token sums. The two
+    single-row aggregates are stacked and folded (no join)."""
     s = _slots(spark, sf)
     main = s.agg(F.count(F.lit(1)).alias("requested"), F.count(F.when(F.col("ok"), 1)).alias("generated"),
                  F.count(F.when(~F.col("ok"), 1)).alias("failed"),
                  F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
-                 F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens")).withColumn("_k", F.lit(1))
+                 F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))
     first = (s.filter(~F.col("ok")).select("conv_id", "reason").orderBy("conv_id").limit(dims.REPORT_FAILURE_LIMIT)
-             .agg(F.array_sort(F.collect_list(F.struct("conv_id", "reason"))).alias("f")).withColumn("_k", F.lit(1)))
-    out = main.join(first, "_k", "left")
+             .agg(F.array_sort(F.collect_list(F.struct("conv_id", "reason"))).alias("f")))
+    out = fold_rows(main, first)
     return out.select("requested", "generated", "failed", "prompt_tokens", "completion_tokens",
                       F.array_join(F.transform(F.coalesce("f", F.array()), lambda x: F.concat_ws(":", x["conv_id"].cast("string"),
                                                                                              x["reason"])), ",").alias("failures"))
 
 
+def fold_rows(*frames: DataFrame) -> DataFrame:
+    """Combine single-row frames with disjoint columns into one row by
+    stacking them and taking the first non-null value of every column."""
+    stacked = frames[0]
+    for f in frames[1:]:
+        stacked = stacked.unionByName(f, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def gap_fields(spark, sf):
     p = pf.profile(documents_as_cases(spark, sf))
     return p.select("pack", F.array_join(cu.gap_fields(F.col("missing")), ",").alias("fields"))
@@ -158,10 +168,10 @@ def merge_completion(spark, sf):
 def enrichment_report(spark, sf):
     m = _merged(spark, sf)
     main = m.agg(F.count(F.lit(1)).alias("input_cases"), F.count(F.when(F.col("enriched"), 1)).alias("enriched_cases"),
-                 F.count(F.when(~F.col("enriched"), 1)).alias("failed")).withColumn("_k", F.lit(1))
+                 F.count(F.when(~F.col("enriched"), 1)).alias("failed"))
     first = (m.filter(~F.col("enriched")).select("event_id").orderBy("event_id").limit(dims.REPORT_FAILURE_LIMIT)
-             .agg(F.array_sort(F.collect_list("event_id")).alias("f")).withColumn("_k", F.lit(1)))
-    return main.join(first, "_k", "left").select(
+             .agg(F.array_sort(F.collect_list("event_id")).alias("f")))
+    return fold_rows(main, first).select(
         "input_cases", "enriched_cases", "failed", F.lit(",".join(MERGE_FIELDS)).alias("fields_targeted"),
         F.array_join(F.transform(F.coalesce("f", F.array().cast("array<bigint>")), lambda x: x.cast("string")), ",")
         .alias("failures"))
@@ -211,11 +221,11 @@ def specs(spark, sf) -> DataFrame:
 
 def _prompts(spark, sf) -> DataFrame:
     sp = specs(spark, sf)
+    # the first three seeds, attached as a scalar subquery (one row, bounded)
     seeds = (table(spark, sf, "benchmark").select("item_id", "text").orderBy("item_id").limit(dims.SEED_EXAMPLES)
              .agg(F.array_sort(F.collect_list(F.struct("item_id", F.to_json(F.struct("item_id", "text")).alias("j"))))
-                  .alias("ex"))
-             .withColumn("_k", F.lit(1)))
-    j = sp.withColumn("_k", F.lit(1)).join(seeds, "_k", "left")
+                  .alias("ex")))
+    j = sp.withColumn("ex", seeds.select("ex").scalar())
     rows = j.select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("idx"))
     seeded = (F.col("mode") == "seeded") & (F.size(F.coalesce("ex", F.array())) > 0)
     system = F.concat(F.lit("You generate synthetic cases for agent evaluation.\nIndustry: "), F.col("industry"),

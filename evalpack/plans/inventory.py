@@ -90,9 +90,10 @@ def portfolio_totals(spark, sf):
     wf = a.select(F.explode("workflows").alias("w"))
     totals = a.agg(F.sum("records").alias("records"), F.count_distinct("domain").alias("active_domains"),
                    F.coalesce(F.round(F.avg("coverage")).cast("int"), F.lit(0)).alias("avg_coverage"),
-                   F.count(F.lit(1)).alias("assets")).withColumn("_k", F.lit(1))
-    w = wf.agg(F.count_distinct("w").alias("workflows")).withColumn("_k", F.lit(1))
-    return totals.join(w, "_k").select("records", "active_domains", "workflows", "avg_coverage", "assets")
+                   F.count(F.lit(1)).alias("assets"))
+    w = wf.agg(F.count_distinct("w").alias("workflows"))
+    from .curate import fold_rows
+    return fold_rows(totals, w).select("records", "active_domains", "workflows", "avg_coverage", "assets")
 
 
 def facet_counts(spark, sf):
