@@ -81,3 +81,18 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def report_json(df: DataFrame) -> Column:
     """JSON text of a one-row report frame's row."""
     return F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+
+
+def read_macro_csv(spark: SparkSession, path: str, indicator_id: str) -> DataFrame:
+    """Macro series CSV: the date column is ``DATE`` or ``observation_date``;
+    ``.`` or an empty cell is a missing value; non-finite values are
+    dropped. Adds ``pos`` (file order) for last-N selection."""
+    raw = read_csv(spark, path).withColumn("pos", F.monotonically_increasing_id())
+    cols = set(raw.columns)
+    date = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("DATE", "observation_date") if c in cols]) \
+        if cols & {"DATE", "observation_date"} else F.lit(None).cast("string")
+    v = F.col(f"`{indicator_id}`") if indicator_id in cols else F.lit("")
+    value = F.when(v.isin(".", ""), F.lit(None)).otherwise(v.try_cast("double"))
+    out = raw.select("pos", date.alias("date"), value.alias("value"))
+    return out.filter(F.col("date").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")
+                      & (F.abs("value") != float("inf")))
