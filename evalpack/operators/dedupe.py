@@ -6,8 +6,8 @@ kept* row (not transitive closure: with a~b, b~c, a!~c both a and c stay).
 Distributed plan
 ----------------
 1. **Exact copies first.** Rows whose token set (or vector) is identical are
-   grouped on the set itself (no hash, so no collisions) with a map-side
-   combined ``groupBy``; the
+   grouped on a SHA-256 of the sorted set (vectors: on the vector itself)
+   with a map-side combined ``groupBy``; the
    earliest row of each group is its representative. Every later copy is
    dropped whatever happens (it is similar 1.0 to the representative, and
    similar to anything the representative is similar to), so a group of
@@ -54,9 +54,22 @@ def exact_groups(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
 
 
 def token_table(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``(id, tokens array<string>, n)`` with distinct sorted tokens."""
+    """``(id, tokens array<string>, n, key)`` with distinct sorted tokens;
+    ``key`` is the SHA-256 of the sorted tokens joined by a blank (tokens
+    have no blanks, so the key identifies the set)."""
     toks = F.array_sort(token_set(text))
-    return rows.select(F.col(id_col).alias("id"), toks.alias("tokens")).withColumn("n", F.size("tokens"))
+    return (rows.select(F.col(id_col).alias("id"), toks.alias("tokens"))
+            .withColumn("n", F.size("tokens"))
+            .withColumn("key", F.sha2(F.array_join("tokens", " "), 256)))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint to the
+    session's checkpoint directory (persisted first so it is computed once)."""
+    df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def jaccard_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -65,8 +78,8 @@ def jaccard_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float)
     ``pairs``: ``(a, b, jaccard)`` with ``a < b`` and Jaccard >= threshold,
     between representatives, plus ``(rep, copy)`` rows with Jaccard 1.0 for
     exact copies. ``groups``: ``(id, rep)``."""
-    toks = token_table(rows, id_col, text)
-    groups = exact_groups(toks.withColumnRenamed("id", id_col), id_col, F.col("tokens"))
+    toks = materialize(token_table(rows, id_col, text))
+    groups = exact_groups(toks.withColumnRenamed("id", id_col), id_col, F.col("key"))
     reps = toks.join(groups.filter(F.col("id") == F.col("rep")).select("id"), "id")
     # document frequency of every token over representatives (map-side combined)
     exploded = reps.select("id", "n", F.explode("tokens").alias("tok"))
@@ -93,10 +106,12 @@ def jaccard_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float)
     return verified.unionByName(copies), groups
 
 
-def _unit(vec: Column) -> Column:
+def _unit(vec: Column, dim: int) -> Column:
+    """Unit vector (double) for vectors of length ``dim`` with a non-zero
+    norm, else NULL."""
     v = F.transform(vec, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    return F.when((F.size(vec) == dim) & (norm > 0), F.transform(v, lambda x: x / norm))
 
 
 def dot(u: Column, v: Column) -> Column:
@@ -106,11 +121,11 @@ def dot(u: Column, v: Column) -> Column:
 
 
 def cosine_pairs(rows: DataFrame, id_col: str, vec_col: str, threshold: float, dim: int,
-                 seed: int = 7) -> tuple[DataFrame, DataFrame]:
+                 seed: int = 7, salts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(pairs (a, b, cosine), groups (id, rep))`` with cosine >= threshold.
     Zero vectors and vectors of another length are never similar."""
-    units = rows.select(F.col(id_col).alias("id"), _unit(F.col(vec_col)).alias("u")).filter(
-        F.col("u").isNotNull() & (F.size("u") == dim))
+    units = rows.select(F.col(id_col).alias("id"), _unit(F.col(vec_col), dim).alias("u")).filter(
+        F.col("u").isNotNull())
     groups = exact_groups(units.withColumnRenamed("id", id_col), id_col, F.col("u"))
     # rows whose vector is zero or of another length stay alone
     groups = groups.unionByName(rows.select(F.col(id_col).alias("id")).join(units, "id", "left_anti")
@@ -122,11 +137,17 @@ def cosine_pairs(rows: DataFrame, id_col: str, vec_col: str, threshold: float, d
     proj = dot(F.col("u"), F.array(*[F.lit(float(x)) for x in p]))
     width = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12))
     banded = reps.withColumn("band", F.floor(proj / F.lit(width)).cast("long"))
-    a = banded.select(F.col("id").alias("a"), F.col("u").alias("ua"), F.col("band").alias("band"))
-    b = banded.select(F.col("id").alias("b"), F.col("u").alias("ub"),
-                      F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    # A dense band is all-pairs work: salt it so the work spreads over
+    # ``salts`` tasks. Each left row picks one salt, each right row is copied
+    # to every salt, so every pair is still compared exactly once.
+    salts = salts or max(1, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    a = banded.select(F.col("id").alias("a"), F.col("u").alias("ua"), F.col("band").alias("band"),
+                      F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    b = (banded.select(F.col("id").alias("b"), F.col("u").alias("ub"),
+                       F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
     sim = dot(F.col("ua"), F.col("ub"))
-    pairs = (a.join(b, "band").filter(F.col("a") < F.col("b"))
+    pairs = (a.join(b, ["band", "salt"]).filter(F.col("a") < F.col("b"))
              .select("a", "b", sim.alias("cosine")).filter(F.col("cosine") >= F.lit(threshold) - 1e-12))
     copies = groups.filter(F.col("id") != F.col("rep")).select(
         F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
@@ -137,10 +158,10 @@ def keep_first(ids: DataFrame, pairs: DataFrame, groups: DataFrame, max_rounds:
     """Greedy keep-first over the pair graph. ``ids``: ``(id)`` of all rows;
     ``pairs``: ``(a, b)`` with ``a < b``; ``groups``: ``(id, rep)``.
     Returns ``(id, kept boolean)`` for every row."""
-    edges = (pairs.join(groups.filter(F.col("id") != F.col("rep")).select(F.col("id").alias("b")), "b", "left_anti")
-             .select("a", "b").distinct().checkpoint())
+    edges = materialize(pairs.join(groups.filter(F.col("id") != F.col("rep")).select(F.col("id").alias("b")), "b",
+                                   "left_anti").select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    status = nodes.select("id", F.lit("U").alias("state")).checkpoint()
+    status = materialize(nodes.select("id", F.lit("U").alias("state")))
     for _ in range(max_rounds):
         und = status.filter(F.col("state") == "U").select("id")
         if und.isEmpty():
@@ -152,8 +173,8 @@ def keep_first(ids: DataFrame, pairs: DataFrame, groups: DataFrame, max_rounds:
         new_drop = (live.join(new_keep.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct())
         status = (status.join(new_keep.withColumn("k", F.lit(True)), "id", "left")
                   .join(new_drop.withColumn("d", F.lit(True)), "id", "left")
-                  .select("id", F.when(F.col("k"), "K").when(F.col("d"), "D").otherwise(F.col("state")).alias("state"))
-                  .checkpoint())
+                  .select("id", F.when(F.col("k"), "K").when(F.col("d"), "D").otherwise(F.col("state")).alias("state")))
+        status = materialize(status)
     copies = groups.filter(F.col("id") != F.col("rep")).select("id", F.lit("D").alias("state"))
     decided = status.unionByName(copies)
     return (ids.select("id").join(decided, "id", "left")
