@@ -179,3 +179,24 @@ def keep_first(ids: DataFrame, pairs: DataFrame, groups: DataFrame, max_rounds:
     decided = status.unionByName(copies)
     return (ids.select("id").join(decided, "id", "left")
             .select("id", (F.coalesce(F.col("state"), F.lit("K")) == "K").alias("kept")))
+
+
+class VectorCountMismatch(ValueError):
+    pass
+
+
+def attach_vectors(cases: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Join cases to their vectors 1:1 on ``key``; raise when any case has
+    no vector or any vector has no case (two small anti-join checks)."""
+    missing = cases.select(key).join(vectors.select(key), key, "left_anti").limit(1).count()
+    extra = vectors.select(key).join(cases.select(key), key, "left_anti").limit(1).count()
+    if missing or extra:
+        raise VectorCountMismatch(f"embedding/vector mismatch on {key}: cases without vector={bool(missing)}, "
+                                  f"vectors without case={bool(extra)}")
+    return cases.join(vectors, key)
+
+
+def dedupe_counters(kept: DataFrame) -> DataFrame:
+    """Rows before, after and removed by a dedupe (one aggregate)."""
+    return kept.agg(F.count(F.lit(1)).alias("before"), F.count(F.when(F.col("kept"), 1)).alias("after")) \
+        .withColumn("removed", F.col("before") - F.col("after"))

@@ -147,3 +147,10 @@ def compact_number(x: Column) -> Column:
     chosen = chosen.otherwise(F.struct(scaled(12).cast("decimal(38,2)").alias("v"), F.lit("T").alias("s")))
     num = F.regexp_replace(F.regexp_replace(chosen["v"].cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.when(x.isNull(), F.lit("n/a")).otherwise(F.concat(num, chosen["s"]))
+
+
+def valid_prices(df: DataFrame, date: str = "date", close: str = "close") -> DataFrame:
+    """Keep rows with a non-empty date and a finite close."""
+    c = F.col(close)
+    return df.filter((F.coalesce(F.col(date).cast("string"), F.lit("")) != "") & c.isNotNull() & ~F.isnan(c)
+                     & (F.abs(c) != float("inf")))

@@ -48,3 +48,9 @@ def dedupe_cosine(spark, sf):
     emb, pairs, groups = _cosine(spark, sf)
     kept = dd.keep_first(emb.select(F.col("vec_id").alias("id")), pairs, groups)
     return kept.select(F.col("id").alias("vec_id"), "kept")
+
+
+def dedupe_counters(spark, sf):
+    docs, pairs, groups = _jaccard(spark, sf)
+    kept = dd.keep_first(docs.select(F.col("doc_id").alias("id")), pairs, groups)
+    return dd.dedupe_counters(kept)

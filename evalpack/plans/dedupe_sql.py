@@ -47,6 +47,9 @@ def queries() -> dict[str, str]:
     return {
         "jaccard_pairs": f"WITH {JACCARD}\nSELECT a AS doc_a, b AS doc_b, sim AS jaccard FROM pairs",
         "dedupe_jaccard": f"WITH RECURSIVE {JACCARD},\n{WALK}\n" + KEPT.format(col="doc_id"),
+        "dedupe_counters": f"WITH RECURSIVE {JACCARD},\n{WALK},\nk AS (" + KEPT.format(col="doc_id") + ")\n"
+                           "SELECT count(*) AS before, count(*) FILTER (WHERE kept) AS after, "
+                           "count(*) - count(*) FILTER (WHERE kept) AS removed FROM k",
         "cosine_pairs": f"WITH {COSINE}\nSELECT a AS vec_a, b AS vec_b, sim AS cosine FROM pairs",
         "dedupe_cosine": f"WITH RECURSIVE {COSINE},\n{WALK}\n" + KEPT.format(col="vec_id"),
     }

@@ -148,7 +148,7 @@ def recent_filings(spark, sf):
 
 
 def window_change_pct(spark, sf):
-    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    ev = fx.valid_prices(table(spark, sf, "events").select("user_id", "event_id", "ts", "value"), "ts", "value")
     pos = ev.withColumn("pos", F.struct("ts", "event_id"))
     out = fx.window_change_pct(pos, ["user_id"], "pos", "value", newest_is_min=False)
     return out.select("user_id", "newest", "oldest", "change_pct")

@@ -73,3 +73,13 @@ def test_cosine_random_against_brute_force(spark):
         pairs, groups = dd.cosine_pairs(df, "id", "v", t, 4)
         got = dd.keep_first(df.select("id"), pairs, groups).orderBy("id").collect()
         assert [r["kept"] for r in got] == want
+
+
+def test_vectors_must_align(spark):
+    import pytest
+    cases = spark.createDataFrame([(1,), (2,)], "id long")
+    vecs = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    with pytest.raises(dd.VectorCountMismatch):
+        dd.attach_vectors(cases, vecs, "id")
+    ok = dd.attach_vectors(cases.limit(1), vecs, "id")
+    assert ok.count() == 1
