@@ -185,3 +185,16 @@ def fallback_search(variants: DataFrame, docs: DataFrame, limit: int) -> DataFra
     kept = first.join(ran, ["qid", "first_k"])
     wr = Window.partitionBy("qid").orderBy("first_k", "first_r")
     return kept.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= limit)
+
+
+def candidate_domains(cands: DataFrame, taxonomy=dims.STOCK_TAXONOMY) -> DataFrame:
+    """Industry slugs for candidates ``(pack, cand_industry_text)``: the top
+    three matches of the candidate text, without the fallback slug unless it
+    is the only one. Returns ``(pack, domains array<string>)``."""
+    from . import industry as ind
+    m = ind.keyword_matches(None, taxonomy, candidates=cands)
+    top = ind.industry_top(ind.industry_scores(m, taxonomy), cands.select("pack"), taxonomy)
+    lists = top.groupBy("pack").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "slug"))),
+                                                lambda x: x["slug"]).alias("slugs"))
+    specific = F.filter("slugs", lambda s: s != dims.INDUSTRY_FALLBACK_SLUG)
+    return lists.select("pack", F.when(F.size(specific) > 0, specific).otherwise(F.col("slugs")).alias("domains"))

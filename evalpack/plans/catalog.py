@@ -160,3 +160,18 @@ def fallback_search(spark, sf):
     r = ct.fallback_search(v, docs, SEARCH_LIMIT)
     return r.select(F.col("qid").alias("item_id"), F.col("rank").cast("int").alias("rank"), "doc_id",
                     F.col("first_k").cast("int").alias("variant_k"))
+
+
+def candidate_domains(spark, sf):
+    """Industry slugs inferred from each hub and repository candidate's text
+    (stand-in taxonomy)."""
+    from .packs import TAXONOMY
+    h = hub_items(spark, sf).select(F.concat(F.lit("hub:"), F.col("seq").cast("string")).alias("pack"),
+                                    F.concat_ws(" ", "id", F.coalesce("description", F.lit("")),
+                                                F.array_join("tags", " ")).alias("cand_industry_text"))
+    r = repo_items(spark, sf).select(F.concat(F.lit("repo:"), F.col("seq").cast("string")).alias("pack"),
+                                     F.concat_ws(" ", "full_name", F.coalesce("description", F.lit("")),
+                                                 F.array_join(F.transform("topics", lambda t: F.lower(t)), " "))
+                                     .alias("cand_industry_text"))
+    d = ct.candidate_domains(h.unionByName(r), TAXONOMY)
+    return d.select("pack", F.array_join("domains", ",").alias("domains"))

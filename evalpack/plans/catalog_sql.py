@@ -150,9 +150,35 @@ ran AS (SELECT v.item_id, v.k FROM v WHERE (SELECT count(*) FROM firsts f WHERE
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(first_k AS INTEGER) AS variant_k FROM (
   SELECT f.*, row_number() OVER (PARTITION BY f.item_id ORDER BY f.first_k, f.first_r) AS rank
   FROM firsts f JOIN ran ON f.item_id = ran.item_id AND f.first_k = ran.k) y WHERE rank <= {SEARCH_LIMIT}"""
+    q["candidate_domains"] = _candidate_domains_sql()
     quota = max(1, -(-TOP_N // 2))
     q["source_quota"] = f"""WITH {HUB}, {REPO}
 SELECT source, CAST(rank AS INTEGER) AS rank, seq, id FROM (
   SELECT source, seq, id, row_number() OVER (PARTITION BY source ORDER BY seq) AS rank FROM (
     SELECT source, seq, id FROM hub UNION ALL SELECT source, seq, id FROM repo) u) r WHERE rank <= {quota}"""
     return q
+
+
+def _candidate_domains_sql() -> str:
+    from ..operators.industry import keyword_rows
+    from .packs import TAXONOMY
+    rows = keyword_rows(TAXONOMY)
+    ids = ", ".join(f"CASE WHEN regexp_matches(lower(raw), {sql_str(r[4])}) THEN {r[0]} END" for r in rows)
+    kw = ", ".join(f"({r[0]}, {sql_str(r[1])}, {sql_str(r[2])}, {sql_str(r[3])})" for r in rows)
+    return f"""WITH {HUB}, {REPO},
+ctext AS (
+  SELECT 'hub:' || CAST(seq AS VARCHAR) AS pack, concat_ws(' ', id, coalesce(description, ''), array_to_string(tags, ' ')) AS raw FROM hub_items
+  UNION ALL SELECT 'repo:' || CAST(seq AS VARCHAR), concat_ws(' ', full_name, coalesce(description, ''), array_to_string(topics, ' ')) FROM repo_items),
+kwdim(kw_id, slug, kind, keyword) AS (VALUES {kw}),
+hits AS (SELECT DISTINCT pack, unnest(list_filter([{ids}], lambda x: x IS NOT NULL)) AS kw_id FROM ctext),
+m AS (SELECT h.pack, d.* FROM hits h JOIN kwdim d ON h.kw_id = d.kw_id),
+scores AS (SELECT * FROM (SELECT pack, slug, CAST(least(greatest(round(least(0.45, n_keywords * CAST(0.11 AS DECIMAL(10,4)))
+    + least(0.10, n_workflows * CAST(0.05 AS DECIMAL(10,4))), 4), 0), 1) AS DECIMAL(10,4)) AS confidence FROM (
+  SELECT pack, slug, count(DISTINCT CASE WHEN kind = 'keyword' THEN keyword END) AS n_keywords,
+    count(DISTINCT CASE WHEN kind = 'workflow' THEN keyword END) AS n_workflows FROM m GROUP BY pack, slug) c) s WHERE confidence > 0),
+top AS (SELECT pack, rank, slug FROM (SELECT pack, slug, row_number() OVER (PARTITION BY pack ORDER BY confidence DESC, slug) AS rank
+  FROM scores) r WHERE rank <= 3
+  UNION ALL SELECT pack, 1, 'general' FROM ctext WHERE pack NOT IN (SELECT pack FROM scores)),
+lists AS (SELECT pack, list(slug ORDER BY rank) AS slugs FROM top GROUP BY pack)
+SELECT pack, array_to_string(CASE WHEN len(list_filter(slugs, lambda s: s <> 'general')) > 0
+  THEN list_filter(slugs, lambda s: s <> 'general') ELSE slugs END, ',') AS domains FROM lists"""
