@@ -154,27 +154,39 @@ def cosine_pairs(rows: DataFrame, id_col: str, vec_col: str, threshold: float, d
     return pairs.unionByName(copies), groups
 
 
-def keep_first(ids: DataFrame, pairs: DataFrame, groups: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def keep_first(ids: DataFrame, pairs: DataFrame, groups: DataFrame, max_rounds: int = 10000,
+               checkpoint_every: int = 5) -> DataFrame:
     """Greedy keep-first over the pair graph. ``ids``: ``(id)`` of all rows;
     ``pairs``: ``(a, b)`` with ``a < b``; ``groups``: ``(id, rep)``.
-    Returns ``(id, kept boolean)`` for every row."""
+    Returns ``(id, kept boolean)`` for every row.
+
+    Each round is one job: the new state is persisted and its undecided
+    rows counted in the same pass; every ``checkpoint_every`` rounds the
+    state is checkpointed (reliable) so lineage stays short."""
     edges = materialize(pairs.join(groups.filter(F.col("id") != F.col("rep")).select(F.col("id").alias("b")), "b",
                                    "left_anti").select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     status = materialize(nodes.select("id", F.lit("U").alias("state")))
-    for _ in range(max_rounds):
+    undecided = status.count()
+    rounds = 0
+    while undecided > 0 and rounds < max_rounds:
+        rounds += 1
         und = status.filter(F.col("state") == "U").select("id")
-        if und.isEmpty():
-            break
         live = (edges.join(und.withColumnRenamed("id", "a"), "a")
                 .join(und.withColumnRenamed("id", "b"), "b"))
         blocked = live.select(F.col("b").alias("id")).distinct()
         new_keep = und.join(blocked, "id", "left_anti")
         new_drop = (live.join(new_keep.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct())
-        status = (status.join(new_keep.withColumn("k", F.lit(True)), "id", "left")
-                  .join(new_drop.withColumn("d", F.lit(True)), "id", "left")
-                  .select("id", F.when(F.col("k"), "K").when(F.col("d"), "D").otherwise(F.col("state")).alias("state")))
-        status = materialize(status)
+        nxt = (status.join(new_keep.withColumn("k", F.lit(True)), "id", "left")
+               .join(new_drop.withColumn("d", F.lit(True)), "id", "left")
+               .select("id", F.when(F.col("k"), "K").when(F.col("d"), "D").otherwise(F.col("state")).alias("state")))
+        if rounds % checkpoint_every == 0:
+            nxt = materialize(nxt)
+        else:
+            nxt = nxt.persist()
+        undecided = nxt.filter(F.col("state") == "U").count()
+        status.unpersist()
+        status = nxt
     copies = groups.filter(F.col("id") != F.col("rep")).select("id", F.lit("D").alias("state"))
     decided = status.unionByName(copies)
     return (ids.select("id").join(decided, "id", "left")
