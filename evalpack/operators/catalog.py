@@ -14,15 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import dims
 
-# Word boundary that only counts ASCII letters, digits and '_' as word
-# characters, the same on every engine.
-_W = "[A-Za-z0-9_]"
-
-
-def ascii_word(pattern: str) -> str:
-    return f"(^|[^A-Za-z0-9_])(?:{pattern})([^A-Za-z0-9_]|$)"
-
-
 def license_risk(license_name: Column, restricted_flag: Column, variant: str) -> Column:
     """Risk level from a license name; ``variant`` is ``hub`` or ``repo``
     (the repo rule does not treat cc-by as low and adds lgpl to medium)."""
@@ -39,7 +30,9 @@ def license_risk(license_name: Column, restricted_flag: Column, variant: str) ->
 
 def repo_record_kind(text: Column) -> Column:
     """benchmark / dataset / repository. The dataset pattern is an
-    alternation: ``\\bdataset`` or ``corpus\\b``."""
+    alternation: ``\\bdataset`` or ``corpus\\b``. Word boundaries are
+    written as ASCII classes so every engine agrees (``\\b`` in Java also
+    treats accented letters as word characters)."""
     t = F.lower(text)
     return (F.when(t.rlike(r"(^|[^a-z0-9_])benchmark([^a-z0-9_]|$)"), F.lit("benchmark"))
             .when(t.rlike(r"(^|[^a-z0-9_])dataset") | t.rlike(r"corpus([^a-z0-9_]|$)"), F.lit("dataset"))
