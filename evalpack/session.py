@@ -28,10 +28,15 @@ DEFAULTS = {
 }
 
 
+# Settings results depend on; always applied.
+REQUIRED = ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy")
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    """Apply ``DEFAULTS``: required ones always, the rest only when unset."""
     conf = spark.conf
     for key, value in DEFAULTS.items():
-        if key == "spark.sql.session.timeZone" or conf.get(key, None) is None:
+        if key in REQUIRED or conf.get(key, None) is None:
             conf.set(key, value)
     return spark
 
