@@ -6,7 +6,7 @@ schema: the fields are free-form and presence is what gets measured)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,21 +23,24 @@ def parse_json_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
 
 
 def read_case_lines(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Read JSONL case files into ``(source, line, raw, doc)`` rows and a
-    quarantine frame of unparsable lines ``(source, line, raw)``. ``line`` is
-    the ordinal among non-blank lines of its file. In strict mode any bad
-    line raises with its file and ordinal (one small aggregate job)."""
+    """Read JSONL case files into ``(source, seq, raw, doc)`` rows and a
+    quarantine frame of unparsable lines ``(source, seq, raw)``.
+
+    ``seq`` follows file order (monotonically increasing within a file, no
+    per-file sort, so a huge file is never pulled into one task). In strict
+    mode the first bad line raises with its file and its ordinal among the
+    non-blank lines (one top-1 and one filtered count)."""
     df = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), "value",
-                                      F.monotonically_increasing_id().alias("_pos"))
-    parsed = parse_json_lines(df)
-    w = Window.partitionBy("source").orderBy("_pos")
-    parsed = parsed.withColumn("line", F.row_number().over(w)).drop("_pos", "value")
-    good = parsed.filter("ok").select("source", "line", "raw", "doc")
-    bad = parsed.filter(~F.col("ok")).select("source", "line", "raw")
+                                      F.monotonically_increasing_id().alias("seq"))
+    parsed = parse_json_lines(df).drop("value")
+    good = parsed.filter("ok").select("source", "seq", "raw", "doc")
+    bad = parsed.filter(~F.col("ok")).select("source", "seq", "raw")
     if strict:
-        first = bad.orderBy("source", "line").limit(1).collect()
+        first = bad.orderBy("source", "seq").limit(1).collect()
         if first:
-            raise BadLinesError(f"{first[0]['source']}: invalid JSON on non-blank line {first[0]['line']}")
+            src, pos = first[0]["source"], first[0]["seq"]
+            ordinal = parsed.filter((F.col("source") == src) & (F.col("seq") <= pos)).count()
+            raise BadLinesError(f"{src}: invalid JSON on non-blank line {ordinal}")
     return good, bad
 
 
