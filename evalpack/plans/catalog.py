@@ -175,3 +175,33 @@ def candidate_domains(spark, sf):
                                      .alias("cand_industry_text"))
     d = ct.candidate_domains(h.unionByName(r), TAXONOMY)
     return d.select("pack", F.array_join("domains", ",").alias("domains"))
+
+
+def catalog_industry(spark, sf):
+    """Industry profile of each hub candidate, two passes: domains are
+    inferred from the raw item text, then the candidate is scored from its
+    searchable text (title, summary, domains, task types, modalities,
+    metadata JSON) with +0.45 for every slug among its domains."""
+    from ..operators import industry as ind
+    from .packs import TAXONOMY
+    items = hub_items(spark, sf)
+    first = items.select(F.col("seq").cast("string").alias("pack"),
+                         F.concat_ws(" ", "id", F.coalesce("description", F.lit("")), F.array_join("tags", " "))
+                         .alias("cand_industry_text"))
+    dom = ct.candidate_domains(first, TAXONOMY)
+    h = ct.normalize_hub(items).select(F.col("seq").cast("string").alias("pack"), "title", "summary", "task_types",
+                                       "modalities", "seq")
+    meta = items.select(F.col("seq").cast("string").alias("pack"),
+                        F.to_json(F.struct("author", "downloads")).alias("meta"))
+    cand = (h.join(dom, "pack").join(meta, "pack")
+            .select("pack", "seq", "domains", F.concat_ws(
+                " ", "title", F.coalesce("summary", F.lit("")), F.array_join("domains", " "),
+                F.array_join("task_types", " "), F.array_join("modalities", " "), "meta").alias("cand_industry_text")))
+    explicit = cand.select("pack", F.explode("domains").alias("slug"))
+    m = ind.keyword_matches(None, TAXONOMY, candidates=cand.select("pack", "cand_industry_text"))
+    top = ind.industry_top(ind.industry_scores(m, TAXONOMY, explicit=explicit), cand.select("pack"), TAXONOMY)
+    prof = ind.industry_profile(top, TAXONOMY)
+    conf = top.filter(F.col("rank") == 1).select("pack", F.col("confidence").cast("double").alias("confidence"))
+    return (cand.join(prof, "pack").join(conf, "pack")
+            .select(F.col("seq").alias("page_id"), F.array_join("domains", ",").alias("domains"), "primary_industry",
+                    "confidence", "is_industry_specific"))

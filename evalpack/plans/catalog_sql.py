@@ -151,6 +151,7 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(first_k AS INTEGER)
   SELECT f.*, row_number() OVER (PARTITION BY f.item_id ORDER BY f.first_k, f.first_r) AS rank
   FROM firsts f JOIN ran ON f.item_id = ran.item_id AND f.first_k = ran.k) y WHERE rank <= {SEARCH_LIMIT}"""
     q["candidate_domains"] = _candidate_domains_sql()
+    q["catalog_industry"] = _catalog_industry_sql()
     quota = max(1, -(-TOP_N // 2))
     q["source_quota"] = f"""WITH {HUB}, {REPO}
 SELECT source, CAST(rank AS INTEGER) AS rank, seq, id FROM (
@@ -182,3 +183,45 @@ top AS (SELECT pack, rank, slug FROM (SELECT pack, slug, row_number() OVER (PART
 lists AS (SELECT pack, list(slug ORDER BY rank) AS slugs FROM top GROUP BY pack)
 SELECT pack, array_to_string(CASE WHEN len(list_filter(slugs, lambda s: s <> 'general')) > 0
   THEN list_filter(slugs, lambda s: s <> 'general') ELSE slugs END, ',') AS domains FROM lists"""
+
+
+def _scores_sql(src: str, name: str, explicit: str | None = None) -> str:
+    """CTEs ``{name}_hits/_m/_scores/_top`` over ``src(pack, raw)``."""
+    from ..operators.industry import keyword_rows
+    from .packs import TAXONOMY
+    rows = keyword_rows(TAXONOMY)
+    ids = ", ".join(f"CASE WHEN regexp_matches(lower(raw), {sql_str(r[4])}) THEN {r[0]} END" for r in rows)
+    kw = ", ".join(f"({r[0]}, {sql_str(r[1])}, {sql_str(r[2])}, {sql_str(r[3])})" for r in rows)
+    ex = (f"UNION ALL SELECT pack, slug, 0, 0, true FROM {explicit}" if explicit else "")
+    return f"""{name}_kw(kw_id, slug, kind, keyword) AS (VALUES {kw}),
+{name}_hits AS (SELECT DISTINCT pack, unnest(list_filter([{ids}], lambda x: x IS NOT NULL)) AS kw_id FROM {src}),
+{name}_m AS (SELECT h.pack, d.* FROM {name}_hits h JOIN {name}_kw d ON h.kw_id = d.kw_id),
+{name}_c AS (SELECT pack, slug, max(n_keywords) AS n_keywords, max(n_workflows) AS n_workflows, bool_or(ex) AS ex FROM (
+  SELECT pack, slug, count(DISTINCT CASE WHEN kind = 'keyword' THEN keyword END) AS n_keywords,
+    count(DISTINCT CASE WHEN kind = 'workflow' THEN keyword END) AS n_workflows, false AS ex FROM {name}_m GROUP BY pack, slug
+  {ex}) u GROUP BY pack, slug),
+{name}_scores AS (SELECT * FROM (SELECT pack, slug, CAST(least(greatest(round(CASE WHEN ex THEN 0.45 ELSE 0 END
+    + least(0.45, n_keywords * CAST(0.11 AS DECIMAL(10,4))) + least(0.10, n_workflows * CAST(0.05 AS DECIMAL(10,4))), 4), 0), 1)
+    AS DECIMAL(10,4)) AS confidence FROM {name}_c) s WHERE confidence > 0),
+{name}_top AS (SELECT pack, rank, slug, confidence FROM (SELECT pack, slug, confidence,
+    row_number() OVER (PARTITION BY pack ORDER BY confidence DESC, slug) AS rank FROM {name}_scores) r WHERE rank <= 3
+  UNION ALL SELECT pack, 1, 'general', CAST(0.2 AS DECIMAL(10,4)) FROM {src} WHERE pack NOT IN (SELECT pack FROM {name}_scores))"""
+
+
+def _catalog_industry_sql() -> str:
+    return f"""WITH {HUB},
+t1 AS (SELECT CAST(seq AS VARCHAR) AS pack, concat_ws(' ', id, coalesce(description, ''), array_to_string(tags, ' ')) AS raw FROM hub_items),
+{_scores_sql('t1', 'p1')},
+dom AS (SELECT pack, CASE WHEN len(list_filter(slugs, lambda s: s <> 'general')) > 0 THEN list_filter(slugs, lambda s: s <> 'general')
+  ELSE slugs END AS domains FROM (SELECT pack, list(slug ORDER BY rank) AS slugs FROM p1_top GROUP BY pack) l),
+t2 AS (SELECT CAST(h.seq AS VARCHAR) AS pack, h.seq, d.domains, concat_ws(' ', h.title, coalesce(h.summary, ''), array_to_string(d.domains, ' '),
+    array_to_string(h.task_types, ' '), array_to_string(h.modalities, ' '),
+    to_json({{'author': i.author, 'downloads': i.downloads}})) AS raw
+  FROM hub h JOIN dom d ON CAST(h.seq AS VARCHAR) = d.pack
+  JOIN (SELECT page_id AS seq, regexp_extract(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^([^.]+)', 1) AS author,
+        CAST(length(html) AS BIGINT) AS downloads FROM pages) i ON h.seq = i.seq),
+ex AS (SELECT DISTINCT pack, unnest(domains) AS slug FROM t2),
+{_scores_sql('t2', 'p2', 'ex')}
+SELECT t2.seq AS page_id, array_to_string(t2.domains, ',') AS domains, p.slug AS primary_industry,
+  CAST(p.confidence AS DOUBLE) AS confidence, (p.slug <> 'general' AND p.confidence >= 0.3) AS is_industry_specific
+FROM t2 JOIN p2_top p ON t2.pack = p.pack AND p.rank = 1"""
