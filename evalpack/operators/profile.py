@@ -244,16 +244,24 @@ def signals_long(prof: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("present"), F.col("confidence")).otherwise(_dec("0")))
 
 
-def task_types_ordered(cases: DataFrame, prof: DataFrame) -> DataFrame:
-    """Pack task type first, then explicit case types in first-seen order,
-    distinct. Grouped by (pack, type) first, so the per-pack list is bounded
-    by the number of distinct types."""
+def case_type_lists(cases: DataFrame) -> DataFrame:
+    """Per pack: explicit case task types in first-seen order, distinct.
+    Grouped by (pack, type) first, so a list is bounded by the number of
+    distinct types, never by the number of cases."""
     ttype = F.get_json_object(F.col("raw"), "$.taskType")
     firsts = (cases.select("pack", "seq", ttype.alias("t"))
               .filter(F.col("t").isNotNull() & (F.col("t") != ""))
               .groupBy("pack", "t").agg(F.min("seq").alias("first_seq")))
-    lists = firsts.groupBy("pack").agg(
+    return firsts.groupBy("pack").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "t"))), lambda s: s["t"]).alias("case_types"))
-    return (prof.select("pack", "task_type").join(lists, "pack", "left")
-            .select("pack", F.array_distinct(F.concat(F.array("task_type"),
-                    F.coalesce("case_types", F.array().cast("array<string>")))).alias("task_types")))
+
+
+def ordered_task_types(task_type: Column, case_types: Column) -> Column:
+    """Pack task type first, then the case types, distinct."""
+    return F.array_distinct(F.concat(F.array(task_type), F.coalesce(case_types, F.array().cast("array<string>"))))
+
+
+def task_types_ordered(cases: DataFrame, prof: DataFrame) -> DataFrame:
+    """``(pack, task_types)``: the pack's task type, then explicit case types."""
+    return (prof.select("pack", "task_type").join(case_type_lists(cases), "pack", "left")
+            .select("pack", ordered_task_types(F.col("task_type"), F.col("case_types")).alias("task_types")))

@@ -148,8 +148,9 @@ def manifest_frame(cases: DataFrame, taxonomy=TAXONOMY) -> DataFrame:
     scores = ind.industry_scores(ind.keyword_matches(cases, taxonomy), taxonomy)
     indp = ind.industry_profile(ind.industry_top(scores, cases, taxonomy), taxonomy)
     planned = pl.plan(prof.join(indp, "pack", "left"))
-    types = pf.task_types_ordered(cases, prof)
-    return planned.join(types, "pack").select(
+    planned = planned.join(pf.case_type_lists(cases), "pack", "left") \
+        .withColumn("task_types", pf.ordered_task_types(F.col("task_type"), F.col("case_types")))
+    return planned.select(
         F.lit(dims.MANIFEST_VERSION).alias("schema_version"),
         "pack",
         "case_count",
