@@ -36,7 +36,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import sized_broadcast
 from ..functions.text import token_set
 
 
@@ -84,7 +83,9 @@ def jaccard_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float)
     # document frequency of every token over representatives (map-side combined)
     exploded = reps.select("id", "n", F.explode("tokens").alias("tok"))
     dfreq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(sized_broadcast(dfreq), "tok")
+    # data-derived side: AQE broadcasts it at run time if its measured size is
+    # under the adaptive threshold, else this stays a (skew-split) sort-merge join
+    ranked = exploded.join(dfreq, "tok")
     plen = F.col("n") - _ceil_eps(F.lit(threshold) * F.col("n")) + 1
     from pyspark.sql import Window
     w = Window.partitionBy("id").orderBy("df", "tok")

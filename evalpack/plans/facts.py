@@ -226,7 +226,7 @@ def compact_number(spark, sf):
 
 def entity_snapshot(spark, sf):
     """One row per company: identity joined with its metric, filing-date and
-    value aggregates (J10). The nation dimension (25 rows) is broadcast."""
+    value aggregates (J10)."""
     sup = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nat = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     pref = _preferred(spark, sf)
@@ -235,7 +235,7 @@ def entity_snapshot(spark, sf):
         F.count(F.when(F.col("form") == "10-Q", 1)).alias("n_quarterly"),
         F.max("filed").alias("latest_filed"),
         F.max(F.when((F.col("form") == "10-K") & (F.col("metric") == "revenue"), F.col("val"))).alias("annual_revenue"))
-    return (sup.join(F.broadcast(nat), "s_nationkey", "left")
+    return (sup.join(nat, "s_nationkey", "left")
             .join(m, F.col("s_suppkey") == F.col("entity"), "left")
             .select("s_suppkey", "s_name", "n_name", F.coalesce("n_annual", F.lit(0)).alias("n_annual"),
                     F.coalesce("n_quarterly", F.lit(0)).alias("n_quarterly"), "latest_filed", "annual_revenue"))
