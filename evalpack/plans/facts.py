@@ -3,8 +3,8 @@
 Stand-ins: an *entity* (company) is ``l_suppkey``; a fact is a lineitem row
 (concept from the return flag, unit from the line status, form from the line
 number parity, filed/end dates from the ship date); a facts document is one
-order's lineitems nested as ``facts.us-gaap.{concept}.units.{unit}[]``; a
-filing list is one order's lineitems as parallel arrays; a price series is a
+lineitem nested as ``facts.us-gaap.{concept}.units.{unit}[]``; a filing
+index is one lineitem's filings as parallel arrays; a price series is a
 user's events (close = value, newest first by ``ts``); a macro series is an
 event type."""
 
@@ -30,7 +30,7 @@ def _concept():
 def fact_rows(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.select(
-        F.col("l_suppkey").alias("entity"), "l_orderkey", "l_linenumber", "l_partkey",
+        F.col("l_suppkey").alias("entity"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag",
         _concept().alias("concept"),
         F.when(F.col("l_linestatus") == "F", "USD").otherwise("EUR").alias("unit"),
         F.col("l_extendedprice").alias("val"),
@@ -48,28 +48,27 @@ def _metric_dim(spark):
 
 
 def fact_documents(spark, sf) -> DataFrame:
-    """One nested facts JSON document per order. Every grouping key starts
-    with ``l_orderkey`` and the input is hash partitioned on it once, so the
-    three nesting levels cost a single shuffle; groups hold at most the
-    lines of one order."""
-    f = fact_rows(spark, sf).repartition("l_orderkey")
+    """One nested facts JSON document per lineitem (no grouping, so no group
+    can grow with skew): ``facts.us-gaap.{concept}.units`` holds the row's
+    unit and, for returned lines (flag ``R``), a second ``AUD`` unit listed
+    first, so the wanted unit is sometimes absent and sometimes not first."""
+    f = fact_rows(spark, sf)
     rec = F.struct("val", "fy", "fp", "form", "filed", "end", F.lit(None).cast("string").alias("frame"))
-    lv1 = f.groupBy("l_orderkey", "concept", "unit").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "entity", "val", rec.alias("r")))),
-                    lambda x: x["r"]).alias("recs"))
-    lv2 = lv1.groupBy("l_orderkey", "concept").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("unit", "recs")))).alias("units"))
-    lv3 = lv2.groupBy("l_orderkey").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("concept", F.struct("units"))),
-                                        lambda a, b: F.when(a["concept"] < b["concept"], -1)
-                                        .when(a["concept"] > b["concept"], 1).otherwise(0))).alias("gaap"))
-    return lv3.select("l_orderkey", F.to_json(F.struct(F.struct(F.col("gaap").alias("us-gaap")).alias("facts"))).alias("doc"))
+    aud = F.struct((F.col("val") * 2).alias("val"), "fy", "fp", "form", "filed", "end",
+                   F.lit(None).cast("string").alias("frame"))
+    units = F.when(F.col("l_returnflag") == "R",
+                   F.create_map(F.lit("AUD"), F.array(aud), F.col("unit"), F.array(rec))) \
+        .otherwise(F.create_map(F.col("unit"), F.array(rec)))
+    gaap = F.create_map(F.col("concept"), F.struct(units.alias("units")))
+    doc = F.to_json(F.struct(F.struct(gaap.alias("us-gaap")).alias("facts")))
+    return f.select("l_orderkey", "l_linenumber", "l_partkey", "entity", doc.alias("doc"))
 
 
 def explode_nested_facts(spark, sf):
-    out = fx.explode_facts(fact_documents(spark, sf), "doc", ["l_orderkey"], WANTED_UNIT)
-    return out.select("l_orderkey", "concept", "unit", F.col("pos").cast("int").alias("pos"), "val", "fy", "fp",
-                      "form", "filed", "end")
+    docs = fact_documents(spark, sf)
+    out = fx.explode_facts(docs, "doc", ["l_orderkey", "l_linenumber", "l_partkey", "entity"], WANTED_UNIT)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "entity", "concept", "unit",
+                      F.col("pos").cast("int").alias("pos"), "val", "fy", "fp", "form", "filed", "end")
 
 
 def _latest(spark, sf) -> DataFrame:
@@ -106,20 +105,25 @@ def unpivot_metrics(spark, sf):
 
 
 def filing_lists(spark, sf) -> DataFrame:
-    """One row per order with parallel arrays (form, accession, document,
-    filing date, report date) in line order; the group is one order."""
+    """One filing index per lineitem with parallel arrays (form,
+    accession, document, filing date): the line's own filing and, for open
+    lines, a follow-up ``8-K``; closed lines add a non-kept ``S-1`` first.
+    Built per row, so no group grows with the data."""
     li = table(spark, sf, "lineitem")
     form = (F.when(F.col("l_returnflag") == "R", "10-K").when(F.col("l_returnflag") == "A", "10-Q")
-            .when(F.col("l_linestatus") == "O", "8-K").otherwise("S-1"))
+            .otherwise("DEF 14A"))
     acc = F.when(F.col("l_linenumber") == 3, F.lit("")).otherwise(
         F.format_string("%010d-%02d-%06d", F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_partkey")))
-    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", form.alias("form"), acc.alias("acc"),
-                   F.concat(F.lit("doc"), F.col("l_partkey").cast("string"), F.lit(".htm")).alias("doc"),
-                   F.date_format("l_shipdate", "yyyy-MM-dd").alias("fdate"))
-    g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return g.select(
-        "l_orderkey", F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("cik"),
-        *[F.transform("rows", _field(c)).alias(f"{c}_arr") for c in ("form", "acc", "doc", "fdate")])
+    doc = F.concat(F.lit("doc"), F.col("l_partkey").cast("string"), F.lit(".htm"))
+    fdate = F.date_format("l_shipdate", "yyyy-MM-dd")
+    is_open = F.col("l_linestatus") == "O"
+    forms = F.when(is_open, F.array(form, F.lit("8-K"))).otherwise(F.array(F.lit("S-1"), form))
+    accs = F.when(is_open, F.array(acc, F.concat(acc, F.lit("-8")))).otherwise(F.array(F.concat(acc, F.lit("-s")), acc))
+    docs = F.when(is_open, F.array(doc, F.lit("event.htm"))).otherwise(F.array(F.lit(""), doc))
+    dates = F.array(fdate)  # shorter array: the second filing has no date
+    return li.select("l_orderkey", "l_linenumber", "l_partkey",
+                     F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("cik"),
+                     forms.alias("form_arr"), accs.alias("acc_arr"), docs.alias("doc_arr"), dates.alias("fdate_arr"))
 
 
 def _field(name: str):
@@ -127,10 +131,11 @@ def _field(name: str):
 
 
 def _filings(spark, sf) -> DataFrame:
-    z = fx.zip_explode(filing_lists(spark, sf), ["l_orderkey", "cik"],
+    z = fx.zip_explode(filing_lists(spark, sf), ["l_orderkey", "l_linenumber", "l_partkey", "cik"],
                        {"form": "form_arr", "accession": "acc_arr", "document": "doc_arr", "filing_date": "fdate_arr"})
     z = z.filter(fx.keep_filing(F.col("form"), F.col("accession"), F.col("document")))
-    return z.select("l_orderkey", "cik", F.col("idx").cast("int").alias("idx"), "form", "accession", "document",
+    return z.select("l_orderkey", "l_linenumber", "l_partkey", "cik", F.col("idx").cast("int").alias("idx"), "form",
+                    "accession", "document",
                     "filing_date", fx.filing_url(F.col("cik"), F.col("accession"), F.col("document")).alias("sec_url"),
                     F.array_join(fx.form_use(F.col("form")), "; ").alias("agent_use"))
 
@@ -143,7 +148,8 @@ def recent_filings(spark, sf):
     """First 10 kept filings per company (customer) in source order."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     f = _filings(spark, sf).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    top = fx.first_n_per_key(f, ["o_custkey"], [F.col("l_orderkey"), F.col("idx")], 10)
+    top = fx.first_n_per_key(f, ["o_custkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
+                                                 F.col("accession"), F.col("idx")], 10)
     return top.select("o_custkey", F.col("rank").cast("int").alias("rank"), "l_orderkey", "idx", "form", "sec_url")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 FACTS = """facts AS (
-  SELECT l_suppkey AS entity, l_orderkey, l_linenumber, l_partkey,
+  SELECT l_suppkey AS entity, l_orderkey, l_linenumber, l_partkey, l_returnflag,
     CASE l_returnflag WHEN 'R' THEN 'Revenues' WHEN 'A' THEN 'SalesRevenueNet' ELSE 'NetIncomeLoss' END AS concept,
     CASE WHEN l_linestatus = 'F' THEN 'USD' ELSE 'EUR' END AS unit,
     l_extendedprice AS val, year(l_shipdate) AS fy, 'Q' || CAST(quarter(l_shipdate) AS VARCHAR) AS fp,
@@ -27,16 +27,20 @@ PREFERRED = """preferred AS (
       ORDER BY filed || '-' || "end" DESC, concept_ordinal) AS rn2 FROM latest) q WHERE rn2 = 1)"""
 
 FILINGS = """lines AS (
-  SELECT l_orderkey, lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS cik,
-    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INTEGER) AS idx,
-    CASE WHEN l_returnflag = 'R' THEN '10-K' WHEN l_returnflag = 'A' THEN '10-Q'
-         WHEN l_linestatus = 'O' THEN '8-K' ELSE 'S-1' END AS form,
-    CASE WHEN l_linenumber = 3 THEN '' ELSE printf('%010d-%02d-%06d', l_suppkey, l_linenumber, l_partkey) END AS accession,
-    'doc' || CAST(l_partkey AS VARCHAR) || '.htm' AS document,
-    strftime(l_shipdate, '%Y-%m-%d') AS filing_date
+  SELECT l_orderkey, l_linenumber, l_partkey, lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS cik,
+    CASE WHEN l_returnflag = 'R' THEN '10-K' WHEN l_returnflag = 'A' THEN '10-Q' ELSE 'DEF 14A' END AS f,
+    CASE WHEN l_linenumber = 3 THEN '' ELSE printf('%010d-%02d-%06d', l_suppkey, l_linenumber, l_partkey) END AS acc,
+    'doc' || CAST(l_partkey AS VARCHAR) || '.htm' AS d, strftime(l_shipdate, '%Y-%m-%d') AS fdate, l_linestatus = 'O' AS is_open
   FROM lineitem),
+z AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, cik, 0 AS idx, CASE WHEN is_open THEN f ELSE 'S-1' END AS form,
+    CASE WHEN is_open THEN acc ELSE acc || '-s' END AS accession, CASE WHEN is_open THEN d ELSE '' END AS document,
+    fdate AS filing_date FROM lines
+  UNION ALL
+  SELECT l_orderkey, l_linenumber, l_partkey, cik, 1, CASE WHEN is_open THEN '8-K' ELSE f END,
+    CASE WHEN is_open THEN acc || '-8' ELSE acc END, CASE WHEN is_open THEN 'event.htm' ELSE d END, NULL FROM lines),
 filings AS (
-  SELECT l_orderkey, cik, idx, form, accession, document, filing_date,
+  SELECT l_orderkey, l_linenumber, l_partkey, cik, CAST(idx AS INTEGER) AS idx, form, accession, document, filing_date,
     'https://www.sec.gov/Archives/edgar/data/' || CAST(CAST(cik AS BIGINT) AS VARCHAR) || '/' ||
       replace(accession, '-', '') || '/' || document AS sec_url,
     CASE form
@@ -44,7 +48,7 @@ filings AS (
       WHEN '10-Q' THEN 'quarterly update monitor; trend and guidance comparison; working capital change extraction'
       WHEN '8-K' THEN 'event detection; material change alerts; deal/executive/earnings trigger extraction'
       ELSE 'governance signal extraction; shareholder proposal analysis; board and compensation review' END AS agent_use
-  FROM lines
+  FROM z
   WHERE form IN ('10-K', '10-Q', '8-K', 'DEF 14A') AND coalesce(accession, '') <> '' AND coalesce(document, '') <> '')"""
 
 
@@ -54,13 +58,13 @@ def _w(*ctes: str) -> str:
 
 def queries() -> dict[str, str]:
     q = {}
-    q["explode_nested_facts"] = _w(FACTS, """pick AS (
-  SELECT l_orderkey, concept, CASE WHEN bool_or(unit = 'USD') THEN 'USD' ELSE min(unit) END AS chosen
-  FROM facts GROUP BY l_orderkey, concept)""") + """
-SELECT f.l_orderkey, f.concept, f.unit,
-  CAST(row_number() OVER (PARTITION BY f.l_orderkey, f.concept ORDER BY f.l_linenumber, f.l_partkey, f.entity, f.val) - 1 AS INTEGER) AS pos,
-  f.val, f.fy, f.fp, f.form, f.filed, f."end"
-FROM facts f JOIN pick p ON f.l_orderkey = p.l_orderkey AND f.concept = p.concept AND f.unit = p.chosen"""
+    q["explode_nested_facts"] = _w(FACTS) + """
+SELECT l_orderkey, l_linenumber, l_partkey, entity, concept, 'USD' AS unit, 0 AS pos, val, fy, fp, form, filed, "end"
+FROM facts WHERE unit = 'USD'
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, entity, concept, 'AUD', 0, val * 2, fy, fp, form, filed, "end"
+FROM facts WHERE unit <> 'USD' AND l_returnflag = 'R'
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, entity, concept, unit, 0, val, fy, fp, form, filed, "end"
+FROM facts WHERE unit <> 'USD' AND l_returnflag <> 'R'"""
     q["latest_fact"] = _w(FACTS, METRICS, LATEST) + \
         'SELECT entity, form, concept, val, filed, "end", l_orderkey, l_linenumber FROM latest'
     q["preferred_concept"] = _w(FACTS, METRICS, LATEST, PREFERRED) + \
@@ -70,10 +74,12 @@ SELECT entity, CASE WHEN form = '10-K' THEN 'annual' ELSE 'quarterly' END AS per
   concept, val AS value, coalesce(CAST(fy AS VARCHAR), '') AS fy, coalesce(fp, '') AS fp, coalesce(form, '') AS form,
   coalesce(filed, '') AS filed, coalesce("end", '') AS "end" FROM preferred"""
     q["zip_explode_filings"] = _w(FILINGS) + \
-        "SELECT l_orderkey, cik, idx, form, accession, document, filing_date, sec_url, agent_use FROM filings"
+        ("SELECT l_orderkey, l_linenumber, l_partkey, cik, idx, form, accession, document, filing_date, sec_url, "
+         "agent_use FROM filings")
     q["recent_filings"] = _w(FILINGS) + """
 SELECT o_custkey, CAST(rank AS INTEGER) AS rank, l_orderkey, idx, form, sec_url FROM (
-  SELECT o.o_custkey, f.*, row_number() OVER (PARTITION BY o.o_custkey ORDER BY f.l_orderkey, f.idx) AS rank
+  SELECT o.o_custkey, f.*, row_number() OVER (PARTITION BY o.o_custkey
+    ORDER BY f.l_orderkey, f.l_linenumber, f.l_partkey, f.accession, f.idx) AS rank
   FROM filings f JOIN orders o ON f.l_orderkey = o.o_orderkey) q WHERE rank <= 10"""
     q["window_change_pct"] = """
 SELECT user_id, newest, oldest,
