@@ -182,9 +182,11 @@ def latest_per_key(spark, sf):
 
 
 def share_of_total(spark, sf):
-    from pyspark.sql import Window
-    ev = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("records"))
-    total = F.sum("records").over(Window.partitionBy())
+    """Percent of all records per class; the total is a scalar subquery (no
+    single-partition window)."""
+    src = table(spark, sf, "events")
+    ev = src.groupBy("event_type").agg(F.count(F.lit(1)).alias("records"))
+    total = src.agg(F.count(F.lit(1))).scalar()
     pct = F.round((F.col("records") * 100).cast("decimal(38,6)") / total, 2).cast("double")
     return ev.select("event_type", "records", pct.alias("share_pct"))
 
