@@ -85,3 +85,11 @@ def test_batch_inference_stub(spark):
     parsed = out.withColumn("parsed", cu.parse_completion(F.col("text")))
     sel = cu.select_attempts(parsed, ["slot"]).orderBy("slot").collect()
     assert [r["case_id"] for r in sel] == [f"c{i}" for i in range(6)]
+
+
+def test_report_json(spark, tmp_path):
+    df = spark.createDataFrame([(3, 1, "a:json_parse_failed")], "requested long, failed long, failures string")
+    out = tmp_path / "report"
+    df.select(fs.report_json(df).alias("value")).coalesce(1).write.text(str(out))
+    text = next(out.glob("part-*")).read_text()
+    assert json.loads(text) == {"requested": 3, "failed": 1, "failures": "a:json_parse_failed"}
