@@ -36,3 +36,18 @@ def test_tags(spark):
     got = t.select(ct.task_tags(F.col("t")), ct.modality_tags(F.col("t"))).collect()
     assert got[0][0] == ["rag_qa", "tool_use", "code"] and got[0][1] == ["text", "image"]
     assert got[1][0] == ["benchmark"] and got[1][1] == ["text"]
+
+
+def test_candidate_domains_stock_taxonomy(spark):
+    from evalpack import dims
+    from evalpack.operators import industry as ind
+    cands = spark.createDataFrame([("a", "customer support refund tickets for an online shop"),
+                                   ("b", "metadata format:csv generated dataset")], "pack string, cand_industry_text string")
+    got = {r["pack"]: r["domains"] for r in ct.candidate_domains(cands, dims.STOCK_TAXONOMY).collect()}
+    assert got["a"][0] == "customer-service" and "general" not in got["a"]
+    assert got["b"] == ["general"]
+    # second pass: an explicit domain adds 0.45 to that slug
+    m = ind.keyword_matches(None, dims.STOCK_TAXONOMY, candidates=cands.filter("pack = 'b'"))
+    explicit = spark.createDataFrame([("b", "finance")], "pack string, slug string")
+    scores = {r["slug"]: float(r["confidence"]) for r in ind.industry_scores(m, dims.STOCK_TAXONOMY, explicit).collect()}
+    assert scores == {"finance": 0.45}
