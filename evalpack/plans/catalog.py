@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import dims
 from ..operators import catalog as ct
 from ..operators import profile as pf
 from ..sources.tables import license_from_text, table
