@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import exact_dedup, near_dedup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": exact_dedup.ORACLE}
