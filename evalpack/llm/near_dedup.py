@@ -8,10 +8,13 @@ prefix first and are skipped, as are the frequent ones behind it. The agreeing
 coordinates of a candidate are counted on the whole signatures, and every
 remaining pair is confirmed on the full shingle sets.
 
-Groups of copies do not become all pairs: equal sets are one class; a posting
-is first compared with one pivot; after the confirmed links are merged, only
-rows outside a posting's main component are compared with the rest of it.
-Every pair of classes in a posting is thus compared or already connected.
+Groups of copies do not become all pairs: equal sets are one class, and a
+posting is first compared with one pivot. The confirmed links are merged; what
+a posting holds outside its main component (strays) is then compared with the
+rest of the postings' nodes by the rarest shingles of the sets themselves,
+which rules out nearly all pairs that cannot be similar. A pair above the match
+threshold in a posting is thus connected already, compared, or shown to be too
+different.
 
 A pair of similarity 0.75 agrees on a binomial number of coordinates, so it has
 fewer than ``MATCHES`` = 22 of 48 with a probability below 1e-5.
@@ -85,15 +88,49 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return by_batch(docs.select("text"), work, "digest binary, shingles array<long>").dropDuplicates(["digest"])
 
 
-def _prefixes(classes: DataFrame, coords: int, matches: int) -> DataFrame:
-    """(key, node): the postings among a signature's rarest pairs that others share."""
-    posted = classes.select(F.col("digest").alias("node"), F.posexplode("sig").alias("at", "value")).select(
-        (F.col("at").cast("long") * (1 << 32) + F.col("value").cast("long")).alias("key"), "node")
+def _rarest(posted: DataFrame) -> DataFrame:
+    """(key, node, n, at) of the (key, node, n) postings that several nodes have, where ``at``
+    is the key's place among the node's ``n`` keys, rarest first. Keys of one node alone come
+    first, so they only move the others back and are never joined or sorted."""
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("times", "key"))
     size = F.count(F.lit(1)).over(Window.partitionBy("node"))
-    return (posted.join(shared, "key").select("key", "node", rank.alias("rank"), size.alias("size"))
-            .where(F.col("rank") <= F.col("size") - (matches - 1)).select("key", "node"))
+    return posted.join(shared, "key").select("key", "node", "n", (F.col("n") - size + rank - 1).alias("at"))
+
+
+def _prefixes(classes: DataFrame, coords: int, matches: int) -> DataFrame:
+    """(key, node): the postings among a signature's rarest pairs that others share."""
+    posted = classes.select(F.col("digest").alias("node"), F.posexplode("sig").alias("at", "value")).select(
+        (F.col("at").cast("long") * (1 << 32) + F.col("value").cast("long")).alias("key"), "node", F.lit(coords).alias("n"))
+    return _rarest(posted).where(F.col("at") <= coords - matches).select("key", "node")
+
+
+def _strays(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a stray and a node of another component that can still be similar.
+
+    Strays are compared by their rarest shingles: of two similar sets the larger
+    has a common shingle among its rarest n - 0.75 n + 1, the smaller one among
+    its rarest n - 1.5 / 1.75 n + 1, and behind the first common one enough
+    must be left on both sides for the overlap that the percentage needs.
+    """
+    nodes = mixed.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("stray"))
+    posted = sets.join(nodes, F.col("digest") == F.col("node"), "left_semi").select(
+        F.col("digest").alias("node"), F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    rare = _rarest(posted).where(F.col("n") * percent <= (F.col("n") - F.col("at")) * 100)
+    rare = stored(rare.join(nodes, "node"), "rare")
+    small = rare.where((F.col("n") - F.col("at")) * (100 + percent) >= F.col("n") * 2 * percent)
+
+    def side(part: DataFrame, x: str) -> DataFrame:
+        return part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "label")))
+
+    fits = (F.expr("label_x <> label_y AND (n_y < n_x OR n_y = n_x AND node_y < node_x)")
+            & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+            & (F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) * (100 + percent)
+               >= (F.col("n_x") + F.col("n_y")) * percent))
+    found = [side(x, "x").join(side(y, "y"), "key").where(fits).select("node_x", "node_y")
+             for x, y in ((rare.where("stray"), small), (rare.where("NOT stray"), small.where("stray")))]
+    return found[0].union(found[1]).select(
+        F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -112,6 +149,27 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: i
             .where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b"))
 
 
+def _mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label, main of the postings that hold more than one component; main: the largest there."""
+    tagged = posts.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    parts = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = (parts.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts"))
+            .where("parts > 1").select("key", "main"))
+    return stored(tagged.join(main, "key"), "mixed")
+
+
+def _unseen(pairs: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """The distinct pairs (a, b) that were not compared before."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for one in done:
+        pairs = pairs.join(one.select("a", "b"), ["a", "b"], "left_anti")
+    return stored(pairs, "pairs")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, coords: int = COORDS,
                     matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
@@ -126,21 +184,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = stored(_sets(wanted, words), "sets")
 
     pivot = posts.groupBy("key").agg(F.min("node").alias("a"))
-    stars = posts.join(pivot, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = stored(_confirmed(stars, classes, sets, matches, percent), "links")
-    first = components(links)
-
-    tagged = posts.join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    parts = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = (parts.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts"))
-            .where("parts > 1").select("key", "main"))
-    mixed = stored(tagged.join(main, "key"), "mixed")
-    stray = mixed.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    rest = (mixed.join(stray, "key").where("label <> x_label AND (label = main OR node < x)")
-            .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-            .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = _confirmed(rest, classes, sets, matches, percent)
-    merged = components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    stars = _unseen(posts.join(pivot, "key").where("node <> a").select("a", F.col("node").alias("b")), [])
+    links = _confirmed(stars, classes, sets, matches, percent)
+    merged, done = components(links), [stars]
+
+    # Once more with other pivots: a member of the main component, a different one for each posting.
+    mixed = _mixed(posts, merged)
+    pivot = mixed.where("label = main").groupBy("key").agg(
+        F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"].alias("a"))
+    stars = _unseen(mixed.where("label <> main").join(pivot, "key").select("a", F.col("node").alias("b")), done)
+    merged = _joined(merged, _confirmed(stars, classes, sets, matches, percent))
+
+    rest = _unseen(_strays(_mixed(posts, merged), sets, percent), [*done, stars])
+    merged = _joined(merged, _confirmed(rest, classes, sets, matches, percent))
 
     named = rows.join(merged, F.col("digest") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "digest").alias("part"))
