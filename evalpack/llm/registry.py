@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, packing
+import corpus_pipeline
+
+from . import decontaminate, exact_dedup, near_dedup, packing, pii, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_quality_classifier": quality.op6_quality_classifier,
+        "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_pii": pii.op8_pii,
+        "op9_decontamination": decontaminate.op9_decontamination,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
