@@ -42,6 +42,11 @@ _CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 PATTERNS = {"email": _MAIL, "ip": _IP, "date": _DATE, "ssn": _SSN, "phone": _PHONE, "card": _CARD}
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs in it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -65,9 +70,10 @@ def _number(key: str, kind: str, value: Column, a: int, b: int) -> Column:
 def _shifted(text: Column, by: Column) -> Column:
     """Letters (lower case) and digits of ``text`` shifted by the hex digits ``by``; other characters stay."""
     def one(i: Column) -> Column:
-        c = F.substr(text, i, F.lit(1))
-        step = F.conv(F.substr(by, (i - 1) % 30 * 2 + 1, F.lit(4)), 16, 10).cast("int")
-        code = F.ascii(c)
+        return _let(F.substr(text, i, F.lit(1)), lambda c: _let(
+            F.conv(F.substr(by, (i - 1) % 30 * 2 + 1, F.lit(4)), 16, 10).cast("int"), lambda step: moved(c, F.ascii(c), step)))
+
+    def moved(c: Column, code: Column, step: Column) -> Column:
         return (F.when(code.between(48, 57), F.char(48 + (code - 48 + step) % 10))
                 .when(code.between(97, 122), F.char(97 + (code - 97 + step) % 26)).otherwise(c))
     return F.when(F.length(text) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), ""))
@@ -77,7 +83,8 @@ def _string(key: str, kind: str, value: Column) -> Column:
     """A keyed permutation of the strings of the same format (kind of each character)."""
     def turn(s: Column, i: Column) -> Column:
         def moved(x: str, other: str, odd: int) -> Column:
-            return F.when(i % 2 == odd, _shifted(s[x], _hash(key, F.lit(kind), i, F.length(s[x]), s[other]))).otherwise(s[x]).alias(x)
+            by = _hash(key, F.lit(kind), i, F.length(s[x]), s[other])
+            return F.when(i % 2 == odd, _let(by, lambda b: _shifted(s[x], b))).otherwise(s[x]).alias(x)
         return F.struct(moved("l", "r", 0), moved("r", "l", 1))
 
     half = F.floor(F.length(value) / 2).cast("int")
@@ -103,21 +110,23 @@ def _in_format(m: Column, digits: Column) -> Column:
 
 def _card(m: Column, key: str) -> tuple[Column, Column]:
     d = _digits(m)
-    body = _string(key, "card", F.substr(d, F.lit(1), F.length(d) - 1))
-    check = (10 - _luhn_sum(body, 1) % 10) % 10
-    return _luhn_sum(d, 0) % 10 == 0, _in_format(m, F.concat(body, check.cast("string")))
+    check = lambda body: ((10 - _luhn_sum(body, 1) % 10) % 10).cast("string")
+    made = _let(_string(key, "card", F.substr(d, F.lit(1), F.length(d) - 1)), lambda body: F.concat(body, check(body)))
+    return _let(d, lambda x: _luhn_sum(x, 0) % 10 == 0), _let(made, lambda x: _in_format(m, x))
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
     d = _digits(m)
     keep = F.length(d) - 10
-    return keep >= 0, _in_format(m, F.concat(F.substr(d, F.lit(1), keep), _string(key, "phone", F.substr(d, keep + 1, F.lit(10)))))
+    made = F.concat(F.substr(d, F.lit(1), keep), _string(key, "phone", F.substr(d, keep + 1, F.lit(10))))
+    return keep >= 0, _let(made, lambda x: _in_format(m, x))
 
 
 def _ip(m: Column, key: str) -> tuple[Column, Column]:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     made = _number(key, "ip", F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x), 1 << 16, 1 << 16)
-    out = F.concat_ws(".", *[F.shiftright(made, s).bitwiseAND(F.lit(255).cast("long")).cast("string") for s in (24, 16, 8, 0)])
+    out = _let(made, lambda n: F.concat_ws(
+        ".", *[F.shiftright(n, s).bitwiseAND(F.lit(255).cast("long")).cast("string") for s in (24, 16, 8, 0)]))
     return F.forall(octets, lambda x: x <= 255), out
 
 
@@ -127,19 +136,22 @@ def _date(m: Column, key: str) -> tuple[Column, Column]:
     start = F.to_date(F.lit("1800-01-01"))
     made = F.date_add(start, _number(key, "date", F.datediff(day, start).cast("long"), 189, 773).cast("int"))
     month_first = ~iso & F.try_to_date(m, "dd/MM/yyyy").isNull()
-    out = F.when(iso, F.date_format(made, "yyyy-MM-dd")).when(month_first, F.date_format(made, "MM/dd/yyyy")).otherwise(
-        F.date_format(made, "dd/MM/yyyy"))
+    out = _let(made, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).when(
+        month_first, F.date_format(x, "MM/dd/yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy")))
     return F.coalesce(F.year(day).between(1800, 2199), F.lit(False)), out
 
 
 def _ssn(m: Column, key: str) -> tuple[Column, Column]:
     area, group, serial = (F.substr(m, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     number = (F.when(area > 666, area - 2).otherwise(area - 1) * 99 + group - 1) * 9999 + serial - 1
-    made = _number(key, "ssn", number, 898, 99 * 9999)
-    place = F.floor(made / (99 * 9999)).cast("long")
-    out = F.format_string("%03d-%02d-%04d", F.when(place >= 665, place + 2).otherwise(place + 1),
-                          F.floor(made / 9999).cast("long") % 99 + 1, made % 9999 + 1)
-    return area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), out
+
+    def written(n: Column) -> Column:
+        place = F.floor(n / (99 * 9999)).cast("long")
+        return F.format_string("%03d-%02d-%04d", F.when(place >= 665, place + 2).otherwise(place + 1),
+                               F.floor(n / 9999).cast("long") % 99 + 1, n % 9999 + 1)
+
+    return (area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0),
+            _let(_number(key, "ssn", number, 898, 99 * 9999), written))
 
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:
@@ -163,7 +175,9 @@ def _replaced(m: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind>: how many of each kind were replaced."""
-    whole = "|".join(f"(?:{p})" for p in PATTERNS.values())
+    # Nothing but a mail address starts elsewhere than at a digit, a sign or a parenthesis.
+    whole = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
+    whole = f"(?:{_MAIL})|(?=[0-9+(])(?:{whole})"
     rows = columns(docs, "doc_id", "text")
     rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(whole), F.lit(0))))
     rows = rows.withColumn("pieces", F.when(F.size("found") > 0, F.split("text", whole, -1)))
