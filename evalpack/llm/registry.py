@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, near_dedup, packing, pii, quality, secrets, toxicity
+from . import decontaminate, exact_dedup, html_text, licenses, near_dedup, packing, pii, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_html_extraction": html_text.op5_html_extraction,
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_pii": pii.op8_pii,
