@@ -55,11 +55,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["at", "n"])
 
-    made = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    made = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = made["at"].to_numpy(), made["n"].to_numpy()
     out = np.zeros(1 << FEATURES, np.int64)
-    inside = made["at"].to_numpy() >= 0
-    out[made["at"].to_numpy()[inside]] = made["n"].to_numpy()[inside]
-    return out, int(made["n"].to_numpy()[~inside].sum())
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at < 0].sum())
 
 
 def randomised_svd(rows: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int, iterations: int = 2,
@@ -88,11 +88,9 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, ran
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["at", "row"])
 
         parts = rows.select("features").mapInArrow(work, "at long, row array<double>")
-        cells = parts.select("at", F.posexplode("row").alias("j", "v")).groupBy("at", "j").agg(F.sum("v").alias("v"))
-        made = cells.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("row")).toPandas()
+        cells = parts.select("at", F.posexplode("row").alias("j", "v")).groupBy("at", "j").agg(F.sum("v").alias("v")).toArrow()
         image = np.zeros_like(basis)
-        for at, row in zip(made["at"], made["row"]):
-            image[at] = [c["v"] for c in row]
+        image[cells["at"].to_numpy(), cells["j"].to_numpy()] = cells["v"].to_numpy()
         basis, r = np.linalg.qr(image)
     u, _, _ = np.linalg.svd(r)
     return (basis @ u)[:, :rank]

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import by_batch, columns, read, stored
 
-ORDER, TRAIN_DOCS, HEAD, BITS = 3, 2000, 1 << 17, 25
+ORDER, TRAIN_DOCS, HEAD, BITS = 3, 2000, 1 << 19, 25
 QUANTILE, SLACK, PRIOR_WORDS = 0.995, 0.25, 20
 _CHUNK = 1 << 19
 
@@ -136,18 +136,18 @@ def _seen_bits(model: DataFrame, bits: int) -> np.ndarray:
     probes = F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (0, 19, 64 - bits)])
     rows = model.select(F.explode(probes).alias("bit")).select(
         F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("one"))
-    made = rows.groupBy("at").agg(F.bit_or("one").alias("word")).toPandas()
+    made = rows.groupBy("at").agg(F.bit_or("one").alias("word")).toArrow()
     out = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
-    out[made["at"].to_numpy(np.int64)] = made["word"].to_numpy(np.int64).view(np.uint64)
+    out[made["at"].to_numpy()] = made["word"].to_numpy().view(np.uint64)
     return out
 
 
 def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER,
                    head: int = HEAD, bits: int = BITS) -> DataFrame:
     """doc_id, words, loglik: the natural log of each text's probability."""
-    most = model.orderBy(F.desc("n"), "key").limit(head).toPandas().sort_values("key")
+    most = model.orderBy(F.desc("n"), "key").limit(head).toArrow().sort_by("key")
     shared = docs.sparkSession.sparkContext.broadcast((
-        most["key"].to_numpy(np.int64), most["value"].to_numpy(float), most["weight"].to_numpy(float), _seen_bits(model, bits)))
+        most["key"].to_numpy(), most["value"].to_numpy(), most["weight"].to_numpy(), _seen_bits(model, bits)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     salt = np.uint64(0x9E3779B97F4A7C15)
 
