@@ -35,7 +35,7 @@ from .common import by_batch, columns, read, stored
 
 FEATURES, WINDOW, STRIDE, RANK, BLOCK = 18, 64, 32, 160, 4096
 COSINE, COVERAGE, PARAPHRASE, ANSWER = 0.25, 0.6, 0.45, 0.8
-_CHUNK = 1 << 18
+_CHUNK = 1 << 17
 
 
 def _feature(h: np.ndarray) -> np.ndarray:
@@ -216,6 +216,8 @@ def _block_leaks(docs: DataFrame, block: list, idf: np.ndarray, rank: int, item_
                 size = len(own.words[k])
                 a, b = max(ptr[text], start - size), min(ptr[text + 1], start + WINDOW + size)
                 whole = own.weight[k].sum()
+                if not whole or own.weight[k][np.isin(own.words[k], h[a:b])].sum() < PARAPHRASE * whole:
+                    continue  # not even the words are there, in whatever order
                 got, tail, first, last = weighted_lcs(own.words[k], h[a:b], own.weight[k], own.answer[k])
                 answer_whole = own.weight[k][own.answer[k] :].sum()
                 cover, answered = got / whole, tail / answer_whole if answer_whole else 0.0

@@ -78,13 +78,15 @@ def signatures(docs: DataFrame, words: int = WORDS, coords: int = COORDS) -> Dat
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """digest, shingle set of each text."""
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digest, sets = [], []
-        for _, s in shingles(batch.column(0), words):
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            sets.append(s.view(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(digest, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"])
+    def work(batch: pa.RecordBatch):
+        for k in range(0, batch.num_rows, 500):
+            digest, sets = [], []
+            for _, s in shingles(batch.column(0).slice(k, 500), words):
+                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digest, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"])
+
     return by_batch(docs.select("text"), work, "digest binary, shingles array<long>").dropDuplicates(["digest"])
 
 

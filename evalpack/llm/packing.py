@@ -36,7 +36,7 @@ from . import textvec as tv
 from .common import by_batch, columns, read, stored
 
 CAPACITY, END_ID, SHARD = 1024, 2, 65536
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 _LETTER, _NUMBER, _BLANK, _OTHER = 1, 2, 3, 4
 _PLAIN_NOT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|<\|")
 
@@ -87,7 +87,7 @@ def pre_tokens(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Ids:
     """Token ids of texts. Keeps the ids of at most ``keep`` pre-tokens between slices."""
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 400_000):
         self.tok, self.keep = _tokenizer(path), keep
         self._clear()
 

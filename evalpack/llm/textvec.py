@@ -38,7 +38,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B^i and B^-i modulo 2^64 (B is odd, so its inverse exists)."""
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
             step = np.full(size, base, np.uint64)
             step[0] = 1
