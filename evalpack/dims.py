@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 # FIXED VALUES — these must stay equal to the behaviour being reproduced.
 # Schema signals in profile order: key, weight, case fields that prove the
 # signal when present in any case, and the lower-case substring pattern over
-# the first 20 cases.
+# all cases.
 # ---------------------------------------------------------------------------
 SIGNALS = [
     ("taskInstruction", "0.11", ["instruction", "prompt", "query", "input"], "instruction|prompt|query"),
@@ -31,7 +31,6 @@ SIGNALS = [
 ]
 CONFIDENCE_WITH_CASES = "0.86"
 CONFIDENCE_METADATA_ONLY = "0.70"
-TEXT_SAMPLE_ROWS = 20
 CRITICAL_SIGNALS = ["input", "expectedOutput", "license"]
 
 # FIXED VALUES — task-type cascade after an explicit taskType, in order.
@@ -231,7 +230,6 @@ QUERY_STOPWORDS = ["agent", "benchmark", "dataset", "eval", "evaluation", "test"
 DEDUPE_JACCARD_THRESHOLD = 0.85
 DEDUPE_COSINE_THRESHOLD = 0.92
 JUDGE_PASS_THRESHOLD = 0.6
-MAX_ATTEMPTS = 3
 REPORT_FAILURE_LIMIT = 50
 SPEC_DEFAULT_COUNT = 10
 SPEC_DEFAULT_MODE = "from-scratch"

@@ -53,7 +53,7 @@ def modality_tags(text: Column) -> Column:
 def tag_values(tags: Column, prefix: str) -> Column:
     """Tags with ``prefix``, prefix stripped, empties dropped (order kept)."""
     n = len(prefix)
-    vals = F.transform(F.filter(tags, lambda t: t.startswith(prefix)), lambda t: F.substring(t, n + 1, 1 << 20))
+    vals = F.transform(F.filter(tags, lambda t: t.startswith(prefix)), lambda t: F.substr(t, F.lit(n + 1), F.length(t)))
     return F.filter(vals, lambda v: v != "")
 
 
@@ -117,10 +117,9 @@ def dedupe_by_key(cands: DataFrame, keys: list[str], seq: str = "seq") -> DataFr
                                     ).select(*keys, "position", "_v.*")
 
 
-def source_quota(cands: DataFrame, limit: int, seq: str = "seq") -> DataFrame:
+def source_quota(cands: DataFrame, limit: int, n_sources: int, seq: str = "seq") -> DataFrame:
     """First ``quota`` candidates per source, quota = ceil(limit/2) (at
-    least 1) when two sources are present, else ``limit``."""
-    n_sources = 2
+    least 1) when several sources were asked for, else ``limit``."""
     quota = max(1, -(-limit // 2)) if n_sources > 1 else limit
     w = Window.partitionBy("source").orderBy(seq)
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= quota)

@@ -57,15 +57,13 @@ def parse_completion(text: Column) -> Column:
                     F.when(ok, F.variant_get(cid, "$", "string")).alias("case_id"))
 
 
-def select_attempts(attempts: DataFrame, slot_keys: list[str], attempt_col: str = "attempt",
-                    max_attempts: int = dims.MAX_ATTEMPTS) -> DataFrame:
-    """Per slot: the first parsable attempt wins (its case and tokens);
+def select_attempts(attempts: DataFrame, slot_keys: list[str], attempt_col: str = "attempt") -> DataFrame:
+    """Per slot: the first parsable attempt, of all that landed, wins (its case and tokens);
     otherwise the slot fails with the last attempt's reason. ``attempts``
     carries ``parsed`` (from ``parse_completion``) and token columns
     ``prompt_tokens``, ``completion_tokens``. One aggregate per slot."""
-    a = attempts.filter(F.col(attempt_col) <= max_attempts)
     ok_order = F.when(F.col("parsed.ok"), F.col(attempt_col))
-    return a.groupBy(*slot_keys).agg(
+    return attempts.groupBy(*slot_keys).agg(
         F.min(ok_order).alias("winning_attempt"),
         F.max(attempt_col).alias("attempts_made"),
         F.min_by(F.struct(F.col("parsed.case_id").alias("case_id"), F.col("parsed.case").alias("case"),

@@ -155,8 +155,7 @@ def cosine_pairs(rows: DataFrame, id_col: str, vec_col: str, threshold: float, d
     return pairs.unionByName(copies), groups
 
 
-def keep_first(ids: DataFrame, pairs: DataFrame, groups: DataFrame, max_rounds: int = 10000,
-               checkpoint_every: int = 5) -> DataFrame:
+def keep_first(ids: DataFrame, pairs: DataFrame, groups: DataFrame, checkpoint_every: int = 5) -> DataFrame:
     """Greedy keep-first over the pair graph. ``ids``: ``(id)`` of all rows;
     ``pairs``: ``(a, b)`` with ``a < b``; ``groups``: ``(id, rep)``.
     Returns ``(id, kept boolean)`` for every row.
@@ -170,7 +169,7 @@ def keep_first(ids: DataFrame, pairs: DataFrame, groups: DataFrame, max_rounds:
     status = materialize(nodes.select("id", F.lit("U").alias("state")))
     undecided = status.count()
     rounds = 0
-    while undecided > 0 and rounds < max_rounds:
+    while undecided > 0:  # the first undecided row is decided in each round, so this ends
         rounds += 1
         und = status.filter(F.col("state") == "U").select("id")
         live = (edges.join(und.withColumnRenamed("id", "a"), "a")

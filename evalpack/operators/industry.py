@@ -1,11 +1,10 @@
 """Industry segmentation: bounded keyword matches, scores, top-3 per pack.
 
 The taxonomy is a parameter (a small, bounded list). Each keyword becomes one
-bounded pattern column, evaluated only on the first 20 cases of every pack
-(plus the candidate text), so the work per pack is bounded no matter how
-large the pack is. Matches are exploded to ``(pack, keyword id)`` rows, made
-distinct and joined to the keyword dimension, which is broadcast: its size is
-the taxonomy size, fixed by the caller.
+bounded pattern column, evaluated on every case (plus the candidate text) in
+one projection. Matches are exploded to ``(pack, keyword id)`` rows, made
+distinct (combined before the shuffle, so a pack costs at most one row per keyword
+and task) and joined to the keyword dimension; Spark broadcasts it only if it is small.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import flag, keyword_pattern
-from .profile import first_rows
 
 _DEC = "decimal(10,4)"
 
@@ -52,20 +50,18 @@ def matched_ids(text: Column, taxonomy=dims.STOCK_TAXONOMY) -> Column:
 
 
 def keyword_matches(cases: DataFrame | None, taxonomy=dims.STOCK_TAXONOMY,
-                    candidates: DataFrame | None = None,
-                    sample_rows: int = dims.TEXT_SAMPLE_ROWS) -> DataFrame:
-    """Distinct ``(pack, kw_id, slug, kind, keyword)`` matched in the first
-    ``sample_rows`` cases or in the candidate text (``cand_industry_text``)."""
+                    candidates: DataFrame | None = None) -> DataFrame:
+    """Distinct ``(pack, kw_id, slug, kind, keyword)`` matched in any case
+    or in the candidate text (``cand_industry_text``)."""
     spark = (cases if cases is not None else candidates).sparkSession
     hits = []
     if cases is not None:
-        sample = first_rows(cases.select("pack", "seq", "raw"), sample_rows)
-        hits.append(sample.select("pack", F.explode(matched_ids(F.lower("raw"), taxonomy)).alias("kw_id")))
+        hits.append(cases.select("pack", F.explode(matched_ids(F.lower("raw"), taxonomy)).alias("kw_id")))
     if candidates is not None:
         hits.append(candidates.select(
             "pack", F.explode(matched_ids(F.lower("cand_industry_text"), taxonomy)).alias("kw_id")))
     allhits = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
-    return allhits.distinct().join(F.broadcast(keyword_dim(spark, taxonomy)), "kw_id")
+    return allhits.distinct().join(keyword_dim(spark, taxonomy), "kw_id")
 
 
 def industry_scores(matches: DataFrame, taxonomy=dims.STOCK_TAXONOMY,
@@ -90,7 +86,7 @@ def industry_scores(matches: DataFrame, taxonomy=dims.STOCK_TAXONOMY,
              + F.least(d(dims.INDUSTRY_KEYWORD_CAP), F.col("n_keywords").cast(_DEC) * d(dims.INDUSTRY_KEYWORD_STEP))
              + F.least(d(dims.INDUSTRY_WORKFLOW_CAP), F.col("n_workflows").cast(_DEC) * d(dims.INDUSTRY_WORKFLOW_STEP)))
     score = F.least(F.greatest(F.round(score, 4), d("0")), d("1")).cast(_DEC)
-    tax = F.broadcast(taxonomy_dim(spark, taxonomy).select("slug", "slug_ordinal", "label"))
+    tax = taxonomy_dim(spark, taxonomy).select("slug", "slug_ordinal", "label")
     return (counts.join(tax, "slug")
             .withColumn("confidence", score)
             .filter(F.col("confidence") > 0))
@@ -123,6 +119,6 @@ def industry_profile(top: DataFrame, taxonomy=dims.STOCK_TAXONOMY) -> DataFrame:
         ((F.col("slug") != dims.INDUSTRY_FALLBACK_SLUG) & (F.col("confidence") >= F.lit(dims.INDUSTRY_SPECIFIC_MIN).cast(_DEC)))
         .alias("is_industry_specific"))
     lists = top.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("rank", "slug", "confidence"))).alias("matches"))
-    wf = F.broadcast(taxonomy_dim(spark, taxonomy).select(
-        F.col("slug").alias("primary_industry"), F.slice("workflows", 1, 3).alias("workflow_focus")))
+    wf = taxonomy_dim(spark, taxonomy).select(
+        F.col("slug").alias("primary_industry"), F.slice("workflows", 1, 3).alias("workflow_focus"))
     return prim.join(lists, "pack").join(wf, "primary_industry", "left")

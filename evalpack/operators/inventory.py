@@ -83,7 +83,7 @@ def humanize(name: Column) -> Column:
     """File stem split on ``-``/``_``, each part capitalised, joined by blanks."""
     stem = F.regexp_replace(name, r"\.[^./]*$", "")
     parts = F.split(stem, "[-_]")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), " ")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2), F.length(p)))), " ")
 
 
 def workflow_labels(name: Column, rules=FILE_WORKFLOW_RULES, default=FILE_WORKFLOW_DEFAULT) -> Column:

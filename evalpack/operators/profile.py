@@ -3,25 +3,18 @@
 A *pack* is a group key, a *case* a row ``(pack, seq, raw[, license])`` where
 ``raw`` is the case as JSON text (or any text) and ``seq`` its position.
 
-Plan shape (see ``tests/test_plans.py``):
-
-* the **field branch** (does any case carry a key) and the first usable
-  license / explicit task type are one hash aggregate over all rows with
-  map-side partial aggregation: a pack that holds a third of all rows costs
-  one partial row per map task, never one big task;
-* the **text branch** only looks at the first ``TEXT_SAMPLE_ROWS`` cases of a
-  pack. ``row_number() <= 20`` plans as a partial ``WindowGroupLimit`` before
-  the shuffle, so at most 20 rows per pack and map task cross the network;
-  the pattern flags are computed on those rows only;
-* both sides are pack-sized and meet in one join on ``pack``.
+Plan shape (see ``tests/test_plans.py``): one projection of the key and pattern
+flags of every case, and one hash aggregate over all cases with map-side partial
+aggregation. A pack that holds a third of all rows costs one partial row per
+map task, never one big task, and every case counts, however many a pack has.
 
 Because no pattern can span two JSON records, "pattern over the concatenated
-first 20 cases" equals ``bool_or(pattern per case)`` over those cases.
+cases" equals ``bool_or(pattern per case)``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -57,13 +50,6 @@ def case_license(raw: Column) -> Column:
     return F.when(as_str != "", as_str)
 
 
-def first_rows(cases: DataFrame, n: int = dims.TEXT_SAMPLE_ROWS) -> DataFrame:
-    """First ``n`` cases of every pack by ``seq`` (partial limit before the
-    shuffle, so skewed packs ship at most ``n`` rows per map task)."""
-    w = Window.partitionBy("pack").orderBy("seq")
-    return cases.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-
-
 def _text_flag_exprs(text: Column) -> list[Column]:
     out = []
     for key, _w, _fields, pattern in dims.SIGNALS:
@@ -79,16 +65,9 @@ def _text_flag_names() -> list[str]:
         [f"tt_{t}" for t, _p in dims.TASK_TYPE_RULES]
 
 
-def sample_text_flags(cases: DataFrame, n: int = dims.TEXT_SAMPLE_ROWS) -> DataFrame:
-    """Per pack: pattern flags over the first ``n`` cases."""
-    sample = first_rows(cases.select("pack", "seq", "raw"), n)
-    flagged = sample.select("pack", *_text_flag_exprs(F.lower(F.col("raw"))))
-    return flagged.groupBy("pack").agg(*[F.bool_or(c).alias(c) for c in _text_flag_names()])
-
-
 def case_field_aggregates(cases: DataFrame) -> DataFrame:
-    """Per pack over all cases: row count, key presence per signal, first
-    usable license, first explicit task type, any ``messages`` array."""
+    """Per pack over all cases: row count, key presence and pattern flags per
+    signal, first usable license, first explicit task type, any ``messages`` array."""
     keys = F.json_object_keys(F.col("raw"))
     lic = F.col("license") if "license" in cases.columns else case_license(F.col("raw"))
     ttype = F.get_json_object(F.col("raw"), "$.taskType")
@@ -99,11 +78,12 @@ def case_field_aggregates(cases: DataFrame) -> DataFrame:
             present = F.coalesce(F.arrays_overlap(keys, F.array(*[F.lit(f) for f in fields])), F.lit(False))
             proj.append(present.alias(f"f_{key}"))
     proj += [lic.alias("_lic"), ttype.alias("_tt"), is_msgs.alias("_msgs")]
-    rows = cases.select(*proj)
+    rows = cases.select(*proj, *_text_flag_exprs(F.lower(F.col("raw"))))
     aggs = [F.count(F.lit(1)).alias("case_count")]
     for key, _w, fields, _p in dims.SIGNALS:
         if fields:
             aggs.append(F.bool_or(f"f_{key}").alias(f"f_{key}"))
+    aggs += [F.bool_or(c).alias(c) for c in _text_flag_names()]
     aggs += [
         F.min_by("_lic", F.when(F.col("_lic").isNotNull(), F.col("seq"))).alias("case_license"),
         F.min_by("_tt", F.when(F.col("_tt").isNotNull() & (F.col("_tt") != ""), F.col("seq"))).alias("explicit_type"),
@@ -112,8 +92,7 @@ def case_field_aggregates(cases: DataFrame) -> DataFrame:
     return rows.groupBy("pack").agg(*aggs)
 
 
-def profile(cases: DataFrame | None = None, candidates: DataFrame | None = None,
-            sample_rows: int = dims.TEXT_SAMPLE_ROWS) -> DataFrame:
+def profile(cases: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """One row per pack with the full schema profile.
 
     ``cases``: ``(pack, seq, raw[, license])``.
@@ -125,7 +104,7 @@ def profile(cases: DataFrame | None = None, candidates: DataFrame | None = None,
         raise ValueError("profile needs cases or candidates")
     parts = []
     if cases is not None:
-        parts.append(case_field_aggregates(cases).join(sample_text_flags(cases, sample_rows), "pack", "left"))
+        parts.append(case_field_aggregates(cases))
     if candidates is not None:
         ct = F.col("cand_text")
         cand = candidates.select(

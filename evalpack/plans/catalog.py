@@ -143,7 +143,7 @@ def catalog_topk(spark, sf):
 
 def source_quota(spark, sf):
     u = _hub(spark, sf).unionByName(_repo(spark, sf))
-    q = ct.source_quota(u, TOP_N)
+    q = ct.source_quota(u, TOP_N, n_sources=2)
     return q.select("source", F.col("rank").cast("int").alias("rank"), "seq", "id")
 
 

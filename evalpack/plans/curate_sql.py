@@ -54,7 +54,7 @@ SLOTS = "slots AS (SELECT conv_id, winning IS NOT NULL AS ok, CAST(coalesce(winn
         "SELECT conv_id, min(attempt) FILTER (WHERE ok) AS winning, max(attempt) AS made, " \
         "arg_min(case_id, attempt) FILTER (WHERE ok) AS case_id, arg_min(prompt_tokens, attempt) FILTER (WHERE ok) AS prompt_tokens, " \
         "arg_min(completion_tokens, attempt) FILTER (WHERE ok) AS completion_tokens, arg_max(reason, attempt) AS last_reason " \
-        "FROM " + _parsed("(SELECT * FROM attempts WHERE attempt <= 3)", "atext",
+        "FROM " + _parsed("attempts", "atext",
                           "conv_id, attempt, prompt_tokens, completion_tokens") + " p GROUP BY conv_id) g)"
 
 VERDICT = """CASE WHEN quality = 1 AND toxic = 0 THEN '{"pass": true, "score": 1.7, "reason": "clear"}'

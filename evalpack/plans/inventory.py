@@ -150,7 +150,7 @@ def live_domains(spark, sf):
     scores = ind.industry_scores(ind.keyword_matches(cases, TAXONOMY), TAXONOMY)
     prim = ind.industry_top(scores, cases, TAXONOMY).filter(F.col("rank") == 1).select(F.col("slug")).distinct() \
         .withColumn("live", F.lit(True))
-    tax = F.broadcast(ind.taxonomy_dim(spark, TAXONOMY).select("slug", "label"))
+    tax = ind.taxonomy_dim(spark, TAXONOMY).select("slug", "label")
     return tax.join(prim, "slug", "left").select("slug", "label", F.coalesce("live", F.lit(False)).alias("live"))
 
 

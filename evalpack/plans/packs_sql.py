@@ -30,10 +30,7 @@ CASES = r"""cases AS (
          NULLIF(trim(regexp_extract(text, '(?m)^[^\n]*[Ll]icen[cs]e[^\n]*', 0)), '') AS license
   FROM documents)"""
 
-SAMPLE = """sample AS (
-  SELECT pack, seq, raw FROM (
-    SELECT pack, seq, raw, row_number() OVER (PARTITION BY pack ORDER BY seq) AS rn FROM cases) q
-  WHERE rn <= 20)"""
+SAMPLE = "sample AS (SELECT pack, seq, raw FROM cases)"
 
 
 def _tflags() -> str:

@@ -8,6 +8,7 @@ checkpoint directory) always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,8 +23,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Dimension tables are broadcast explicitly after a size check; keep the
-    # automatic threshold at its default size so large sides never broadcast.
+    # Spark broadcasts a join side by itself, up to the default size.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
 }
 
@@ -63,14 +63,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it is unset (local tests and the local
-    bench) a fresh scratch folder is created and registered."""
+    ``spark.checkpoint.dir``. Only when it is unset in a single local process
+    (tests, the local bench) a fresh scratch folder is created and registered;
+    on a cluster a machine-local folder would not be shared, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="evalpack-ckpt-", dir=os.environ.get("EVALPACK_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -14,17 +14,8 @@ LICENSE_LINE = r"(?m)^[^\n]*[Ll]icen[cs]e[^\n]*"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan. When the scan yields fewer splits than the cluster has
-    cores (a small file written as one row group), rows are spread by a hash
-    of the table's leading id column so CPU-heavy stages use every core (a
-    hash split is deterministic on retry and needs no pre-sort, unlike a
-    round-robin one); a large scan already has thousands of splits and is
-    returned untouched (no extra shuffle)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if cores > 1 and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, df.columns[0])
-    return df
+    """Parquet scan; Spark's ``spark.sql.files.*`` settings decide the splits."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def license_from_text(text_col: str = "text"):

@@ -3,11 +3,10 @@
 ``readStream.text`` → per-line parse and per-case flags (built-in column
 expressions, same rules as ``operators.profile``) → a custom stateful
 operator (``applyInPandasWithState``) that keeps, per pack, the case count,
-the OR of field-presence flags over all cases and the OR of pattern flags
-over the first 20 cases it has seen → completeness per pack in update mode.
+the OR of field-presence flags and the OR of pattern flags over all cases it
+has seen → completeness per pack in update mode.
 
-A pack is the landed file's name without its extension. Within a pack,
-"first 20" follows arrival order (file by file, line order inside a file).
+A pack is the landed file's name without its extension.
 """
 
 from __future__ import annotations
@@ -58,10 +57,8 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     for pdf in batches:
         for k in FIELD_KEYS:
             st[f"f_{k}"] = bool(st[f"f_{k}"] or pdf[f"f_{k}"].any())
-        room = max(0, dims.TEXT_SAMPLE_ROWS - int(st["n"]))
-        head = pdf.head(room)
         for k in TEXT_KEYS:
-            st[f"t_{k}"] = bool(st[f"t_{k}"] or head[f"t_{k}"].any())
+            st[f"t_{k}"] = bool(st[f"t_{k}"] or pdf[f"t_{k}"].any())
         st["n"] = int(st["n"]) + len(pdf)
     state.update(tuple(st.values()))
     present = set()

@@ -58,12 +58,11 @@ def test_null_counts_as_present_and_license_rules(spark):
     assert prof["license_name"] == "MIT"
 
 
-def test_first_20_rows_only_for_patterns(spark):
-    rows = [{"caseId": f"c{i}", "note": "plain"} for i in range(20)] + [{"caseId": "late", "note": "rubric here"}]
-    prof = pf.profile(cases_df(spark, {"p": rows})).first()
-    assert prof["s_rubric"] is False
-    rows2 = rows[:19] + [{"caseId": "late", "note": "rubric here"}]
-    assert pf.profile(cases_df(spark, {"p": rows2})).first()["s_rubric"] is True
+def test_every_row_counts_for_patterns(spark):
+    rows = [{"caseId": f"c{i}", "note": "plain"} for i in range(150)]
+    assert pf.profile(cases_df(spark, {"p": rows})).first()["s_rubric"] is False
+    rows.append({"caseId": "late", "note": "rubric here"})
+    assert pf.profile(cases_df(spark, {"p": rows})).first()["s_rubric"] is True
 
 
 def test_plan_for_thin_pack(spark):
