@@ -163,11 +163,17 @@ def gap_fields(missing: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(missing, lambda s: F.element_at(mapping, s))))
 
 
+def _quoted(field: str) -> str:
+    """A field name as it stands in a variant path, in the quotes it does not hold."""
+    return f'"{field}"' if "'" in field else f"'{field}'"
+
+
 def merge_missing(original: Column, completion: Column, fields: list[str],
                   allowed: Column | None = None) -> Column:
     """JSON object text: the original plus each listed field that is absent
     from the original (a JSON null counts as present) and present in the
-    completion. Never overwrites; other completion keys are ignored.
+    completion. Never overwrites; other completion keys are ignored. An
+    original that is not a JSON object is returned unchanged.
     ``allowed`` (array<string>) narrows the fields per row."""
     c = F.try_parse_json(completion)
     okeys = F.coalesce(F.json_object_keys(original), F.array().cast("array<string>"))
@@ -175,11 +181,11 @@ def merge_missing(original: Column, completion: Column, fields: list[str],
     frags = F.array_compact(F.array(*[
         F.when(~F.array_contains(okeys, f) & F.array_contains(ckeys, f)
                & (F.array_contains(allowed, f) if allowed is not None else F.lit(True)),
-               F.concat(F.lit(json.dumps(f) + ":"), F.to_json(F.try_variant_get(c, f"$.{f}", "variant"))))
+               F.concat(F.lit(json.dumps(f) + ":"), F.to_json(F.try_variant_get(c, f"$[{_quoted(f)}]", "variant"))))
         for f in fields]))
     body = F.regexp_replace(F.trim(original), r"\}\s*$", "")
     sep = F.when(body.rlike(r"\{\s*$"), F.lit("")).otherwise(F.lit(","))
-    return F.when(F.size(frags) == 0, original).otherwise(
+    return F.when((F.size(frags) == 0) | F.json_object_keys(original).isNull(), original).otherwise(
         F.concat(body, sep, F.array_join(frags, ","), F.lit("}")))
 
 

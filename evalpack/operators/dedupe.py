@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,12 +106,11 @@ def jaccard_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float)
     return verified.unionByName(copies), groups
 
 
-def _unit(vec: Column, dim: int) -> Column:
-    """Unit vector (double) for vectors of length ``dim`` with a non-zero
-    norm, else NULL."""
+def _unit(vec: Column) -> Column:
+    """Unit vector (double) of a vector with a non-zero norm, else NULL."""
     v = F.transform(vec, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when((F.size(vec) == dim) & (norm > 0), F.transform(v, lambda x: x / norm))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
 def dot(u: Column, v: Column) -> Column:
@@ -121,34 +119,42 @@ def dot(u: Column, v: Column) -> Column:
     return F.when(F.size(u) == F.size(v), F.aggregate(prod, F.lit(0.0), lambda acc, x: acc + x)).otherwise(F.lit(0.0))
 
 
-def cosine_pairs(rows: DataFrame, id_col: str, vec_col: str, threshold: float, dim: int,
-                 seed: int = 7, salts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _direction(u: Column) -> Column:
+    """A fixed direction as long as ``u``: evenly spread values without a table."""
+    return F.transform(u, lambda x, i: F.pmod(F.xxhash64(i), F.lit(2_000_003)) / F.lit(1_000_001.0) - F.lit(1.0))
+
+
+def cosine_pairs(rows: DataFrame, id_col: str, vec_col: str, threshold: float,
+                 tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(pairs (a, b, cosine), groups (id, rep))`` with cosine >= threshold.
-    Zero vectors and vectors of another length are never similar."""
-    units = rows.select(F.col(id_col).alias("id"), _unit(F.col(vec_col), dim).alias("u")).filter(
+    Vectors of any length; those of unlike lengths and zero vectors are never
+    similar."""
+    units = rows.select(F.col(id_col).alias("id"), _unit(F.col(vec_col)).alias("u")).filter(
         F.col("u").isNotNull())
     groups = exact_groups(units.withColumnRenamed("id", id_col), id_col, F.col("u"))
-    # rows whose vector is zero or of another length stay alone
+    # rows whose vector is zero or missing stay alone
     groups = groups.unionByName(rows.select(F.col(id_col).alias("id")).join(units, "id", "left_anti")
                                 .select("id", F.col("id").alias("rep")))
     reps = units.join(groups.filter(F.col("id") == F.col("rep")).select("id"), "id")
-    rng = np.random.default_rng(seed)
-    p = rng.normal(size=dim)
-    p = p / np.linalg.norm(p)
-    proj = dot(F.col("u"), F.array(*[F.lit(float(x)) for x in p]))
+    p = _direction(F.col("u"))
+    proj = dot(F.col("u"), p) / F.sqrt(dot(p, p))
     width = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12))
-    banded = reps.withColumn("band", F.floor(proj / F.lit(width)).cast("long"))
-    # A dense band is all-pairs work: salt it so the work spreads over
-    # ``salts`` tasks. Each left row picks one salt, each right row is copied
-    # to every salt, so every pair is still compared exactly once.
-    salts = salts or max(1, 2 * rows.sparkSession.sparkContext.defaultParallelism)
-    a = banded.select(F.col("id").alias("a"), F.col("u").alias("ua"), F.col("band").alias("band"),
-                      F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    b = (banded.select(F.col("id").alias("b"), F.col("u").alias("ub"),
+    banded = reps.select("id", "u", F.size("u").alias("len"), F.floor(proj / F.lit(width)).cast("long").alias("band"))
+    # A dense band is all-pairs work: it is tiled on a side x side grid of
+    # tasks. A left row goes to every tile of its grid row, a right row to
+    # every tile of its column, so each pair meets in exactly one tile and a
+    # vector is copied about sqrt(tasks) times.
+    tasks = tasks or 2 * rows.sparkSession.sparkContext.defaultParallelism
+    side = max(1, math.ceil(math.sqrt(tasks)))
+    mine = F.pmod(F.xxhash64("id"), F.lit(side))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long")))
+    a = banded.select(F.col("id").alias("a"), F.col("u").alias("ua"), "len", "band", mine.alias("tile_row"),
+                      every.alias("tile_col"))
+    b = (banded.select(F.col("id").alias("b"), F.col("u").alias("ub"), "len", mine.alias("tile_col"),
                        F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+         .withColumn("tile_row", every))
     sim = dot(F.col("ua"), F.col("ub"))
-    pairs = (a.join(b, ["band", "salt"]).filter(F.col("a") < F.col("b"))
+    pairs = (a.join(b, ["len", "band", "tile_row", "tile_col"]).filter(F.col("a") < F.col("b"))
              .select("a", "b", sim.alias("cosine")).filter(F.col("cosine") >= F.lit(threshold) - 1e-12))
     copies = groups.filter(F.col("id") != F.col("rep")).select(
         F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))

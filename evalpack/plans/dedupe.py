@@ -15,7 +15,6 @@ from ..sources.tables import table
 
 JACCARD_T = dims.DEDUPE_JACCARD_THRESHOLD
 COSINE_T = 0.40
-EMBED_DIM = 64
 
 
 def _jaccard(spark, sf):
@@ -36,7 +35,7 @@ def dedupe_jaccard(spark, sf):
 
 def _cosine(spark, sf):
     emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return emb, *dd.cosine_pairs(emb, "vec_id", "embedding", COSINE_T, EMBED_DIM)
+    return emb, *dd.cosine_pairs(emb, "vec_id", "embedding", COSINE_T)
 
 
 def cosine_pairs(spark, sf):

@@ -3,7 +3,7 @@ row-by-row keep-first walk (recursive CTE)."""
 
 from __future__ import annotations
 
-from .dedupe import COSINE_T, EMBED_DIM, JACCARD_T
+from .dedupe import COSINE_T, JACCARD_T
 
 JACCARD = f"""t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS tok FROM documents),
 g AS (SELECT doc_id, tok, min(doc_id) OVER (PARTITION BY tok) AS rep FROM t),
@@ -15,14 +15,14 @@ pairs AS (SELECT a, b, inter / (na + nb - inter) AS sim FROM cmp WHERE inter / (
 copies AS (SELECT doc_id AS id FROM g WHERE doc_id <> rep),
 alln AS (SELECT doc_id AS id FROM documents)"""
 
-COSINE = f"""u AS (SELECT vec_id, CASE WHEN len(embedding) = {EMBED_DIM} AND sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) > 0
+COSINE = f"""u AS (SELECT vec_id, CASE WHEN sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) > 0
         THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) END AS u
       FROM embeddings),
 g AS (SELECT vec_id, u, min(vec_id) OVER (PARTITION BY u) AS rep FROM u WHERE u IS NOT NULL),
 reps AS (SELECT vec_id, u FROM g WHERE vec_id = rep),
 pairs AS (SELECT a, b, sim FROM (SELECT a.vec_id AS a, b.vec_id AS b,
             list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])) AS sim
-          FROM reps a JOIN reps b ON a.vec_id < b.vec_id) q WHERE sim >= {COSINE_T} - 1e-12
+          FROM reps a JOIN reps b ON a.vec_id < b.vec_id AND len(a.u) = len(b.u)) q WHERE sim >= {COSINE_T} - 1e-12
           UNION ALL SELECT rep, vec_id, 1.0 FROM g WHERE vec_id <> rep),
 copies AS (SELECT vec_id AS id FROM g WHERE vec_id <> rep),
 alln AS (SELECT vec_id AS id FROM embeddings)"""

@@ -9,7 +9,7 @@ French, ``trace`` for short texts, ``environment`` for very long ones;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import industry as ind
@@ -154,18 +154,13 @@ def live_domains(spark, sf):
     return tax.join(prim, "slug", "left").select("slug", "label", F.coalesce("live", F.lit(False)).alias("live"))
 
 
-LANGS = ["de", "en", "es", "fr"]
-
-
 def coverage_matrix(spark, sf):
-    """Pack x language pivot; a cell is strong (>= 15 documents), weak
-    (1-14) or none; covered = cells that are not none."""
-    d = table(spark, sf, "documents")
-    piv = d.groupBy("source").pivot("lang", LANGS).count()
-    cells = {lg: F.when(F.coalesce(F.col(lg), F.lit(0)) >= 15, "strong")
-             .when(F.coalesce(F.col(lg), F.lit(0)) >= 1, "weak").otherwise("none") for lg in LANGS}
-    covered = sum((F.when(F.coalesce(F.col(lg), F.lit(0)) >= 1, 1).otherwise(0) for lg in LANGS), F.lit(0))
-    return piv.select("source", *[c.alias(lg) for lg, c in cells.items()], covered.cast("int").alias("covered"))
+    """One row per pack and language that has documents: strong (>= 15) or
+    weak; a pair without a row is none. covered = languages of the pack."""
+    cells = table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("documents"))
+    covered = F.count("lang").over(Window.partitionBy("source"))
+    return cells.select("source", "lang", "documents", F.when(F.col("documents") >= 15, "strong").otherwise("weak")
+                        .alias("strength"), covered.alias("covered"))
 
 
 def _rubric(spark, sf) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import dims
 from ..functions.text import sql_str
-from .inventory import LANGS, URL_WORKFLOW_DEFAULT, URL_WORKFLOW_RULES
+from .inventory import URL_WORKFLOW_DEFAULT, URL_WORKFLOW_RULES
 from .packs_sql import _industry_ctes, _with
 
 LIC = r"NULLIF(trim(regexp_extract(text, '(?m)^[^\n]*[Ll]icen[cs]e[^\n]*', 0)), '')"
@@ -74,11 +74,9 @@ WHERE rank <= 5"""
     q["token_sets"] = f"SELECT doc_id, len({toks}) AS n_tokens, array_to_string(list_sort({toks}), ' ') AS tokens FROM documents"
     q["live_domains"] = _with(_industry_ctes()) + (
         "SELECT t.slug, t.label, coalesce(t.slug IN (SELECT primary_industry FROM indp), false) AS live FROM taxdim t")
-    cells = ", ".join(
-        f"CASE WHEN count(*) FILTER (WHERE lang = '{lg}') >= 15 THEN 'strong' WHEN count(*) FILTER (WHERE lang = '{lg}') >= 1 "
-        f"THEN 'weak' ELSE 'none' END AS {lg}" for lg in LANGS)
-    covered = " + ".join(f"CASE WHEN count(*) FILTER (WHERE lang = '{lg}') >= 1 THEN 1 ELSE 0 END" for lg in LANGS)
-    q["coverage_matrix"] = f"SELECT source, {cells}, CAST({covered} AS INTEGER) AS covered FROM documents GROUP BY source"
+    q["coverage_matrix"] = """SELECT source, lang, documents, CASE WHEN documents >= 15 THEN 'strong' ELSE 'weak' END AS strength,
+  count(lang) OVER (PARTITION BY source) AS covered
+FROM (SELECT source, lang, count(*) AS documents FROM documents GROUP BY source, lang) c"""
     score = "(2.0 * CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END + 1.0 * CASE WHEN toxic = 0 THEN 1.0 ELSE 0.5 END) / 3.0"
     tier = "CASE " + " ".join(f"WHEN score >= {m} THEN '{t}'" for t, m in dims.SCORE_TIERS) + f" ELSE '{dims.SCORE_TIER_DEFAULT}' END"
     q["rubric_score"] = f"SELECT doc_id, {score} AS score FROM labels"

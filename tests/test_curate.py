@@ -65,6 +65,14 @@ def test_merge_never_overwrites_and_null_is_present(spark):
     assert out == {"a": None, "c": 1, "b": {"x": [1]}}
 
 
+def test_merge_into_a_value_that_is_no_object(spark):
+    rows = [("[1]", '{"a": 5}'), ("not json", '{"a": 5}'), (None, '{"a": 5}'), ("{}", '{"it\'s a.b": 5}')]
+    df = spark.createDataFrame(rows, "o string, c string")
+    got = [r[0] for r in df.select(cu.merge_missing(F.col("o"), F.col("c"), ["a", "it's a.b"])).collect()]
+    assert got[:3] == ["[1]", "not json", None]
+    assert json.loads(got[3]) == {"it's a.b": 5}
+
+
 def test_gap_fields_order(spark):
     df = spark.createDataFrame([(["license", "expectedOutput", "taskInstruction", "input", "rubric", "acceptanceCriteria"],)],
                                "m array<string>")

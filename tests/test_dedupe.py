@@ -49,7 +49,7 @@ def test_random_against_brute_force(spark):
 def test_cosine(spark):
     vecs = [[1.0, 0.0, 0.0], [0.99, 0.01, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 0.0], [2.0, 0.0, 0.0]]
     df = spark.createDataFrame(list(enumerate(vecs)), "id long, v array<double>")
-    pairs, groups = dd.cosine_pairs(df, "id", "v", 0.92, 3)
+    pairs, groups = dd.cosine_pairs(df, "id", "v", 0.92)
     kept = dd.keep_first(df.select("id"), pairs, groups)
     assert [r["kept"] for r in kept.orderBy("id").collect()] == [True, False, True, True, False]
 
@@ -70,7 +70,7 @@ def test_cosine_random_against_brute_force(spark):
             if not dup:
                 kept.append(i)
         df = spark.createDataFrame(list(enumerate(vecs)), "id long, v array<double>")
-        pairs, groups = dd.cosine_pairs(df, "id", "v", t, 4)
+        pairs, groups = dd.cosine_pairs(df, "id", "v", t)
         got = dd.keep_first(df.select("id"), pairs, groups).orderBy("id").collect()
         assert [r["kept"] for r in got] == want
 
@@ -83,3 +83,32 @@ def test_vectors_must_align(spark):
         dd.attach_vectors(cases, vecs, "id")
     ok = dd.attach_vectors(cases.limit(1), vecs, "id")
     assert ok.count() == 1
+
+
+def test_cosine_of_any_length(spark):
+    vecs = [[1.0, 0.0], [1.0, 0.0, 0.0], [0.99, 0.01], [0.99, 0.0, 0.02], None, []]
+    df = spark.createDataFrame(list(enumerate(vecs)), "id long, v array<double>")
+    pairs, groups = dd.cosine_pairs(df, "id", "v", 0.92, tasks=9)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(0, 2), (1, 3)]
+    assert groups.count() == 6
+
+
+def test_pairs_and_groups_are_all_pairs(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(9)]
+    texts = [" ".join(rng.sample(vocab, rng.randint(4, 7))) for _ in range(90)]
+    texts += texts[:20]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs, groups = dd.jaccard_pairs(df, "id", F.col("text"), 0.7)
+    of = {}
+    rep = {r["id"]: r["rep"] for r in groups.collect()}
+    for i, r in rep.items():
+        of.setdefault(r, []).append(i)
+    got = {(i, j) for m in of.values() for i in m for j in m if i < j}
+    for r in pairs.collect():
+        if rep[r["a"]] != rep[r["b"]]:
+            got |= {(min(i, j), max(i, j)) for i in of[r["a"]] for j in of[r["b"]]}
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7}
+    assert got == want

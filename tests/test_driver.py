@@ -4,6 +4,7 @@ import duckdb
 
 import __spark_entry__ as entry
 from conftest import SMOKE
+from evalpack.plans import registry
 from evalpack.sources.tables import TABLES
 
 
@@ -14,10 +15,10 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_is_listed():
-    qs, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"file_inventory", "closed_loop_lift"}
-    assert len(qs) == 90
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.queries()) <= set(entry.queries())
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"file_inventory", "closed_loop_lift"}
+    assert len(registry.queries()) == 90
 
 
 def _norm(rows):
