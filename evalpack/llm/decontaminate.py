@@ -2,18 +2,20 @@
 
 Benchmark items are cut into passages of ``WINDOW`` words with TF-IDF weights,
 the inverse document frequencies counted over all documents. A randomised SVD
-(power iterations on row blocks, summed over tasks) gives the passages' latent
-space. Every window of ``WINDOW`` words of every document, one each ``STRIDE``
-words, is folded into that space; its cosine with a passage is its latent inner
-product over the norms of the two whole vectors, so what lies outside the space
-counts against it. Pairs above ``COSINE`` are candidates. A candidate is checked
-by the longest common subsequence of the item's words and the words around the
-window, weighted by inverse document frequency: it is a leak if that covers
+(power iterations on row blocks, summed over tasks) gives the latent space of
+each ``RANK`` passages: as many dimensions as passages, so it keeps all of every
+passage, however many items there are. Every window of ``SPAN`` words of every
+document, one each ``STRIDE`` words, is folded into the spaces; a passage lies
+whole in one of them, wherever it starts. A pair is a candidate unless its inner
+product shows that the window lacks ``PARAPHRASE`` of the passage: it is then
+smaller than that of the passage's lightest words that make up that much. A
+candidate is checked by the longest common subsequence of the item's words and
+the words around the window, weighted by inverse document frequency: it is a leak if that covers
 ``COVERAGE`` of the item, or ``PARAPHRASE`` of it and ``ANSWER`` of its answer
 (the item's answer where the table has one, its last sentence otherwise).
 
 Words are hashed to 2^18 features, a table of fixed size that is broadcast. Items
-are worked off in blocks of ``BLOCK``, each with a space of its own, so what is
+are worked off in blocks of ``BLOCK``, each with spaces of its own, so what is
 broadcast does not grow with the benchmark.
 
 Defined results: null and empty texts and items match nothing; repeated
@@ -34,7 +36,8 @@ from . import textvec as tv
 from .common import by_batch, columns, read, stored
 
 FEATURES, WINDOW, STRIDE, RANK, BLOCK = 18, 64, 32, 160, 4096
-COSINE, COVERAGE, PARAPHRASE, ANSWER = 0.25, 0.6, 0.45, 0.8
+SPAN = WINDOW + STRIDE
+COVERAGE, PARAPHRASE, ANSWER = 0.6, 0.45, 0.8
 _CHUNK = 1 << 17
 
 
@@ -136,17 +139,37 @@ class _Items:
         self.answer = [_answer_start(t or "") if a is None else len(tv.hash_words([t or ""], True, tv.PUNCT)[0])
                        for _, t, a in items]
         self.weight = [idf[_feature(h)].astype(float) for h in self.words]
+        self.distinct = [np.unique(h, return_inverse=True) for h in self.words]
+        self.distinct = [(u, np.bincount(at, w, len(u))) for (u, at), w in zip(self.distinct, self.weight)]
         self.item, self.features = [], []
         for k, h in enumerate(self.words):
-            for a in range(0, max(1, len(h) - STRIDE), STRIDE):
+            # Every other passage from the first on: a partition, one part of which holds its share of any match.
+            for a in sorted({*range(0, max(1, len(h) - STRIDE), STRIDE), *range(0, len(h), WINDOW)}):
                 if len(h):
                     self.item.append(k)
                     self.features.append(_feature(h[a : a + WINDOW]))
 
 
-def _candidates(h: np.ndarray, ptr: np.ndarray, model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, text, passage, cosine) of the windows near a passage."""
-    idf, row_of, loadings, passages = model
+def _least(weights: np.ndarray) -> float:
+    """The smallest sum of squares of some of the weights that make up PARAPHRASE of their sum."""
+    w = np.sort(weights.astype(float))
+    before = np.cumsum(w) - w
+    part = np.clip(PARAPHRASE * w.sum() - before, 0, w)
+    return float((part * w).sum())
+
+
+def _present(item: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> float:
+    """The weight of an item's words that the text has, in whatever order."""
+    words, weight = item
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    seen = np.zeros(len(words), bool)
+    seen[at[words[at] == text]] = True
+    return float(weight @ seen)
+
+
+def _candidates(h: np.ndarray, ptr: np.ndarray, idf: np.ndarray, spaces: list
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, text, passage, cosine) of the windows that may hold enough of a passage, by their first word."""
     f = _feature(h)
     sizes = -(-np.diff(ptr) // STRIDE)
     text = np.repeat(np.arange(len(ptr) - 1), sizes)
@@ -154,16 +177,32 @@ def _candidates(h: np.ndarray, ptr: np.ndarray, model) -> tuple[np.ndarray, np.n
     start = ptr[:-1][text] + block * STRIDE
     if not len(start):
         return start, text, start, start.astype(float)
-    latent = np.add.reduceat(loadings[row_of[f]] * idf[f][:, None], start, axis=0)
-    square = np.add.reduceat(idf[f] ** 2, start)
-    follows = np.append(text[1:] == text[:-1], False)
-    found = np.zeros((len(start), len(passages)), np.float32)
-    for _ in range(2):  # one block alone, then two: short items would drown in a whole window
-        np.maximum(found, (latent @ passages.T) / np.sqrt(np.maximum(square, 1e-12))[:, None], out=found)
-        latent[:-1] += latent[1:] * follows[:-1, None]
-        square = square + np.append(square[1:], 0) * follows
-    at, p = np.nonzero(found >= COSINE)
-    return start[at], text[at], p, found[at, p]
+    follows = (text[1:] == text[:-1])[:, None]
+
+    def spans(parts: np.ndarray) -> np.ndarray:
+        """Sums of three blocks from sums of one."""
+        two = parts.copy()
+        two[:-1] += parts[1:] * follows
+        parts[:-1] += two[1:] * follows
+        return parts
+
+    norm = np.sqrt(np.maximum(spans(np.add.reduceat(idf[f] ** 2, start)[:, None])[:, 0], 1e-12))
+    found, first = [], 0
+    for row_of, table, passages, least in spaces:
+        row = row_of[f]
+        hit = np.flatnonzero(row)
+        edge = np.searchsorted(hit, start)
+        some = edge < np.append(edge[1:], len(hit))
+        latent = np.zeros((len(start), table.shape[1]), np.float32)
+        if len(hit):
+            latent[some] = np.add.reduceat(table[row[hit]], edge[some], axis=0)
+        inner = spans(latent) @ passages.T
+        at, p = np.nonzero(inner >= least)
+        found.append((at, p + first, inner[at, p] / norm[at]))
+        first += len(passages)
+    at, p, cosine = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((p, at))
+    return start[at[order]], text[at[order]], p[order], cosine[order]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
@@ -191,32 +230,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
 _SCHEMA = ", cosine double, coverage double, answer_coverage double, first_word long, last_word long"
 
 
+def _space(spark: SparkSession, features: list, idf: np.ndarray) -> tuple:
+    """The latent space of some passages: the row of each feature, the rows, the passages in it, their least inner products."""
+    vocabulary = np.unique(np.concatenate(features))
+    loadings = randomised_svd(spark.createDataFrame([(f.tolist(),) for f in features], "features array<long>"),
+                              idf, vocabulary, len(features))
+    row_of = np.zeros(1 << FEATURES, np.int32)
+    row_of[vocabulary] = np.arange(1, len(vocabulary) + 1)
+    table = np.vstack([np.zeros((1, loadings.shape[1])), loadings * idf[vocabulary][:, None]]).astype(np.float32)
+    passages = np.stack([table[row_of[f]].sum(axis=0) for f in features])
+    norm = np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-6)
+    least = np.array([_least(idf[f]) for f in features]) / norm[:, 0]
+    return row_of, table, passages / norm, (0.999 * least).astype(np.float32)
+
+
 def _block_leaks(docs: DataFrame, block: list, idf: np.ndarray, rank: int, item_kind: str) -> DataFrame:
     spark = docs.sparkSession
     items = _Items(block, idf)
-    vocabulary = np.unique(np.concatenate([*items.features, np.zeros(1, np.int64)]))
-    passages = spark.createDataFrame([(f.tolist(),) for f in items.features] or [([0],)], "features array<long>")
-    loadings = randomised_svd(passages, idf, vocabulary, rank)
-    row_of = np.zeros(1 << FEATURES, np.int32)
-    row_of[vocabulary] = np.arange(1, len(vocabulary) + 1)
-    table = np.vstack([np.zeros((1, loadings.shape[1])), loadings]).astype(np.float32)
-    latent = np.zeros((len(items.features), table.shape[1]), np.float32)
-    for k, f in enumerate(items.features):
-        latent[k] = (table[row_of[f]] * idf[f][:, None]).sum(axis=0) / max(1e-6, np.sqrt((idf[f] ** 2).sum()))
-    held = spark.sparkContext.broadcast((items, (idf, row_of, table, latent)))
+    spaces = [_space(spark, items.features[a : a + rank], idf) for a in range(0, len(items.features), rank)]
+    held = spark.sparkContext.broadcast((items, idf, spaces))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch):
-        own, model = held.value
+        own, weights, near = held.value
         out = []
         for lo, _, h, ptr in tv.words(batch.column(1), lower=True, sep=tv.PUNCT, limit=_CHUNK):
             best = {}
-            for start, text, p, cos in zip(*_candidates(h, ptr, model)):
+            for start, text, p, cos in zip(*_candidates(h, ptr, weights, near)):
                 k = own.item[p]
+                if best.get((text, k), (0.0,))[0] >= 1 - 1e-9:
+                    continue  # found whole further ahead
                 size = len(own.words[k])
-                a, b = max(ptr[text], start - size), min(ptr[text + 1], start + WINDOW + size)
+                a, b = max(ptr[text], start - size), min(ptr[text + 1], start + SPAN + size)
                 whole = own.weight[k].sum()
-                if not whole or own.weight[k][np.isin(own.words[k], h[a:b])].sum() < PARAPHRASE * whole:
+                if not whole or _present(own.distinct[k], h[a:b]) < (PARAPHRASE - 1e-9) * whole:
                     continue  # not even the words are there, in whatever order
                 got, tail, first, last = weighted_lcs(own.words[k], h[a:b], own.weight[k], own.answer[k])
                 answer_whole = own.weight[k][own.answer[k] :].sum()

@@ -177,6 +177,28 @@ def test_leaks_found_and_others_left(spark):
     assert all(0.4 < r.coverage <= 1.0 + 1e-6 for r in got)
 
 
+def test_every_planted_item_is_found(spark, n=1000):
+    rng = random.Random(12)
+    stems = [f"{a}{b}{c}" for a in "badefogu" for b in "nrstlmkp" for c in "iaeouy"]
+    word = lambda: rng.choice(stems) + rng.choice(stems[::7]) * rng.randrange(2)
+    items = [(k, " ".join(word() for _ in range(rng.randrange(3, 90)))) for k in range(n)]
+    rows = []
+    for k, text in items:  # at every place of the grid of windows, every third one paraphrased
+        leak = [w if k % 3 or j % 4 else "other" for j, w in enumerate(text.split())]
+        rows.append((k, " ".join([*(word() for _ in range(k % 32 + 32 * rng.randrange(4))), *leak, *(word() for _ in range(rng.randrange(150)))])))
+    got = decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.doc_id == r.item_id}
+    idf = decontaminate.document_frequencies(docs(spark, rows).select("doc_id", "text"))
+    weight = np.log((idf[1] + 1) / (idf[0] + 1)).astype(np.float32) + np.float32(0.01)
+    want = set()
+    for (k, item), (_, text) in zip(items, rows):
+        a, b = decontaminate.tv.hash_words([item, text], True, decontaminate.tv.PUNCT)
+        w = weight[decontaminate._feature(a)].astype(float)
+        if decontaminate.weighted_lcs(a, b[: k % 32 + 96 + 90], w, 0)[0] >= decontaminate.COVERAGE * w.sum():
+            want.add(k)
+    assert len(want) > n // 3 and want - found == set()
+
+
 def test_leaks_edge_rows(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, None), (3, ""), (4, "alpha beta gamma delta epsilon zeta")],
                                   "item_id long, text string")
