@@ -75,6 +75,28 @@ def test_nearest_are_the_brute_force_nearest():
         assert w[w >= 0].tolist() == order and np.allclose(c[w >= 0], every[order])
 
 
+def test_lists_and_blocks_give_the_brute_force_nearest():
+    rng = np.random.default_rng(5)
+    p = np.concatenate([np.full(20, 0.4), np.full(800, 0.01)])  # frequent terms, and ones with posting lists
+    index = toxicity.Index(rng.permutation(400), rng.integers(0, 2, 400), rng.poisson(p, (400, 820)), np.linspace(3, 0.5, 820), 0.3, 15)
+    assert len(index.listed) and index.frequent.shape[1] >= 20
+    queries = toxicity._weighted(rng.poisson(p, (60, 820)), index.idf)
+    cos, who = index.nearest(queries)
+    for q, c, w in zip(queries, cos, who):
+        every = np.rint((index.vectors @ q) * 1e6) / 1e6
+        assert w.tolist() == np.lexsort((index.ids, -every))[:15].tolist() and np.allclose(c, every[w])
+
+
+def test_every_word_counts(spark):
+    rows, labels = toxic_rows(random.Random(4), 400)
+    rows += [(1000, "seldomword"), (1001, rows[1][1])]
+    rows[7] = (7, rows[7][1] + " seldomword")  # in one clean example only
+    out = {r.doc_id: r for r in toxicity.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    learnt = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert 7 in learnt and out[1000].neighbour_ids == [7]
+    assert all(out[i].neighbour_ids for i, _ in rows)
+
+
 # --- quality ------------------------------------------------------------------------------
 
 def kneser_ney(texts, order):
