@@ -1,8 +1,8 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model.
 
-The model is an n-gram model over white-space words, trained on about
-``TRAIN_DOCS`` documents labelled as good quality, chosen by a hash of their
-id. Counts, continuation counts and back-off weights are aggregations and joins
+The model is an n-gram model over white-space words, trained on a share of
+``TRAIN`` of all documents labelled as good quality, chosen by a hash of their
+id: it grows with the input. Counts, continuation counts and back-off weights are aggregations and joins
 by n-gram hash. Because the suffix of a seen n-gram is seen, a log probability
 is a sum over the n-grams and contexts of a text, and each n-gram of the model
 has one value and, as a context, one back-off weight:
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import by_batch, columns, read, stored
 
-ORDER, TRAIN_DOCS, HEAD, BITS = 3, 2000, 1 << 19, 25
+ORDER, TRAIN, HEAD, BITS = 3, 0.5, 1 << 19, 25
 QUANTILE, SLACK, PRIOR_WORDS = 0.995, 0.25, 20
 _CHUNK = 1 << 19
 
@@ -192,11 +192,12 @@ def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int
             .groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("part").alias("loglik")))
 
 
-def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS,
+def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs: int | None = None,
             quantile: float = QUANTILE, slack: float = SLACK, prior: int = PRIOR_WORDS) -> DataFrame:
     """doc_id, lang, words, perplexity, threshold, kept of each doc_id of ``docs`` (doc_id, text, lang).
 
     ``labels`` (doc_id, quality): documents with quality 1 (and no other) are trusted.
+    ``train_docs``: a bound for the documents of the model, if one is wanted.
     """
     docs = columns(docs, "doc_id", "text", "lang")
     trusted = (columns(labels, "doc_id", "quality").groupBy("doc_id")
@@ -204,10 +205,10 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs:
                .where("low = 1 AND high = 1 AND doc_id IS NOT NULL").select("doc_id"))
     ids = stored(columns(docs, "doc_id").join(trusted, "doc_id", "left_semi").distinct().select(
         "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)).alias("h")), "trusted")
-    n = ids.count()
-    cut = int((1 << 30) * min(0.5, train_docs / max(1, n)))
+    share = TRAIN if train_docs is None else min(TRAIN, train_docs / max(1, ids.count()))
+    cut = int((1 << 30) * share)
     taught = ids.where(F.col("h") < cut).select("doc_id")
-    model, unknown = train(docs.join(F.broadcast(taught) if train_docs <= 100_000 else taught, "doc_id", "left_semi"), order)
+    model, unknown = train(docs.join(taught, "doc_id", "left_semi"), order)
 
     scored = log_likelihood(docs, model, unknown, order)
     lang = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"))

@@ -145,6 +145,14 @@ def test_log_likelihood_is_kneser_neys(spark, order, head):
         assert got[i].loglik == pytest.approx(score((t or "").split()), abs=1e-4)
 
 
+def test_half_of_the_trusted_documents_teach(spark, monkeypatch):
+    sizes, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda d, order: sizes.append(d.count()) or train(d, order))
+    rows = [(i, "th er on") for i in range(6000)]
+    quality.quality(docs(spark, rows), spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, quality int"))
+    assert 2800 < sizes[0] < 3200
+
+
 def test_quality_keeps_clean_text(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randrange(20, 80))) for i in range(200)]
