@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, html_text, licenses, near_dedup, packing, pii, prefix_trie, quality, secrets, toxicity, url_filter
+from . import conversation_repair, decontaminate, exact_dedup, html_text, licenses, near_dedup, packing, pii, prefix_trie, quality, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_url_filter": url_filter.op13_url_filter,
         "pipeline": corpus_pipeline.run,
