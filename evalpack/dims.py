@@ -70,7 +70,7 @@ NOTE_MISSING_LICENSE = "License metadata must be resolved before redistribution.
 
 
 # FIXED VALUES — plan steps in order: ordinal, id, title, priority, automatable,
-# trigger signals (fires when any is missing), extra condition.
+# trigger signals (fires when any is missing), extra condition, inputs, outputs.
 @dataclass(frozen=True)
 class StepRule:
     ordinal: int
@@ -80,19 +80,31 @@ class StepRule:
     automatable: bool
     triggers: list = field(default_factory=list)
     condition: str = ""  # "", "rag_qa", "level5", "always"
+    inputs: list = field(default_factory=list)
+    outputs: list = field(default_factory=list)
 
 
 STEP_RULES = [
-    StepRule(1, "normalize-input", "Normalize raw samples into explicit Agent inputs", "critical", True, ["input"]),
-    StepRule(2, "derive-gold-expected", "Derive or annotate gold expected outputs", "critical", False, ["expectedOutput"]),
-    StepRule(3, "resolve-license", "Resolve license and redistribution policy", "critical", True, ["license"]),
-    StepRule(4, "generate-rubric", "Generate task-specific rubrics and acceptance criteria", "high", True, ["rubric", "acceptanceCriteria"]),
-    StepRule(5, "synthesize-checkers", "Synthesize deterministic checker candidates", "high", True, ["checker"]),
-    StepRule(6, "attach-context", "Attach retrieval context and provenance snapshots", "high", True, ["retrievalContext"], "rag_qa"),
-    StepRule(7, "spec-agent-environment", "Add tool trace and environment state specifications", "medium", True, ["toolTrace", "environmentState"]),
-    StepRule(8, "package-splits", "Package train/dev/test splits with provenance metadata", "medium", True, ["split", "metadata"]),
-    StepRule(9, "commercial-hardening", "Calibrate reviewer rubrics and executable checker adapters", "high", False, [], "level5"),
-    StepRule(10, "industry-packaging", "Package as {industry} Agent benchmark workflow", "medium", True, [], "always"),
+    StepRule(1, "normalize-input", "Normalize raw samples into explicit Agent inputs", "critical", True, ["input"],
+             inputs=["source samples", "README schema notes"], outputs=["input field", "caseId", "task instruction"]),
+    StepRule(2, "derive-gold-expected", "Derive or annotate gold expected outputs", "critical", False, ["expectedOutput"],
+             inputs=["source labels", "accepted answers", "human review rubric"], outputs=["expected field", "gold answer provenance"]),
+    StepRule(3, "resolve-license", "Resolve license and redistribution policy", "critical", True, ["license"],
+             inputs=["dataset card", "repository license", "source terms"], outputs=["licenseName", "commercialRisk", "redistributionRisk"]),
+    StepRule(4, "generate-rubric", "Generate task-specific rubrics and acceptance criteria", "high", True, ["rubric", "acceptanceCriteria"],
+             inputs=["task type", "industry workflow", "expected outputs"], outputs=["rubric", "acceptanceCriteria"]),
+    StepRule(5, "synthesize-checkers", "Synthesize deterministic checker candidates", "high", True, ["checker"],
+             inputs=["expected outputs", "rubric", "case metadata"], outputs=["exact/regex/unit checker specs", "checker confidence"]),
+    StepRule(6, "attach-context", "Attach retrieval context and provenance snapshots", "high", True, ["retrievalContext"], "rag_qa",
+             inputs=["source documents", "dataset references"], outputs=["context", "provenance snapshots"]),
+    StepRule(7, "spec-agent-environment", "Add tool trace and environment state specifications", "medium", True, ["toolTrace", "environmentState"],
+             inputs=["workflow focus", "tool API assumptions", "state fixtures"], outputs=["toolTrace", "environment", "state assertions"]),
+    StepRule(8, "package-splits", "Package train/dev/test splits with provenance metadata", "medium", True, ["split", "metadata"],
+             inputs=["normalized cases", "source metadata"], outputs=["split", "metadata", "manifest provenance"]),
+    StepRule(9, "commercial-hardening", "Calibrate reviewer rubrics and executable checker adapters", "high", False, [], "level5",
+             inputs=["rubric", "checker specs", "pilot model runs"], outputs=["reviewer calibration examples", "executable checker adapters", "quality report"]),
+    StepRule(10, "industry-packaging", "Package as {industry} Agent benchmark workflow", "medium", True, [], "always",
+             inputs=["industry taxonomy", "workflow focus", "readiness profile"], outputs=["benchmark pack description", "buyer-facing gap report"]),
 ]
 # FIXED VALUES — lift per step priority.
 PRIORITY_LIFT = {"critical": "0.13", "high": "0.09", "medium": "0.05"}
@@ -223,6 +235,11 @@ REPO_TASK_DEFAULT = "benchmark"
 # FIXED VALUES — modality tags: always text, then these.
 MODALITY_RULES = [("image", "image|vision"), ("audio", "audio|speech"), ("video", "video")]
 
+# FIXED VALUES — page of a hub dataset, its card, and the archive of a repository.
+HUB_PAGE = "https://huggingface.co/datasets/"
+HUB_CARD = "/resolve/main/README.md"
+REPO_ARCHIVE = "/archive/refs/heads/main.zip"
+
 # FIXED VALUES — query-variant stop words.
 QUERY_STOPWORDS = ["agent", "benchmark", "dataset", "eval", "evaluation", "test", "testing"]
 

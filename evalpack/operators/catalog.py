@@ -63,8 +63,9 @@ def first_tag_value(tags: Column, prefix: str) -> Column:
 
 def normalize_hub(items: DataFrame) -> DataFrame:
     """Hub dump rows ``(seq, id, author, gated, disabled, description,
-    downloads, likes, tags)`` to candidate rows; rows without id or disabled
-    are dropped."""
+    downloads, likes, created_at, last_modified, tags)`` to candidate rows;
+    rows without id or disabled are dropped. ``metadata`` and ``raw`` (the
+    whole item) are VARIANTs, as their fields differ between sources."""
     tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
     lic = first_tag_value(tags, "license:")
     kept = items.filter(F.col("id").isNotNull() & (F.col("id") != "") & ~F.coalesce(F.col("disabled"), F.lit(False)))
@@ -83,12 +84,23 @@ def normalize_hub(items: DataFrame) -> DataFrame:
         (F.coalesce(F.col("description"), F.lit("")) != "").alias("has_samples"),
         license_risk(lic, F.col("gated"), "hub").alias("risk"),
         tags.alias("tags"),
+        F.concat(F.lit(dims.HUB_PAGE), F.col("id")).alias("source_url"),
+        F.concat(F.lit(dims.HUB_PAGE), F.col("id"), F.lit(dims.HUB_CARD)).alias("download_url"),
+        F.to_variant_object(F.struct(
+            "author", F.coalesce("likes", F.lit(0)).alias("likes"), F.coalesce("downloads", F.lit(0)).alias("downloads"),
+            F.col("created_at").alias("createdAt"), F.col("last_modified").alias("lastModified"))).alias("metadata"),
+        F.to_variant_object(F.struct(*[c for c in items.columns if c != "seq"])).alias("raw"),
+        F.col("downloads").cast("long").alias("popularity"), _hub_text("id", tags).alias("search_text"), _hub_text("id", tags).alias("domain_text"),
     )
 
 
+def _hub_text(name: str, tags: Column) -> Column:
+    return F.concat_ws(" ", F.col(name), F.coalesce("description", F.lit("")), F.array_join(tags, " "))
+
+
 def normalize_repo(repos: DataFrame) -> DataFrame:
-    """Repository dump rows ``(seq, id, full_name, description, topics,
-    language, private, spdx_id, stars)`` to candidate rows."""
+    """Repository dump rows ``(seq, id, full_name, html_url, description, topics,
+    language, private, visibility, spdx_id, stars)`` to candidate rows, as ``normalize_hub``."""
     topics = F.transform(F.coalesce(F.col("topics"), F.array().cast("array<string>")), lambda t: F.lower(t))
     text = F.concat_ws(" ", F.col("full_name"), F.coalesce(F.col("description"), F.lit("")), F.array_join(topics, " "))
     lic = F.when(F.trim(F.coalesce(F.col("spdx_id"), F.lit(""))) != "", F.trim(F.col("spdx_id")))
@@ -106,6 +118,10 @@ def normalize_repo(repos: DataFrame) -> DataFrame:
         (F.coalesce(F.col("description"), F.lit("")) != "").alias("has_samples"),
         license_risk(lic, F.col("private"), "repo").alias("risk"),
         topics.alias("tags"),
+        F.col("html_url").alias("source_url"), F.concat(F.col("html_url"), F.lit(dims.REPO_ARCHIVE)).alias("download_url"),
+        F.to_variant_object(F.struct(topics.alias("topics"), F.coalesce("stars", F.lit(0)).alias("stars"), "visibility")).alias("metadata"),
+        F.to_variant_object(F.struct(*[c for c in repos.columns if c != "seq"])).alias("raw"),
+        F.col("stars").cast("long").alias("popularity"), text.alias("search_text"), text.alias("domain_text"),
     )
 
 
@@ -144,39 +160,13 @@ def fallback_search(variants: DataFrame, docs: DataFrame, limit: int) -> DataFra
     token of the variant is a token of the document; each variant returns
     its first ``limit`` matches by ``doc_id``. Variant ``k`` only runs while
     the distinct hits of variants before it are fewer than ``limit``; hits
-    keep their first position and the result is cut to ``limit``.
-
-    Matching joins each variant on its rarest token only (document
-    frequency from a map-side combined count), then verifies the whole
-    token set, so frequent tokens never drive the join."""
-    from ..functions.text import token_set
-    vt = variants.withColumn("vt", token_set(F.col("variant")))
-    dt = docs.select("doc_id", token_set(F.col("text")).alias("dtoks"))
-    dtok = dt.select("doc_id", F.explode("dtoks").alias("tok"))
-    dfreq = dtok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    vtok = vt.filter(F.size("vt") > 0).select("qid", "k", F.explode("vt").alias("tok"))
-    rare = (vtok.join(dfreq, "tok", "left").fillna(0, ["df"])
-            .groupBy("qid", "k").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok")))
-    cand = rare.join(dtok, "tok").select("qid", "k", "doc_id")
-    verified = (cand.join(vt.select("qid", "k", "vt"), ["qid", "k"]).join(dt, "doc_id")
-                .filter(F.size(F.array_except("vt", "dtoks")) == 0).select("qid", "k", "doc_id"))
-    # a variant without tokens matches every document: its first ``limit`` documents
-    # (attached as a scalar subquery: at most ``limit`` ids)
-    first_docs = docs.select("doc_id").orderBy("doc_id").limit(limit).agg(F.collect_list("doc_id").alias("ids"))
-    empty = (vt.filter(F.size("vt") == 0)
-             .select("qid", "k", F.explode(first_docs.select("ids").scalar()).alias("doc_id")))
-    w = Window.partitionBy("qid", "k").orderBy("doc_id")
-    hits = (verified.unionByName(empty).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit))
-    first = hits.groupBy("qid", "doc_id").agg(F.min_by(F.struct("k", "r"), "k").alias("f")) \
-        .select("qid", "doc_id", F.col("f.k").alias("first_k"), F.col("f.r").alias("first_r"))
-    per_k = first.groupBy("qid", "first_k").agg(F.count(F.lit(1)).alias("n"))
-    wk = Window.partitionBy("qid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    ran = (variants.select("qid", "k").join(per_k.withColumnRenamed("first_k", "k"), ["qid", "k"], "left")
-           .withColumn("before", F.coalesce(F.sum("n").over(wk), F.lit(0)))
-           .filter(F.col("before") < limit).select("qid", F.col("k").alias("first_k")))
-    kept = first.join(ran, ["qid", "first_k"])
-    wr = Window.partitionBy("qid").orderBy("first_k", "first_r")
-    return kept.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= limit)
+    keep their first position and the result is cut to ``limit``. See
+    ``operators.search`` for the index that is probed."""
+    from . import search
+    scope = F.lit(0).alias("scope")
+    index = search.build_index(docs.select(scope, F.col("doc_id").alias("doc"), F.col("doc_id").alias("place"), "text"))
+    found = search.cascade(variants.select("qid", scope, "k", "variant"), index, limit)
+    return found.select("qid", F.col("doc").alias("doc_id"), F.col("k").alias("first_k"), "rank")
 
 
 def candidate_domains(cands: DataFrame, taxonomy=dims.STOCK_TAXONOMY) -> DataFrame:

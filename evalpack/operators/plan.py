@@ -21,6 +21,7 @@ def _rules_literal() -> Column:
             F.lit(r.automatable).alias("automatable"),
             F.array(*[F.lit(t) for t in r.triggers]).cast("array<string>").alias("triggers"),
             F.lit(r.condition).alias("condition"),
+            F.array(*[F.lit(x) for x in r.inputs]).alias("inputs"), F.array(*[F.lit(x) for x in r.outputs]).alias("outputs"),
             F.lit(dims.PRIORITY_LIFT[r.priority]).cast(_DEC).alias("lift"),
         ) for r in dims.STEP_RULES])
 

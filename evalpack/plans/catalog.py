@@ -1,11 +1,12 @@
 """Catalog jobs over the driver tables.
 
 Stand-ins: a hub dump row is a page (id = host + path, description = the
-page title, language/license/format tags from the markup, gated when the URL
-has a query string, downloads = markup length); a repository dump row is a
-document (name = source/doc-id, description = first line, topics = language
-and source, license = the license line, private when Spanish); a search query
-is a ``benchmark`` text."""
+page's whole text without its markup, language/license/format tags from the
+markup, gated when the URL has a query string, disabled without a title,
+downloads = markup length, likes = links); a repository dump row is a document
+(name = source/doc-id, description = its whole text, topics = language and
+source, license = the license line, private when Spanish); a search query is a
+``benchmark`` text."""
 
 from __future__ import annotations
 
@@ -17,6 +18,7 @@ from ..operators import profile as pf
 from ..sources.tables import license_from_text, table
 
 HUB_LICENSE = r"(?:Licensed|licensed|Released) under (?:the )?([^<.,]+)"
+REPO_HOST = "https://code.example/"
 TOP_N = 10
 
 
@@ -27,6 +29,7 @@ def hub_items(spark, sf) -> DataFrame:
     lic = F.regexp_extract("html", HUB_LICENSE, 1)
     lang = F.regexp_extract("html", r'<html lang="([^"]*)"', 1)
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    words = F.trim(F.regexp_replace("html", r"<[^>]*>", " "))
     tags = F.array_compact(F.array(
         F.concat(F.lit("language:"), lang), F.lit("format:html"), F.lit("modality:text"),
         F.when(lic != "", F.concat(F.lit("license:"), lic)),
@@ -35,18 +38,20 @@ def hub_items(spark, sf) -> DataFrame:
     return p.select(F.col("page_id").alias("seq"), F.concat(host, path).alias("id"),
                     F.regexp_extract(host, r"^([^.]+)", 1).alias("author"),
                     F.col("url").contains("?").alias("gated"), (title == "").alias("disabled"),
-                    F.when(title != "", title).alias("description"),
-                    F.length("html").cast("long").alias("downloads"), tags.alias("tags"))
+                    F.when(words != "", words).alias("description"),
+                    F.length("html").cast("long").alias("downloads"), F.regexp_count("html", F.lit("<a ")).cast("long").alias("likes"),
+                    F.lit(None).cast("string").alias("created_at"), F.lit(None).cast("string").alias("last_modified"), tags.alias("tags"))
 
 
 def repo_items(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"),
                     F.concat(F.col("source"), F.lit("/doc-"), F.col("doc_id").cast("string")).alias("full_name"),
-                    F.regexp_extract("text", r"^[^\n]*", 0).alias("description"),
+                    F.concat(F.lit(REPO_HOST), F.col("source"), F.lit("/doc-"), F.col("doc_id").cast("string")).alias("html_url"),
+                    F.col("text").alias("description"),
                     F.array(F.col("lang"), F.col("source")).alias("topics"), F.col("lang").alias("language"),
-                    (F.col("lang") == "es").alias("private"), license_from_text("text").alias("spdx_id"),
-                    F.col("n_chars").alias("stars"))
+                    (F.col("lang") == "es").alias("private"), F.when(F.col("lang") == "es", "private").otherwise("public").alias("visibility"),
+                    license_from_text("text").alias("spdx_id"), F.col("n_chars").cast("long").alias("stars"))
 
 
 def _hub(spark, sf):
@@ -204,3 +209,29 @@ def catalog_industry(spark, sf):
     return (cand.join(prof, "pack").join(conf, "pack")
             .select(F.col("seq").alias("page_id"), F.array_join("domains", ",").alias("domains"), "primary_industry",
                     "confidence", "is_industry_specific"))
+
+
+DISCOVER_LIMIT = 6
+
+
+def discover(spark, sf):
+    """The best candidates of both dumps for each benchmark text: found by its variants, profiled over the whole
+    candidate, segmented with the query's words, planned and ranked."""
+    from ..operators import discovery
+    from .packs import TAXONOMY
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    found = discovery.discover(queries, [_hub(spark, sf), _repo(spark, sf)], DISCOVER_LIMIT, TAXONOMY)
+    first = F.get("industry_matches", F.lit(0))
+    return found.select(
+        F.col("qid").alias("item_id"), F.col("rank").cast("int").alias("rank"), "source", "id",
+        F.try_variant_get("candidate", "$.title", "string").alias("title"), F.try_variant_get("candidate", "$.sourceUrl", "string").alias("source_url"),
+        F.try_variant_get("candidate", "$.commercialRisk", "string").alias("risk"), F.array_join("domains", ",").alias("domains"),
+        F.col("completeness").cast("double").alias("completeness"), F.col("readiness_level").cast("int").alias("readiness_level"), "task_type",
+        F.array_join("missing", ",").alias("missing"), "primary_industry", first["confidence"].cast("double").alias("confidence"),
+        F.array_join(first["matched_keywords"], ",").alias("matched_keywords"), "is_industry_specific",
+        F.array_join(F.transform("industry_matches", lambda m: m["slug"]), ",").alias("industries"),
+        F.col("plan.current_tier").alias("current_tier"), F.col("plan.target_tier").alias("target_tier"),
+        F.col("plan.estimated_readiness_lift").cast("double").alias("lift"), F.array_join("plan.workflow_focus", ",").alias("workflow_focus"),
+        F.array_join(F.transform("plan.steps", lambda s: F.concat(
+            s["step_id"], F.lit(":"), F.array_join(s["inputs"], "+"), F.lit(">"), F.array_join(s["outputs"], "+"))), ",").alias("steps"),
+        F.array_join("plan.packaging_risks", " | ").alias("risks"))

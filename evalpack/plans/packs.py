@@ -127,7 +127,8 @@ def plan_steps(spark, sf):
     return (p.select("pack", F.explode("steps").alias("s"))
             .select("pack", F.col("s.ordinal").cast("int").alias("step_ordinal"), F.col("s.step_id").alias("step_id"),
                     F.col("s.priority").alias("priority"), F.col("s.automatable").alias("automatable"),
-                    F.col("s.title").alias("title")))
+                    F.col("s.title").alias("title"), F.array_join("s.inputs", ",").alias("inputs"),
+                    F.array_join("s.outputs", ",").alias("outputs")))
 
 
 def readiness_lift(spark, sf):

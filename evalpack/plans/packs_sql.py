@@ -151,10 +151,10 @@ def _plan_ctes() -> str:
     for r in dims.STEP_RULES:
         rules.append(f"({r.ordinal}, {sql_str(r.step_id)}, {sql_str(r.title)}, {sql_str(r.priority)}, "
                      f"{'true' if r.automatable else 'false'}, {_list(r.triggers)}, {sql_str(r.condition)}, "
-                     f"CAST({dims.PRIORITY_LIFT[r.priority]} AS DECIMAL(10,4)))")
-    ruledim = ("ruledim(ordinal, step_id, title, priority, automatable, triggers, cond, lift) AS (VALUES "
+                     f"CAST({dims.PRIORITY_LIFT[r.priority]} AS DECIMAL(10,4)), {_list(r.inputs)}, {_list(r.outputs)})")
+    ruledim = ("ruledim(ordinal, step_id, title, priority, automatable, triggers, cond, lift, inputs, outputs) AS (VALUES "
                + ", ".join(rules) + ")")
-    steps = ("steps AS (SELECT p.pack, r.ordinal, r.step_id, r.priority, r.automatable, r.lift, "
+    steps = ("steps AS (SELECT p.pack, r.ordinal, r.step_id, r.priority, r.automatable, r.lift, r.inputs, r.outputs, "
              "replace(r.title, '{industry}', i.primary_industry) AS title "
              "FROM prof p JOIN indp i ON p.pack = i.pack JOIN ruledim r ON ("
              "r.cond = 'always' OR (r.cond = 'level5' AND p.readiness_level >= 5) "
@@ -207,7 +207,8 @@ def queries() -> dict[str, str]:
     q["industry_top3"] = ind + "SELECT pack, rank, slug, CAST(confidence AS DOUBLE) AS confidence FROM top"
     pln = _with(_industry_ctes(), _plan_ctes())
     q["value_tiers"] = pln + "SELECT pack, current_tier, target_tier FROM tiers"
-    q["plan_steps"] = pln + ("SELECT pack, CAST(ordinal AS INTEGER) AS step_ordinal, step_id, priority, automatable, title FROM steps")
+    q["plan_steps"] = pln + ("SELECT pack, CAST(ordinal AS INTEGER) AS step_ordinal, step_id, priority, automatable, title, "
+                             "array_to_string(inputs, ',') AS inputs, array_to_string(outputs, ',') AS outputs FROM steps")
     q["readiness_lift"] = pln + "SELECT p.pack, CAST(p.completeness AS DOUBLE) AS completeness, l.lift FROM prof p JOIN lift l ON p.pack = l.pack"
     q["packaging_risks"] = pln + "SELECT pack, array_to_string(risks, ' | ') AS risks FROM extra"
     q["next_actions"] = pln + "SELECT pack, array_to_string(" + _ldo("actions") + ", ' | ') AS actions FROM extra"
