@@ -247,7 +247,8 @@ QUERY_STOPWORDS = ["agent", "benchmark", "dataset", "eval", "evaluation", "test"
 DEDUPE_JACCARD_THRESHOLD = 0.85
 DEDUPE_COSINE_THRESHOLD = 0.92
 JUDGE_PASS_THRESHOLD = 0.6
-REPORT_FAILURE_LIMIT = 50
+JUDGE_UNAVAILABLE = "judge-unavailable"
+MAX_ATTEMPTS = 3
 SPEC_DEFAULT_COUNT = 10
 SPEC_DEFAULT_MODE = "from-scratch"
 SPEC_MODES = ["seeded", "from-scratch"]
@@ -260,6 +261,8 @@ MANIFEST_VERSION = "evalpack.manifest.v0"
 PARSE_JSON_FAILED = "json_parse_failed"
 PARSE_NOT_OBJECT = "not_object"
 PARSE_MISSING_CASE_ID = "missing_case_id"
+CALL_FAILED = "call_failed"
+NO_COMPLETION = "no_completion"
 
 # FIXED VALUES — capability rubric verdict values and score tiers.
 VERDICT_VALUES = [("YES", "1.0"), ("PARTIAL", "0.5"), ("NO", "0.0")]

@@ -57,6 +57,50 @@ def parse_completion(text: Column) -> Column:
                     F.when(ok, F.variant_get(cid, "$", "string")).alias("case_id"))
 
 
+def _with_body(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``_body``, what ``extract_json_object`` cuts out. Each step is a column of its own, so that
+    none is computed twice or grows the generated code; the same holds for ``with_parsed`` and ``with_verdict``."""
+    rows = rows.withColumn("_t", ws_trim(F.col(text)))
+    rows = rows.withColumn("_t", F.when(F.col("_t").rlike(FENCE), ws_trim(F.regexp_extract("_t", FENCE, 1))).otherwise(F.col("_t")))
+    rows = rows.withColumns({"_first": F.instr("_t", "{"), "_back": F.instr(F.reverse("_t"), "}")})
+    rows = rows.withColumn("_last", F.length("_t") - F.col("_back") + 1)
+    cut = (F.col("_first") > 0) & (F.col("_back") > 0) & (F.col("_last") > F.col("_first"))
+    return rows.withColumn("_body", F.when(cut, F.substring(F.col("_t"), F.col("_first"), F.col("_last") - F.col("_first") + 1))
+                           .otherwise(F.col("_t")))
+
+
+def with_parsed(rows: DataFrame, text: str = "text", error: str | None = None) -> DataFrame:
+    """``rows`` with ``parsed``, as ``parse_completion`` makes it; a row with an ``error`` fails with that reason."""
+    names = rows.columns
+    rows = _with_body(rows, text).withColumn("_v", F.try_parse_json("_body"))
+    rows = rows.withColumns({"_kind": F.schema_of_variant("_v"), "_cid": F.try_variant_get("_v", "$.caseId", "variant")})
+    rows = rows.withColumns({"_cid_kind": F.schema_of_variant("_cid"), "_id": F.try_variant_get("_v", "$.caseId", "string")})
+    is_obj = F.coalesce(F.col("_kind").startswith("OBJECT"), F.lit(False))
+    has_id = F.coalesce((F.col("_cid_kind") == "STRING") & (F.trim("_id") != ""), F.lit(False))
+    reason = (F.when(F.col("_v").isNull(), dims.PARSE_JSON_FAILED).when(~is_obj, dims.PARSE_NOT_OBJECT)
+              .when(~has_id, dims.PARSE_MISSING_CASE_ID))
+    rows = rows.withColumn("_reason", reason if error is None else F.coalesce(error, reason))
+    ok = F.col("_reason").isNull()
+    return rows.select(*names, F.struct(ok.alias("ok"), F.col("_reason").alias("reason"), F.when(ok, F.col("_v")).alias("case"),
+                                        F.when(ok, F.col("_id")).alias("case_id")).alias("parsed"))
+
+
+def with_verdict(rows: DataFrame, text: str = "text", threshold: float = dims.JUDGE_PASS_THRESHOLD) -> DataFrame:
+    """``rows`` with ``verdict``, as ``interpret_verdict`` makes it."""
+    names = rows.columns
+    rows = _with_body(rows, text).withColumn("_v", F.try_parse_json("_body")).withColumn("_kind", F.schema_of_variant("_v"))
+    rows = rows.withColumns({f"_{n}": F.try_variant_get("_v", f"$.{n}", "variant") for n in ("score", "pass", "reason")})
+    rows = rows.withColumns({f"_{n}_kind": F.schema_of_variant(f"_{n}") for n in ("score", "pass", "reason")})
+    number = F.coalesce(F.col("_score_kind").rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+    rows = rows.withColumn("_p", F.when(F.col("_pass_kind") == "BOOLEAN", F.try_variant_get("_v", "$.pass", "boolean")))
+    rows = rows.withColumn("_s", F.when(number, F.least(F.greatest(F.try_variant_get("_v", "$.score", "double"), F.lit(0.0)), F.lit(1.0)))
+                           .otherwise(F.when(F.coalesce("_p", F.lit(False)), 1.0).otherwise(0.0)))
+    why = F.when(F.col("_reason_kind") == "STRING", F.try_variant_get("_v", "$.reason", "string")).otherwise("")
+    is_obj = F.coalesce(F.col("_kind").startswith("OBJECT"), F.lit(False))
+    return rows.select(*names, F.when(is_obj, F.struct(F.coalesce("_p", F.col("_s") >= threshold).alias("pass"), F.col("_s").alias("score"),
+                                                       why.alias("reason"))).alias("verdict"))
+
+
 def select_attempts(attempts: DataFrame, slot_keys: list[str], attempt_col: str = "attempt") -> DataFrame:
     """Per slot: the first parsable attempt, of all that landed, wins (its case and tokens);
     otherwise the slot fails with the last attempt's reason. ``attempts``

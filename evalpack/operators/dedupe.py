@@ -23,9 +23,9 @@ Distributed plan
    pairs are verified.
 3. **Keep-first fixed point** over the verified pair graph: undecided rows
    with no undecided earlier neighbour are kept; undecided neighbours of a
-   newly kept row are dropped; repeat. Each round is checkpointed to the
-   session's checkpoint directory so lineage stays short and a lost
-   executor only repeats one round.
+   newly kept row are dropped; repeat. Every fifth round (a parameter) and
+   the last are checkpointed to the session's checkpoint directory, so
+   lineage stays short and a lost executor repeats few rounds.
 """
 
 from __future__ import annotations
@@ -193,6 +193,8 @@ def keep_first(ids: DataFrame, pairs: DataFrame, groups: DataFrame, checkpoint_e
         undecided = nxt.filter(F.col("state") == "U").count()
         status.unpersist()
         status = nxt
+    if rounds % checkpoint_every:
+        status = materialize(status)  # releases what the last round persisted
     copies = groups.filter(F.col("id") != F.col("rep")).select("id", F.lit("D").alias("state"))
     decided = status.unionByName(copies)
     return (ids.select("id").join(decided, "id", "left")

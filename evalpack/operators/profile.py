@@ -14,7 +14,7 @@ cases" equals ``bool_or(pattern per case)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -223,6 +223,41 @@ def signals_long(prof: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("present"), F.col("confidence")).otherwise(_dec("0")))
 
 
+EVIDENCE = 3
+
+
+def first_cases(cases: DataFrame, k: int = EVIDENCE) -> DataFrame:
+    """(pack, signal, first_cases): the first ``k`` (seq, kind) of each signal's hits in a pack, kinds in alphabetical
+    order within a case (field, license, text). The ranked window keeps ``k`` rows of a group in each task before
+    the shuffle, so a pack or a signal that holds a third of all hits costs ``k`` rows a task."""
+    keys = F.json_object_keys(F.col("raw"))
+    lic = F.col("license") if "license" in cases.columns else case_license(F.col("raw"))
+    text = F.lower("raw")
+    found = []
+    for key, _w, fields, pattern in dims.SIGNALS:
+        tests = [("field", F.arrays_overlap(keys, F.array(*map(F.lit, fields))))] if fields else []
+        tests += [("text", flag(text, pattern))] if pattern is not None else []
+        tests += [("license", lic.isNotNull())] if key == "license" else []
+        found += [F.when(test, F.struct(F.lit(key).alias("signal"), F.lit(kind).alias("kind"))) for kind, test in tests]
+    hits = cases.select("pack", "seq", F.explode(F.array_compact(F.array(*found))).alias("h")).select("pack", "seq", "h.*")
+    order = Window.partitionBy("pack", "signal").orderBy("seq", "kind")
+    hits = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    return hits.groupBy("pack", "signal").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("r", "seq", "kind"))), lambda x: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"))).alias("first_cases"))
+
+
+def signal_evidence(prof: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per pack and signal: ``evidence`` (at most three entries, the candidate's license first) and the first cases
+    that show the signal; both empty where it is absent or only the candidate shows it."""
+    lic = F.concat(F.lit("license="), F.col("cand_license"))
+    named = F.when((F.col("signal") == "license") & (F.coalesce("cand_license", F.lit("")) != ""), lic)
+    entries = F.slice(F.array_compact(F.array(named, F.concat(F.lit("matched "), F.col("signal")))), 1, EVIDENCE)
+    none = F.array().cast("array<string>")
+    long = signals_long(prof).join(prof.select("pack", "cand_license"), "pack").join(first_cases(cases), ["pack", "signal"], "left")
+    return long.select("pack", "ordinal", "signal", "present", F.when(F.col("present"), entries).otherwise(none).alias("evidence"),
+                       F.coalesce("first_cases", F.array().cast("array<struct<seq: bigint, kind: string>>")).alias("first_cases"))
+
+
 def case_type_lists(cases: DataFrame) -> DataFrame:
     """Per pack: explicit case task types in first-seen order, distinct.
     Grouped by (pack, type) first, so a list is bounded by the number of

@@ -112,21 +112,58 @@ def provenance_stamp(spark, sf):
                     F.array_join(F.json_object_keys("m"), ",").alias("keys"))
 
 
+BAD_ANSWER = "error: no answer"
+
+
+def _landed_drafts(spark, sf) -> DataFrame:
+    """Stand-in completions of a synthesis run: slot = document. One document in eleven is never answered in JSON;
+    else one attempt of three is an array, and the others hold the document's text as a case."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", F.col("n_chars").cast("long").alias("n_chars"),
+                                             F.explode(F.array(*map(F.lit, range(1, dims.MAX_ATTEMPTS + 1)))).alias("attempt"))
+    case = F.to_json(F.struct(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("caseId"), F.lit("custom").alias("taskType"),
+                              F.col("text").alias("input"), F.struct("lang").alias("metadata")))
+    text = (F.when(F.col("doc_id") % 11 == 5, BAD_ANSWER).when((F.col("doc_id") + F.col("attempt")) % 3 == 0, "[1]")
+            .otherwise(F.concat(F.lit("```json\n"), case, F.lit("\n```"))))
+    return d.select(F.col("doc_id").alias("slot"), "attempt", text.alias("text"), F.lit(10).cast("long").alias("prompt_tokens"),
+                    F.col("n_chars").alias("completion_tokens"))
+
+
+def _synthesis(spark, sf):
+    """A run over all documents: a slot each, nine tenths of the tokens asked for as the budget, labels as verdicts,
+    dedupe at the stock similarity."""
+    from ..operators import synthesis as sy
+    docs = table(spark, sf, "documents")
+    asked = docs.agg(F.coalesce(F.sum(F.col("n_chars").cast("long")), F.lit(0))).first()[0]
+    prompts = docs.select(F.col("doc_id").alias("slot"), F.lit("Write a case.").alias("system"),
+                          F.format_string("Case %d.", F.col("doc_id")).alias("user"))
+    verdicts = table(spark, sf, "labels").select(F.col("doc_id").alias("slot"), F.lit(1).alias("attempt"), verdict_text().alias("text"),
+                                                 F.lit(None).cast("long").alias("prompt_tokens"), F.lit(None).cast("long").alias("completion_tokens"))
+    return sy.synthesize(prompts, sy.Spec(SPEC_NAME, mode="seeded"), MODEL, sy.landed(_landed_drafts(spark, sf)), judge=sy.landed(verdicts),
+                         dedupe=dims.DEDUPE_JACCARD_THRESHOLD, max_tokens=asked * 9 // 10)
+
+
+SPEC_NAME = "documents"
+
+
 def synthesis_report(spark, sf):
-    """One report row: requested slots, generated, failed, first 50 failing
-    slots (a top-50, never the whole failure list) and token sums. The two
-    single-row aggregates are stacked and folded (no join)."""
-    s = _slots(spark, sf)
-    main = s.agg(F.count(F.lit(1)).alias("requested"), F.count(F.when(F.col("ok"), 1)).alias("generated"),
-                 F.count(F.when(~F.col("ok"), 1)).alias("failed"),
-                 F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
-                 F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))
-    first = (s.filter(~F.col("ok")).select("conv_id", "reason").orderBy("conv_id").limit(dims.REPORT_FAILURE_LIMIT)
-             .agg(F.array_sort(F.collect_list(F.struct("conv_id", "reason"))).alias("f")))
-    out = fold_rows(main, first)
-    return out.select("requested", "generated", "failed", "prompt_tokens", "completion_tokens",
-                      F.array_join(F.transform(F.coalesce("f", F.array()), lambda x: F.concat_ws(":", x["conv_id"].cast("string"),
-                                                                                             x["reason"])), ",").alias("failures"))
+    """The report of a synthesis run, from counters observed while its tables were made."""
+    return _synthesis(spark, sf).report
+
+
+def synthesis_failures(spark, sf):
+    """Every slot that failed within the budget, with the reason of its last attempt."""
+    return _synthesis(spark, sf).failures.select(F.col("slot").alias("doc_id"), "reason")
+
+
+def synthesis_cases(spark, sf):
+    """The cases of a synthesis run, with their provenance and review marks read back from the case."""
+    c = _synthesis(spark, sf).cases
+    return c.select(F.col("slot").alias("doc_id"), "case_id", F.col("attempts").cast("int").alias("attempts"),
+                    F.get_json_object("case", "$.metadata.lang").alias("lang"), F.get_json_object("case", "$.metadata.provenance").alias("provenance"),
+                    F.get_json_object("case", "$.metadata.generator.specName").alias("spec_name"),
+                    (F.coalesce(F.get_json_object("case", "$.metadata.review"), F.lit("false")) == "true").alias("review"),
+                    F.get_json_object("case", "$.metadata.reviewReason").alias("review_reason"),
+                    F.sha2(F.get_json_object("case", "$.input"), 256).alias("input_sha256"))
 
 
 def fold_rows(*frames: DataFrame) -> DataFrame:
@@ -165,16 +202,52 @@ def merge_completion(spark, sf):
                     F.get_json_object("merged", "$.expected.v").cast("double").alias("expected_v"))
 
 
+def _fill_prompts(spark, sf) -> DataFrame:
+    """A gap-fill prompt for each JSON case, with the fields that its pack's profile lacks."""
+    from ..operators import industry as ind
+    from ..operators import synthesis as sy
+    from .inventory import json_cases
+    from .packs import TAXONOMY
+    cases = json_cases(spark, sf).select("pack", "seq", "raw")
+    scores = ind.industry_scores(ind.keyword_matches(cases, TAXONOMY), TAXONOMY)
+    prim = ind.industry_top(scores, cases, TAXONOMY).where("rank = 1").select("pack", F.col("slug").alias("primary_industry"))
+    packs = pf.profile(cases).select("pack", cu.gap_fields(F.col("missing")).alias("fields"), "task_type").join(prim, "pack")
+    return sy.fill_prompts(cases.withColumnRenamed("seq", "slot"), packs, _guide)
+
+
+def _landed_fills(spark, sf) -> DataFrame:
+    """Stand-in completions of gap filling: every field filled; one document in seven is only answered by its third
+    attempt, one in thirteen never."""
+    targets = sorted({f for _k, f in dims.SIGNAL_TO_FIELD})
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*map(F.lit, range(1, dims.MAX_ATTEMPTS + 1)))).alias("attempt"))
+    case = F.to_json(F.struct(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("caseId"),
+                              *[F.lit(f"filled {f}").alias(f) for f in targets]))
+    text = (F.when(F.col("doc_id") % 13 == 1, F.lit('{"note": "no id"}')).when((F.col("doc_id") % 7 == 2) & (F.col("attempt") < 3), "not yet")
+            .otherwise(case))
+    return d.select(F.col("doc_id").alias("slot"), "attempt", text.alias("text"), F.lit(1).cast("long").alias("prompt_tokens"),
+                    F.lit(1).cast("long").alias("completion_tokens"))
+
+
+def _fill(spark, sf):
+    from ..operators import synthesis as sy
+    return sy.fill_gaps(_fill_prompts(spark, sf), sy.landed(_landed_fills(spark, sf)), sorted({f for _k, f in dims.SIGNAL_TO_FIELD}))
+
+
 def enrichment_report(spark, sf):
-    m = _merged(spark, sf)
-    main = m.agg(F.count(F.lit(1)).alias("input_cases"), F.count(F.when(F.col("enriched"), 1)).alias("enriched_cases"),
-                 F.count(F.when(~F.col("enriched"), 1)).alias("failed"))
-    first = (m.filter(~F.col("enriched")).select("event_id").orderBy("event_id").limit(dims.REPORT_FAILURE_LIMIT)
-             .agg(F.array_sort(F.collect_list("event_id")).alias("f")))
-    return fold_rows(main, first).select(
-        "input_cases", "enriched_cases", "failed", F.lit(",".join(MERGE_FIELDS)).alias("fields_targeted"),
-        F.array_join(F.transform(F.coalesce("f", F.array().cast("array<bigint>")), lambda x: x.cast("string")), ",")
-        .alias("failures"))
+    """Per pack: cases read, filled and failed, and the fields its profile lacks."""
+    return _fill(spark, sf).report.select("pack", "input_cases", "enriched_cases", "failed",
+                                          F.array_join("fields_targeted", ",").alias("fields_targeted"))
+
+
+def enrichment_failures(spark, sf):
+    """Every case that could not be filled, with the reason of its last attempt."""
+    return _fill(spark, sf).failures.select("pack", F.col("slot").alias("doc_id"), "case_id", "reason")
+
+
+def enrichment_cases(spark, sf):
+    """The filled cases: which fields each has now."""
+    c = _fill(spark, sf).cases
+    return c.select(F.col("slot").alias("doc_id"), "enriched", F.array_join(F.array_sort(F.json_object_keys("raw")), ",").alias("keys"))
 
 
 # ---------------------------------------------------------------------------
@@ -216,6 +289,9 @@ def specs(spark, sf) -> DataFrame:
                     F.coalesce("count", F.lit(dims.SPEC_DEFAULT_COUNT)).cast("int").alias("count"),
                     F.when(F.col("r_regionkey") % 2 == 0, "seeded").otherwise("from-scratch").alias("mode"),
                     F.coalesce("personas", F.array().cast("array<string>")).alias("personas"),
+                    F.when(F.length("r_name") > 4, F.array(F.concat(F.lit("Set the scene in "), F.initcap("r_name"), F.lit(".")),
+                                                           F.lit("Use no real names.")))
+                    .otherwise(F.array().cast("array<string>")).alias("constraints"),
                     F.array(*[F.lit(f) for f in dims.SPEC_DEFAULT_FIELDS]).alias("fields")))
 
 
@@ -228,9 +304,12 @@ def _prompts(spark, sf) -> DataFrame:
     j = sp.withColumn("ex", seeds.select("ex").scalar())
     rows = j.select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("idx"))
     seeded = (F.col("mode") == "seeded") & (F.size(F.coalesce("ex", F.array())) > 0)
-    system = F.concat(F.lit("You generate synthetic cases for agent evaluation.\nIndustry: "), F.col("industry"),
-                      F.lit(". Task type: "), F.col("task_type"), F.lit(".\n\nFields:\n"), _guide(F.col("fields")))
+    rules = F.concat(F.lit("Constraints:\n"), F.array_join(F.transform("constraints", lambda c: F.concat(F.lit("- "), c)), "\n"))
+    system = F.concat_ws("\n\n", F.concat(F.lit("You generate synthetic cases for agent evaluation.\nIndustry: "), F.col("industry"),
+                                          F.lit(". Task type: "), F.col("task_type"), F.lit(".")),
+                         F.when(F.size("constraints") > 0, rules), F.concat(F.lit("Fields:\n"), _guide(F.col("fields"))))
     case_line = F.format_string("Case %d of %d: vary identifiers and difficulty.", F.col("idx") + 1, F.col("count"))
+    mark = F.lit('Set metadata.provenance to "synthetic".')
     contract = F.concat(F.lit("Return one JSON object with keys: "),
                         F.array_join(F.concat(F.array(F.lit("caseId"), F.lit("taskType")), F.col("fields")), ", "),
                         F.lit(". taskType must be "), F.col("task_type"), F.lit("."))
@@ -239,10 +318,10 @@ def _prompts(spark, sf) -> DataFrame:
     k = F.size("personas")
     persona = F.when(k > 0, F.element_at("personas", (F.col("idx") % k + 1).cast("int")))
     user_seeded = F.concat_ws("\n\n", F.format_string("Write one new case unlike these %d examples.",
-                                                      F.size(F.coalesce("ex", F.array()))), examples, case_line, contract)
+                                                      F.size(F.coalesce("ex", F.array()))), examples, case_line, contract, mark)
     user_scratch = F.concat_ws("\n\n", F.concat(F.lit("Write one new case for the "), F.col("industry"), F.lit(" domain.")),
                                F.when(persona.isNotNull(), F.concat(F.lit("Persona: "), persona, F.lit("."))),
-                               case_line, contract)
+                               case_line, contract, mark)
     return rows.select("spec", F.col("idx").cast("int").alias("idx"),
                        F.when(seeded, "seeded").otherwise("from-scratch").alias("prompt_mode"),
                        persona.alias("persona"), system.alias("system_prompt"),
@@ -258,16 +337,21 @@ def prompts_persona(spark, sf):
 
 
 def prompts_gap_fill(spark, sf):
-    """Per case: a completion prompt naming the pack's gap fields and
-    embedding the case JSON."""
-    cases = documents_as_cases(spark, sf)
-    p = pf.profile(cases).select("pack", cu.gap_fields(F.col("missing")).alias("fields"), "task_type")
-    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("pack"), "text")
-    j = docs.join(p, "pack")
-    user = F.concat_ws("\n", F.lit("Case (keep every present field unchanged):"),
-                       F.to_json(F.struct(F.col("doc_id"), F.col("text"))),
-                       F.concat(F.lit("Add these fields: "), F.array_join("fields", ", "), F.lit(".")))
-    return j.select("doc_id", "pack", F.array_join("fields", ",").alias("fields"), user.alias("user_prompt"))
+    """Per case: a completion prompt naming the pack's gap fields and embedding the case JSON."""
+    p = _fill_prompts(spark, sf)
+    return p.select(F.col("slot").alias("doc_id"), "pack", F.array_join("fields", ",").alias("fields"), F.col("system").alias("system_prompt"),
+                    F.sha2(F.get_json_object("raw", "$.input"), 256).alias("input_sha256"),
+                    F.replace(F.col("user"), F.col("raw"), F.lit("<case>")).alias("user_prompt"))
+
+
+def prompts_judge(spark, sf):
+    """Per document drafted as a case: the judge's prompt."""
+    from ..operators import synthesis as sy
+    drafts = sy.stored(cu.with_parsed(_landed_drafts(spark, sf).where("attempt = 1")), "drafts").where("parsed.ok")
+    cases = drafts.select("slot", F.to_json("parsed.case").alias("case"))
+    p = sy.judge_prompts(cases, "finance", "custom", dims.JUDGE_PASS_THRESHOLD).join(cases, "slot")
+    return p.select(F.col("slot").alias("doc_id"), F.col("system").alias("system_prompt"),
+                    F.replace(F.col("user"), F.col("case"), F.lit("<case>")).alias("user_prompt"))
 
 
 def spec_violations(spark, sf):

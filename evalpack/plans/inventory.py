@@ -1,11 +1,11 @@
 """Inventory, rubric and source jobs over the driver tables.
 
-Stand-in: a case is a document rendered as a case JSON object whose optional
-fields appear by its data (``context`` for non-English, ``expected`` for
-long texts, ``rubric`` when a license line exists, ``checker`` for German and
-French, ``trace`` for short texts, ``environment`` for very long ones;
-``metadata`` always, with workflow = language); an asset is a pack
-(``documents.source``)."""
+Stand-in: a case is a document with its whole text, rendered as a case JSON
+object whose optional fields appear by its data and by its pack's number
+(``documents.source`` without its letters), so that each field is there in
+some packs and not in others: see ``case_json``. The texts of every twentieth
+pack are replaced by their digests, as prose nearly always holds the words of
+some signals. An asset is a pack."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..operators import industry as ind
 from ..operators import inventory as inv
-from ..sources.files import file_inventory as _file_inventory
 from ..sources.files import parse_json_lines
 from ..sources.tables import documents_as_cases, license_from_text, table
 
@@ -25,31 +24,52 @@ URL_WORKFLOW_RULES = [("/en/", ["english qa", "retrieval"]), ("/fr/", ["french q
 URL_WORKFLOW_DEFAULT = ["web research"]
 
 
+DIGESTED = "p % 20 = 9"
+#: Field -> when a case has it; p is the number of its pack.
+CASE_FIELDS = {
+    "instruction": "p % 5 = 4", "input": "p % 5 != 1", "messages": "p % 6 = 2", "context": "lang != 'en' AND p % 3 = 0",
+    "expected": "n_chars > 2000 AND p % 4 != 2", "acceptanceCriteria": "n_chars > 500 AND p % 3 = 2", "rubric": "lic IS NOT NULL AND p % 2 = 0",
+    "checker": "lang IN ('de', 'fr') AND p % 5 != 3", "trace": "n_chars < 300 AND p % 3 != 1", "environment": "n_chars > 15000 AND p % 4 = 3",
+    "license": "p % 7 = 3 AND lic IS NOT NULL", "metadata": "p % 7 != 3", "taskType": "lang = 'en' AND p % 4 = 0", "split": "p % 4 != 1",
+}
+
+
 def case_json() -> F.Column:
-    lic = license_from_text("text")
-    n = F.col("n_chars")
-    lang = F.col("lang")
+    """The case JSON of a row (doc_id, text, lang, n_chars, lic, p); fields that a case lacks are left out."""
+    def there(field: str) -> F.Column:
+        return F.coalesce(F.expr(CASE_FIELDS[field]), F.lit(False))
+
+    def has(field: str, value) -> F.Column:
+        return F.when(there(field), value)
+
+    lang, text = F.col("lang"), F.when(F.expr(DIGESTED), F.sha2("text", 256)).otherwise(F.col("text"))
     obj = F.struct(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("caseId"),
-        F.when(lang == "en", F.lit("rag_qa")).alias("taskType"),
-        F.regexp_extract("text", r"^[^\n]*", 0).alias("input"),
-        F.when(lang != "en", F.array(lang)).alias("context"),
-        F.when(n > 2000, F.struct(n.alias("answer"))).alias("expected"),
-        F.when(lic.isNotNull(), F.struct(lic.alias("pass"))).alias("rubric"),
-        F.when(lang == "de", F.struct(F.lit("regex_match").alias("type")))
-        .when(lang == "fr", F.struct(F.lit("json_subset").alias("type"))).alias("checker"),
-        F.when(n < 300, F.array(F.lit("search"))).alias("trace"),
-        F.when(n > 15000, F.struct(F.lit(True).alias("big"))).alias("environment"),
-        F.struct(lang.alias("workflow"), lic.alias("licenseName"), F.lit("landed").alias("provenance"),
-                 F.when(n > 1000, F.lit("test")).otherwise(F.lit("train")).alias("split")).alias("metadata"),
+        has("taskType", F.when(F.col("n_chars") > 1000, "rag_qa").otherwise("planning")).alias("taskType"),
+        has("instruction", F.lit("Answer.")).alias("instruction"),
+        has("input", text).alias("input"),
+        F.when(~there("input"), text).alias("body"),
+        has("messages", F.array(F.struct(F.lit("user").alias("role")))).alias("messages"),
+        has("context", F.array(lang)).alias("context"),
+        has("expected", F.struct(F.col("n_chars").alias("answer"))).alias("expected"),
+        has("acceptanceCriteria", F.array(F.lit("short"))).alias("acceptanceCriteria"),
+        has("rubric", F.struct(F.col("lic").alias("pass"))).alias("rubric"),
+        has("checker", F.struct(F.when(lang == "de", "regex_match").otherwise("json_subset").alias("type"))).alias("checker"),
+        has("trace", F.array(F.lit("search"))).alias("trace"),
+        has("environment", F.struct(F.lit(True).alias("big"))).alias("environment"),
+        has("license", F.col("lic")).alias("license"),
+        has("metadata", F.struct(
+            lang.alias("workflow"), F.col("lic").alias("licenseName"), F.lit("landed").alias("provenance"),
+            has("split", F.when(F.col("n_chars") > 1000, "test").otherwise("train")).alias("split"))).alias("metadata"),
     )
     return F.to_json(obj)
 
 
 def json_cases(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", "lang", "n_chars", license_from_text("text").alias("lic"),
+                                             F.regexp_extract("source", r"(\d+)$", 1).try_cast("int").alias("p"))
     return d.select(F.col("source").alias("pack"), F.col("doc_id").alias("seq"), case_json().alias("raw"),
-                    F.col("lang"), license_from_text("text").alias("license"))
+                    F.col("lang"), F.col("lic").alias("license"))
 
 
 def field_presence(spark, sf):
@@ -186,7 +206,3 @@ def scan_json_lines(spark, sf):
     p = parse_json_lines(ev)
     return p.select("event_id", "ok", F.get_json_object("raw", "$.k").cast("long").alias("k"))
 
-
-def file_inventory(spark, sf):
-    return _file_inventory(spark, sf)
-

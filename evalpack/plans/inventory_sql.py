@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from .. import dims
 from ..functions.text import sql_str
-from .inventory import URL_WORKFLOW_DEFAULT, URL_WORKFLOW_RULES
+from .inventory import CASE_FIELDS, DIGESTED, URL_WORKFLOW_DEFAULT, URL_WORKFLOW_RULES
 from .packs_sql import _industry_ctes, _with
 
 LIC = r"NULLIF(trim(regexp_extract(text, '(?m)^[^\n]*[Ll]icen[cs]e[^\n]*', 0)), '')"
 
-CASEF = f"""casef AS (SELECT doc_id, source AS pack, lang, n_chars, {LIC} AS lic,
-  true AS f_input, lang <> 'en' AS f_context, n_chars > 2000 AS f_expected, {LIC} IS NOT NULL AS f_rubric,
-  lang IN ('de', 'fr') AS f_checker, n_chars < 300 AS f_trace, n_chars > 15000 AS f_environment, true AS f_metadata
-  FROM documents)"""
+DOCS = f"""docs AS (SELECT *, {LIC} AS lic, TRY_CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS p FROM documents)"""
+
+
+def _has(field: str) -> str:
+    return f"coalesce({CASE_FIELDS[field]}, false)"
+
+
+CASEF = f"""{DOCS},
+casef AS (SELECT doc_id, source AS pack, lang, n_chars, lic, CASE WHEN {_has('metadata')} THEN lang END AS workflow,
+  CASE WHEN {_has('metadata')} THEN lic END AS meta_lic, CASE WHEN {_has('metadata')} THEN 'landed' END AS prov,
+  {', '.join(f'{_has(f)} AS f_{f}' for f in ['input', 'context', 'expected', 'rubric', 'checker', 'trace', 'environment', 'metadata'])}
+  FROM docs)"""
+
+
+def _keep(field: str, value: str) -> str:
+    return f"CASE WHEN {_has(field)} THEN {value} END"
+
+
+#: The same cases as JSON; a merge with an empty object leaves out what is null.
+JSON_CASES = f"""{DOCS},
+cases AS (SELECT pack, seq, raw, NULLIF(trim(coalesce(json_extract_string(raw, '$.licenseName'), json_extract_string(raw, '$.license'),
+    json_extract_string(raw, '$.metadata.licenseName'), json_extract_string(raw, '$.metadata.license'))), '') AS license FROM (
+  SELECT source AS pack, doc_id AS seq, CAST(json_merge_patch('{{}}', to_json({{
+    'caseId': 'doc-' || doc_id, 'taskType': {_keep('taskType', "CASE WHEN n_chars > 1000 THEN 'rag_qa' ELSE 'planning' END")},
+    'instruction': {_keep('instruction', "'Answer.'")}, 'input': {_keep('input', 'body')}, 'body': CASE WHEN NOT {_has('input')} THEN body END,
+    'messages': {_keep('messages', "[{'role': 'user'}]")}, 'context': {_keep('context', '[lang]')},
+    'expected': {_keep('expected', "{'answer': n_chars}")}, 'acceptanceCriteria': {_keep('acceptanceCriteria', "['short']")},
+    'rubric': {_keep('rubric', "{'pass': lic}")},
+    'checker': {_keep('checker', "{'type': CASE WHEN lang = 'de' THEN 'regex_match' ELSE 'json_subset' END}")},
+    'trace': {_keep('trace', "['search']")}, 'environment': {_keep('environment', "{'big': true}")}, 'license': {_keep('license', 'lic')},
+    'metadata': {_keep('metadata', "{'workflow': lang, 'licenseName': lic, 'provenance': 'landed', 'split': "
+                       + _keep('split', "CASE WHEN n_chars > 1000 THEN 'test' ELSE 'train' END") + "}")}}})) AS VARCHAR) AS raw FROM (SELECT *, CASE WHEN {DIGESTED} THEN sha256(text) ELSE text END AS body FROM docs) b) j)"""
 FIELDS = ["input", "context", "expected", "rubric", "checker", "trace", "environment", "metadata"]
 
 
@@ -30,11 +58,12 @@ def _first_seen(col: str, name: str) -> str:
             f"WHERE {col} IS NOT NULL GROUP BY pack, {col}) x GROUP BY pack)")
 
 
-ASSETS = f"""{CASEF}, {COVER}, {_first_seen('lang', 'wf')}, {_first_seen('lic', 'li')},
-assets AS (SELECT c.pack, c.records, c.position, c.domain, v.fields, v.coverage, wf.vals AS workflows, li.vals AS licenses,
+ASSETS = f"""{CASEF}, {COVER}, {_first_seen('workflow', 'wf')}, {_first_seen('meta_lic', 'li')}, {_first_seen('prov', 'pr')},
+assets AS (SELECT c.pack, c.records, c.position, c.domain, v.fields, v.coverage, wf.vals AS workflows, li.vals AS licenses, pr.vals AS provenances,
   CASE WHEN v.coverage >= 50 THEN 'Benchmark JSONL' ELSE 'JSONL' END AS type
   FROM (SELECT pack, count(*) AS records, min(doc_id) AS position, arg_min(lang, doc_id) AS domain FROM casef GROUP BY pack) c
-  JOIN cover v ON c.pack = v.pack LEFT JOIN wf ON c.pack = wf.pack LEFT JOIN li ON c.pack = li.pack)"""
+  JOIN cover v ON c.pack = v.pack LEFT JOIN wf ON c.pack = wf.pack LEFT JOIN li ON c.pack = li.pack
+  LEFT JOIN pr ON c.pack = pr.pack)"""
 
 
 def _joined_or(x: str, default: str) -> str:
@@ -47,7 +76,7 @@ def queries() -> dict[str, str]:
     q["field_coverage"] = f"WITH {CASEF}, {COVER}\nSELECT pack, array_to_string(fields, ',') AS fields, coverage FROM cover"
     q["asset_summary"] = f"""WITH {ASSETS}
 SELECT pack, records, array_to_string(fields, ',') AS fields, {_joined_or('workflows', 'unknown')} AS workflows,
-  {_joined_or('licenses', 'unknown')} AS license, 'landed' AS provenance, coverage, type FROM assets"""
+  {_joined_or('licenses', 'unknown')} AS license, {_joined_or('provenances', 'unknown')} AS provenance, coverage, type FROM assets"""
     q["portfolio_totals"] = f"""WITH {ASSETS}
 SELECT sum(records) AS records, count(DISTINCT domain) AS active_domains,
   (SELECT count(DISTINCT w) FROM (SELECT unnest(workflows) AS w FROM assets) x) AS workflows,
@@ -59,8 +88,8 @@ UNION ALL SELECT 'type', type, min(position), count(*) FROM assets GROUP BY type
   CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END AS text_preview, lang, n_chars FROM (
   SELECT source AS pack, doc_id, text, lang, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) r
 WHERE rank <= 5"""
-    q["json_field_or_default"] = ("SELECT doc_id, CASE lang WHEN 'de' THEN 'regex_match' WHEN 'fr' THEN 'json_subset' "
-                                  "ELSE 'unknown' END AS checker_type FROM documents")
+    q["json_field_or_default"] = (f"WITH {CASEF}\nSELECT doc_id, CASE WHEN f_checker THEN CASE lang WHEN 'de' THEN 'regex_match' "
+                                  "ELSE 'json_subset' END ELSE 'unknown' END AS checker_type FROM casef")
     q["slugify"] = """SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_]+', '-', 'g'), '-$', '') AS slug,
   array_to_string(list_transform(string_split_regex(regexp_replace(regexp_extract(url, '/([^/?#]*)(?:[?#].*)?$', 1), '\\.[^./]*$', ''), '[-_]'),
     lambda p: upper(substr(p, 1, 1)) || substr(p, 2)), ' ') AS name FROM pages"""
@@ -85,5 +114,3 @@ FROM (SELECT source, lang, count(*) AS documents FROM documents GROUP BY source,
 FROM (SELECT event_id, regexp_replace(props, '^\\s+|\\s+$', '', 'g') AS raw FROM events) e WHERE raw <> ''"""
     return q
 
-
-ROWS_ONLY = ["file_inventory"]

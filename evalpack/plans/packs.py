@@ -87,6 +87,39 @@ def task_types_ordered(spark, sf):
     return out.select("pack", F.array_join("task_types", ",").alias("task_types"))
 
 
+def _json_cases(spark, sf) -> DataFrame:
+    from .inventory import json_cases
+    return json_cases(spark, sf).select("pack", "seq", "raw")
+
+
+def json_signal_profile(spark, sf):
+    """The signal profile over JSON cases, whose fields, types, messages and licenses count."""
+    long = pf.signals_long(pf.profile(_json_cases(spark, sf)))
+    return long.select("pack", F.col("ordinal").cast("int").alias("ordinal"), "signal", "present", _dbl("confidence"))
+
+
+def json_pack_profile(spark, sf):
+    p = pf.profile(_json_cases(spark, sf))
+    return p.select("pack", "case_count", _dbl("completeness"), F.col("readiness_level").cast("int").alias("readiness_level"), "task_type",
+                    "license_name", "explicit_type", F.array_join("missing_critical", ",").alias("missing_critical"),
+                    F.array_join("evaluators", ",").alias("evaluators"), F.array_join("notes", " | ").alias("notes"))
+
+
+def json_task_types(spark, sf):
+    cases = _json_cases(spark, sf)
+    out = pf.task_types_ordered(cases, pf.profile(cases))
+    return out.select("pack", F.array_join("task_types", ",").alias("task_types"))
+
+
+def signal_evidence(spark, sf):
+    """Evidence of each signal and the first cases that show it, fields before text."""
+    cases = _json_cases(spark, sf)
+    e = pf.signal_evidence(pf.profile(cases), cases)
+    shown = F.transform("first_cases", lambda c: F.concat_ws(":", c["seq"].cast("string"), c["kind"]))
+    return e.select("pack", F.col("ordinal").cast("int").alias("ordinal"), "signal", "present", F.array_join("evidence", ",").alias("evidence"),
+                    F.array_join(shown, ",").alias("first_cases"))
+
+
 def _matches(spark, sf):
     return ind.keyword_matches(documents_as_cases(spark, sf), TAXONOMY)
 

@@ -106,12 +106,54 @@ def _prof() -> str:
     return ",\n".join([p1, p2, p3, prof])
 
 
-def profile_ctes() -> str:
-    return ",\n".join([CASES, SAMPLE, _tflags(), _fagg(), _prof()])
+def profile_ctes(cases: str = CASES) -> str:
+    return ",\n".join([cases, SAMPLE, _tflags(), _fagg(), _prof()])
 
 
-def _with(*extra: str) -> str:
-    return "WITH " + ",\n".join([profile_ctes(), *extra]) + "\n"
+def _with(*extra: str, cases: str = CASES) -> str:
+    return "WITH " + ",\n".join([profile_ctes(cases), *extra]) + "\n"
+
+
+TASK_TYPES = ("SELECT p.pack, array_to_string(" + _ldo("list_concat([p.task_type], coalesce(c.types, []::VARCHAR[]))") + ", ',') AS task_types "
+              "FROM prof p LEFT JOIN (SELECT pack, list(tt ORDER BY first_seq) AS types FROM ("
+              "SELECT pack, tt, min(seq) AS first_seq FROM (SELECT pack, seq, CASE WHEN json_valid(raw) THEN "
+              "json_extract_string(raw, '$.taskType') END AS tt FROM cases) x WHERE tt IS NOT NULL AND tt <> '' "
+              "GROUP BY pack, tt) y GROUP BY pack) c ON p.pack = c.pack")
+
+
+def evidence_sql(cases: str) -> str:
+    """First cases of each signal: fields before text within a case."""
+    keys = "CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN json_keys(raw) END"
+    hits = []
+    for i, (key, _w, fields, pat) in enumerate(dims.SIGNALS):
+        tests = ([("field", f"coalesce(len(list_intersect(k, {_list(fields)})) > 0, false)")] if fields else []) \
+            + ([("text", f"regexp_matches(lower(raw), {sql_str(pat)})")] if pat else []) \
+            + ([("license", "license IS NOT NULL")] if key == "license" else [])
+        hits += [f"SELECT pack, {i + 1} AS ordinal, '{key}' AS signal, seq, '{kind}' AS kind FROM keyed WHERE {test}" for kind, test in tests]
+    return _with(cases=cases).rstrip() + f""",
+keyed AS (SELECT pack, seq, raw, license, {keys} AS k FROM cases),
+hits AS ({" UNION ALL ".join(hits)}),
+firsts AS (SELECT pack, ordinal, signal, string_agg(seq || ':' || kind, ',' ORDER BY seq, kind) AS cases FROM (
+  SELECT *, row_number() OVER (PARTITION BY pack, signal ORDER BY seq, kind) AS r FROM hits) x WHERE r <= 3 GROUP BY pack, ordinal, signal),
+present AS ({" UNION ALL ".join(f"SELECT pack, {i + 1} AS ordinal, '{k}' AS signal, s_{k} AS present FROM prof" for i, k in enumerate(KEYS))})
+SELECT p.pack, CAST(p.ordinal AS INTEGER) AS ordinal, p.signal, p.present, CASE WHEN p.present THEN 'matched ' || p.signal ELSE '' END AS evidence,
+  coalesce(f.cases, '') AS first_cases FROM present p LEFT JOIN firsts f ON p.pack = f.pack AND p.ordinal = f.ordinal"""
+
+
+def json_queries(cases: str) -> dict[str, str]:
+    """The pack keys over JSON cases, so that fields, explicit types, messages and case licenses count."""
+    w = _with(cases=cases)
+    return {
+        "json_signal_profile": w + "SELECT pack, CAST(o AS INTEGER) AS ordinal, signal, present, "
+        "CAST(CASE WHEN present THEN conf ELSE 0 END AS DOUBLE) AS confidence FROM (" + " UNION ALL ".join(
+            f"SELECT pack, {i + 1} AS o, '{k}' AS signal, s_{k} AS present, conf FROM prof" for i, k in enumerate(KEYS)) + ") u",
+        "json_pack_profile": w + "SELECT pack, case_count, CAST(completeness AS DOUBLE) AS completeness, "
+        "CAST(readiness_level AS INTEGER) AS readiness_level, task_type, license_name, explicit_type, "
+        "array_to_string(missing_critical, ',') AS missing_critical, array_to_string(evaluators, ',') AS evaluators, "
+        "array_to_string(notes, ' | ') AS notes FROM prof",
+        "json_task_types": w + TASK_TYPES,
+        "signal_evidence": evidence_sql(cases),
+    }
 
 
 def _kw_values() -> str:
@@ -195,12 +237,9 @@ def queries() -> dict[str, str]:
     hits = _nonnull([f"CASE WHEN regexp_matches(lower(text), {sql_str(p)}) THEN '{k}' END"
                      for k, _w, _f, p in dims.SIGNALS if p])
     q["signal_hits"] = f"SELECT doc_id, array_to_string({hits}, ',') AS signals FROM documents"
-    q["task_types_ordered"] = _with() + (
-        "SELECT p.pack, array_to_string(" + _ldo("list_concat([p.task_type], coalesce(c.types, []::VARCHAR[]))") + ", ',') AS task_types "
-        "FROM prof p LEFT JOIN (SELECT pack, list(tt ORDER BY first_seq) AS types FROM ("
-        "SELECT pack, tt, min(seq) AS first_seq FROM (SELECT pack, seq, CASE WHEN json_valid(raw) THEN "
-        "json_extract_string(raw, '$.taskType') END AS tt FROM cases) x WHERE tt IS NOT NULL AND tt <> '' "
-        "GROUP BY pack, tt) y GROUP BY pack) c ON p.pack = c.pack")
+    q["task_types_ordered"] = _with() + TASK_TYPES
+    from .inventory_sql import JSON_CASES
+    q |= json_queries(JSON_CASES)
     ind = _with(_industry_ctes())
     q["keyword_matches"] = ind + "SELECT pack, slug, kind, keyword FROM matches"
     q["industry_scores"] = ind + "SELECT pack, slug, n_keywords, n_workflows, CAST(confidence AS DOUBLE) AS confidence FROM scores"
