@@ -10,7 +10,7 @@ plans as a partial ``WindowGroupLimit`` before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # FIXED VALUES — filing forms kept, and their agent-use labels.
@@ -42,6 +42,63 @@ def explode_facts(docs: DataFrame, doc_col: str, keys: list[str], wanted_unit: s
     return recs.select(*keys, "concept", "unit", "pos", "r.*")
 
 
+# FIXED VALUES — metrics in order: key, label, concepts in order of preference, wanted unit.
+METRICS = [
+    ("revenue", "Revenue", ["RevenueFromContractWithCustomerExcludingAssessedTax", "SalesRevenueNet", "Revenues"], "USD"),
+    ("net_income", "Net income", ["NetIncomeLoss", "ProfitLoss"], "USD"),
+    ("operating_income", "Operating income", ["OperatingIncomeLoss"], "USD"),
+    ("operating_cash_flow", "Operating cash flow", ["NetCashProvidedByUsedInOperatingActivities"], "USD"),
+    ("capex", "Capital expenditures", ["PaymentsToAcquirePropertyPlantAndEquipment"], "USD"),
+    ("research_and_development", "Research and development expense", ["ResearchAndDevelopmentExpense"], "USD"),
+    ("assets", "Assets", ["Assets"], "USD"),
+    ("liabilities", "Liabilities", ["Liabilities"], "USD"),
+    ("equity", "Stockholders' equity",
+     ["StockholdersEquity", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"], "USD"),
+    ("diluted_eps", "Diluted EPS", ["EarningsPerShareDiluted"], "USD/shares"),
+]
+FORM_PERIOD = [("10-K", "annual"), ("10-Q", "quarterly")]
+
+
+def metric_dim(spark: SparkSession, metrics=METRICS) -> DataFrame:
+    """One row per metric and concept; a table of the code's own size."""
+    return spark.createDataFrame([(m, label, c, i, unit) for m, label, cs, unit in metrics for i, c in enumerate(cs)],
+                                 "metric string, label string, concept string, concept_ordinal int, unit string")
+
+
+def metric_records(docs: DataFrame, doc_col: str, keys: list[str], metrics=METRICS) -> DataFrame:
+    """Every record of the metrics' concepts in nested documents, whatever other concepts and units they hold:
+    (*keys, metric, label, concept, concept_ordinal, unit, used_unit, pos, val, fy, fp, form, filed, end, frame).
+
+    Concepts and units are read as maps, which keep the document's order: a concept's records are those of the
+    metric's unit, or else of the first unit that the document names. The records are a VARIANT, exploded
+    laterally; ``val`` is null if it is no number, ``unit`` is the metric's, ``used_unit`` the one read."""
+    spark = docs.sparkSession
+    concepts = docs.select(*keys, F.explode(F.from_json(F.col(doc_col), "struct<facts:struct<`us-gaap`:map<string,string>>>")
+                                            ["facts"]["us-gaap"]).alias("concept", "body"))
+    known = concepts.join(F.broadcast(metric_dim(spark, metrics)), "concept").withColumn("units", F.get_json_object("body", "$.units"))
+    known = known.withColumn("names", F.json_object_keys("units")).withColumn("by_unit", F.from_json("units", "map<string,variant>"))
+    wanted = F.array_contains("names", F.col("unit")) & ~F.coalesce(F.is_variant_null(F.try_element_at("by_unit", F.col("unit"))), F.lit(True))
+    known = known.withColumn("used_unit", F.when(wanted, F.col("unit")).otherwise(F.get("names", F.lit(0))))
+    known = known.withColumn("records", F.try_element_at("by_unit", F.col("used_unit")))
+    known = known.where(F.schema_of_variant("records").startswith("ARRAY")).select(
+        *keys, "metric", "label", "concept", "concept_ordinal", "unit", "used_unit", "records")
+    each = known.lateralJoin(spark.tvf.variant_explode(F.col("records").outer()).select(F.col("pos"), F.col("value").alias("r"))).drop("records")
+
+    def text(name: str) -> Column:
+        return F.try_variant_get("r", f"$.{name}", "string").alias(name)
+
+    kind = F.schema_of_variant(F.try_variant_get("r", "$.val", "variant"))
+    number = F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("r", "$.val", "double"))
+    return each.select(*keys, "metric", "label", "concept", "concept_ordinal", "unit", "used_unit", "pos", number.alias("val"),
+                       F.try_variant_get("r", "$.fy", "string").alias("fy"), *[text(n) for n in ("fp", "form", "filed", "end", "frame")])
+
+
+def usable_records(records: DataFrame) -> DataFrame:
+    """Records of a kept form with a number, a filing date and an end."""
+    filled = [F.coalesce(c, F.lit("")) != "" for c in ("filed", "end")]
+    return records.where(F.col("form").isin(*[f for f, _p in FORM_PERIOD]) & F.col("val").isNotNull() & ~F.isnan("val") & filled[0] & filled[1])
+
+
 def latest_fact(facts: DataFrame, keys: list[str], order_cols: list[str], form: str | None = None) -> DataFrame:
     """Per ``keys``: the record with the largest ``filed-end`` string among
     records of ``form`` with a numeric value and non-empty filed and end; ties
@@ -154,3 +211,79 @@ def valid_prices(df: DataFrame, date: str = "date", close: str = "close") -> Dat
     c = F.col(close)
     return df.filter((F.coalesce(F.col(date).cast("string"), F.lit("")) != "") & c.isNotNull() & ~F.isnan(c)
                      & (F.abs(c) != float("inf")))
+
+
+# ---------------------------------------------------------------------------
+# Company snapshot
+# ---------------------------------------------------------------------------
+FILINGS_SHOWN = 3
+# FIXED VALUES — what an agent can read from a snapshot.
+AGENT_FIELDS = ["company identity", "SEC filing provenance", "latest annual and quarterly XBRL facts",
+                "recent filing event stream", "recent OHLCV market context"]
+CHILD = ["entity", "slot", "name", "o1", "o2", "o3", "o4", "o5", "payload"]
+
+
+def child_rows(rows: DataFrame, entity: str, slot: Column, name: Column, order: list[Column], payload: Column,
+               newest: Column | None = None) -> DataFrame:
+    """Children of a company in one shape: within a slot rows stand by ``newest`` (descending text), then ``order``."""
+    order = [o.cast("long") for o in order] + [F.lit(0).cast("long")] * (4 - len(order))
+    return rows.select(F.col(entity).alias("entity"), slot.alias("slot"), name.alias("name"),
+                       (F.lit("") if newest is None else newest).alias("o1"), *[o.alias(f"o{i + 2}") for i, o in enumerate(order)],
+                       F.to_variant_object(payload).alias("payload"))
+
+
+def metric_children(records: DataFrame, entity: str, order: list[str]) -> DataFrame:
+    """The usable records as children: of a period and metric the largest filed-end leads, then the earlier concept,
+    then the earlier record."""
+    period = F.when(F.col("form") == FORM_PERIOD[0][0], FORM_PERIOD[0][1]).otherwise(FORM_PERIOD[1][1])
+    payload = F.struct("concept", "label", "unit", F.col("val").alias("value"), "fy", "fp", "form", "filed", "end", "frame")
+    return child_rows(usable_records(records), entity, F.concat_ws(":", period, "metric"), F.col("metric"),
+                      [F.col("concept_ordinal"), *map(F.col, order)], payload, F.concat_ws("-", "filed", "end"))
+
+
+def price_children(prices: DataFrame, entity: str, at: str, tie: str, close: str, volume: Column) -> DataFrame:
+    """Each company's newest and oldest price as children."""
+    payload = F.struct(F.col(at).cast("string").alias("date"), F.col(close).alias("close"), volume.alias("volume"))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    ends = prices.withColumn("_end", F.explode(F.array(F.lit("newest"), F.lit("oldest"))))
+    sign = F.when(F.col("_end") == "newest", -1).otherwise(1)
+    return child_rows(ends, entity, F.col("_end"), F.col("_end"), [sign * micros, sign * F.col(tie)], payload)
+
+
+def company_snapshots(companies: DataFrame, key: str, identity: list[str], children: list[DataFrame]) -> DataFrame:
+    """One nested row per company: ``key``, identity struct, annual and quarterly metrics (maps), first filings,
+    market snapshot, agent fields.
+
+    All children are dealt once, by (company, slot), after each task has cut its slots to the rows that can be shown
+    (a ranked window with a group limit before the shuffle); so a company with a third of all rows is a few rows a
+    task and slot. What is left, some tens of rows a company, is assembled by one aggregation."""
+    rows = children[0]
+    for more in children[1:]:
+        rows = rows.unionByName(more)
+    order = Window.partitionBy("entity", "slot").orderBy(F.desc("o1"), "o2", "o3", "o4", "o5")
+    shown = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FILINGS_SHOWN)
+    shown = shown.where((F.col("rank") == 1) | (F.col("slot") == "filing"))
+
+    def metrics(period: str) -> Column:
+        entry = F.when(F.col("slot").startswith(f"{period}:"), F.struct("name", "payload"))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["name"] < b["name"], -1).otherwise(1)))
+
+    def one(slot: str) -> Column:
+        return F.any_value(F.when(F.col("slot") == slot, F.col("payload")), True)
+
+    filing = F.when(F.col("slot") == "filing", F.struct("rank", "payload"))
+    made = shown.groupBy("entity").agg(
+        *[metrics(p).alias(f"{p}_metrics") for _f, p in FORM_PERIOD],
+        F.transform(F.array_sort(F.collect_list(filing), lambda a, b: a["rank"] - b["rank"]), lambda f: f["payload"]).alias("latest_filings"),
+        one("newest").alias("newest"), one("oldest").alias("oldest"))
+    new, old = (F.try_variant_get(c, "$.close", "double") for c in ("newest", "oldest"))
+    change = round_half_up(F.when(old != 0, F.try_divide(new - old, old) * 100), 2)
+    market = F.when(F.col("newest").isNotNull(), F.struct(
+        F.try_variant_get("newest", "$.date", "string").alias("date"), new.alias("close"),
+        F.try_variant_get("newest", "$.volume", "double").alias("volume"), change.alias("approx_window_change_pct")))
+    empty = F.create_map().cast("map<string,variant>")
+    return companies.join(made, companies[key] == made["entity"], "left").select(
+        F.col(key), F.struct(*identity).alias("identity"),
+        *[F.coalesce(f"{p}_metrics", empty).alias(f"{p}_metrics") for _f, p in FORM_PERIOD],
+        F.coalesce("latest_filings", F.array().cast("array<variant>")).alias("latest_filings"), market.alias("market"),
+        F.array(*map(F.lit, AGENT_FIELDS)).alias("agent_ready_fields"))

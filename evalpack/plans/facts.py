@@ -206,6 +206,105 @@ def dataset_cards(spark, sf):
         "card_id", "measure", F.col("n").cast("long").alias("n"))
 
 
+# ---------------------------------------------------------------------------
+# The facts chain on nested documents, and the company snapshot
+# ---------------------------------------------------------------------------
+CONCEPTS = [c for _m, _l, cs, _u in fx.METRICS for c in cs]
+EPS = "EarningsPerShareDiluted"
+
+
+def company_documents(spark, sf) -> DataFrame:
+    """Stand-in facts documents: one per order, company = customer, a record per line under the concept that its part
+    picks; open lines are filed in euro, returned lines also in Australian dollars, named first; every sixth line's
+    value is no number. An order holds a handful of lines, so no group grows with the data."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_linestatus", "l_returnflag",
+                                             "l_shipdate")
+    concept = F.element_at(F.array(*map(F.lit, CONCEPTS)), (F.col("l_partkey") % len(CONCEPTS) + 1).cast("int"))
+    li = li.withColumn("concept", concept)
+    share = F.when(F.col("concept") == EPS, "/shares").otherwise("")
+    unit = F.concat(F.when(F.col("l_linestatus") == "F", "USD").otherwise("EUR"), share)
+    rest = F.to_json(F.struct(F.year("l_shipdate").alias("fy"), F.concat(F.lit("Q"), F.quarter("l_shipdate").cast("string")).alias("fp"),
+                              F.when(F.col("l_linenumber") % 2 == 1, "10-K").otherwise("10-Q").alias("form"),
+                              F.date_format("l_shipdate", "yyyy-MM-dd").alias("filed"),
+                              F.date_format(F.date_sub(F.to_date("l_shipdate"), F.col("l_linenumber") * 30), "yyyy-MM-dd").alias("end")))
+
+    def record(value) -> F.Column:
+        val = F.when(F.col("l_linenumber") % 6 == 0, F.lit('"n/a"')).otherwise(value.cast("string"))
+        return F.concat(F.lit('{"val":'), val, F.lit(","), F.substr(rest, F.lit(2)))
+
+    here = F.struct(unit.alias("unit"), record(F.col("l_extendedprice")).alias("record"))
+    both = F.when(F.col("l_returnflag") == "R", F.array(F.struct(F.lit("AUD").alias("unit"), record(F.col("l_extendedprice") * 2).alias("record")), here))
+    lines = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_extendedprice", "concept",
+                                             F.coalesce(both, F.array(here)).alias("entries")).alias("line"))
+    docs = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    docs = docs.withColumn("e", F.flatten(F.transform("lines", lambda x: F.transform(
+        x["entries"], lambda y: F.struct(x["concept"].alias("concept"), y["unit"].alias("unit"), y["record"].alias("record"))))))
+
+    def named(name, body) -> F.Column:
+        return F.concat(F.lit('"'), name, F.lit('":'), body)
+
+    def units(c) -> F.Column:
+        own = F.filter("e", lambda x: x["concept"] == c)
+        return F.array_join(F.transform(F.array_distinct(F.transform(own, lambda x: x["unit"])), lambda u: named(u, F.concat(
+            F.lit("["), F.array_join(F.transform(F.filter(own, lambda x: x["unit"] == u), lambda x: x["record"]), ","), F.lit("]")))), ",")
+
+    body = F.array_join(F.transform(F.array_distinct(F.transform("e", lambda x: x["concept"])), lambda c: named(c, F.concat(
+        F.lit('{"units":{'), units(c), F.lit("}}")))), ",")
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("entity"))
+    docs = docs.select("l_orderkey", F.concat(F.lit('{"facts":{"us-gaap":{'), body, F.lit("}}}")).alias("doc"))
+    return docs.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("entity", "l_orderkey", "doc")
+
+
+def _company_records(spark, sf) -> DataFrame:
+    return fx.metric_records(company_documents(spark, sf), "doc", ["entity", "l_orderkey"])
+
+
+def company_metrics(spark, sf):
+    """The chain from nested documents to long metric rows: records by unit rule, the latest of each concept, the
+    preferred concept of each metric, unpivoted with blanks for what is absent."""
+    records = fx.usable_records(_company_records(spark, sf))
+    latest = fx.latest_fact(records, ["entity", "form", "metric", "concept"], ["l_orderkey", "pos"])
+    best = fx.preferred_concept(latest, ["entity", "form", "metric"], "concept_ordinal")
+    period = F.when(F.col("form") == "10-K", "annual").otherwise("quarterly")
+    return best.select("entity", period.alias("period_type"), F.col("metric").alias("metric_key"), "label", "concept", "unit", "used_unit",
+                       F.col("val").alias("value"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("fy", "fp", "form", "filed", "end")])
+
+
+def _snapshots(spark, sf) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    filings = _filings(spark, sf).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    filing = fx.child_rows(filings, "o_custkey", F.lit("filing"), F.lit("filing"),
+                           [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "idx")],
+                           F.struct("form", "filing_date", F.col("agent_use").alias("description"), "sec_url"))
+    prices = fx.valid_prices(table(spark, sf, "events").select("user_id", "event_id", "ts", "value", "props"), "ts", "value")
+    price = fx.price_children(prices, "user_id", "ts", "event_id", "value", F.get_json_object("props", "$.k").cast("double"))
+    nat = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("domicile"))
+    companies = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("sector"), "c_nationkey") \
+        .join(nat, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return fx.company_snapshots(companies, "c_custkey", ["name", "sector", "domicile"],
+                                [fx.metric_children(_company_records(spark, sf), "entity", ["l_orderkey", "pos"]), filing, price])
+
+
+def company_snapshot(spark, sf):
+    """The nested snapshot of every company, read back from its struct."""
+    s = _snapshots(spark, sf)
+
+    def told(col: str):
+        return F.array_join(F.transform(F.map_entries(col), lambda e: F.concat_ws(
+            ":", e["key"], *[F.try_variant_get(e["value"], f"$.{n}", "string") for n in ("concept", "filed", "fy")])), ",")
+
+    def total(col: str):
+        return F.aggregate(F.map_values(col), F.lit(0.0), lambda acc, v: acc + F.try_variant_get(v, "$.value", "double"))
+
+    shown = F.transform("latest_filings", lambda f: F.concat_ws(
+        "@", *[F.try_variant_get(f, f"$.{n}", "string") for n in ("form", "filing_date", "sec_url")]))
+    return s.select("c_custkey", "identity.name", "identity.sector", "identity.domicile", told("annual_metrics").alias("annual"),
+                    F.round(total("annual_metrics"), 2).alias("annual_total"), told("quarterly_metrics").alias("quarterly"),
+                    F.round(total("quarterly_metrics"), 2).alias("quarterly_total"), F.array_join(shown, ",").alias("filings"),
+                    F.col("market.close").alias("close"), F.col("market.volume").alias("volume"),
+                    F.col("market.approx_window_change_pct").alias("change_pct"), F.size("agent_ready_fields").alias("n_fields"))
+
+
 def _price_str():
     return (F.when(F.col("o_orderstatus") == "P", F.lit(""))
             .otherwise(F.concat(F.lit("$"), F.format_number("o_totalprice", 2))))

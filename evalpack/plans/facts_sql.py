@@ -52,6 +52,29 @@ filings AS (
   WHERE form IN ('10-K', '10-Q', '8-K', 'DEF 14A') AND coalesce(accession, '') <> '' AND coalesce(document, '') <> '')"""
 
 
+def _company_sql() -> str:
+    from ..operators.facts import METRICS as METRIC_ROWS
+    from .facts import CONCEPTS, EPS
+    dim = ", ".join(f"('{m}', '{label.replace(chr(39), chr(39) * 2)}', '{c}', {i}, '{unit}')" for m, label, cs, unit in METRIC_ROWS for i, c in enumerate(cs))
+    names = ", ".join(f"'{c}'" for c in CONCEPTS)
+    return f"""dim(metric, label, concept, concept_ordinal, wanted) AS (VALUES {dim}),
+li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_linestatus, l_returnflag, l_shipdate,
+  [{names}][l_partkey % {len(CONCEPTS)} + 1] AS concept FROM lineitem),
+entries AS (
+  SELECT *, 0 AS k, 'AUD' AS unit, l_extendedprice * 2 AS v FROM li WHERE l_returnflag = 'R'
+  UNION ALL SELECT *, 1, CASE WHEN l_linestatus = 'F' THEN 'USD' ELSE 'EUR' END || CASE WHEN concept = '{EPS}' THEN '/shares' ELSE '' END, l_extendedprice FROM li),
+used AS (SELECT l_orderkey, e.concept, any_value(d.wanted) AS wanted, CASE WHEN bool_or(unit = d.wanted) THEN any_value(d.wanted)
+  ELSE arg_min(unit, (l_linenumber, l_partkey, l_extendedprice, k)) END AS used_unit FROM entries e JOIN dim d ON e.concept = d.concept GROUP BY l_orderkey, e.concept),
+recs AS (SELECT o.o_custkey AS entity, e.l_orderkey, d.metric, d.label, e.concept, d.concept_ordinal, d.wanted AS unit, u.used_unit,
+  row_number() OVER (PARTITION BY e.l_orderkey, e.concept ORDER BY l_linenumber, l_partkey, l_extendedprice, k) AS pos, v AS val, l_linenumber,
+  CAST(year(l_shipdate) AS VARCHAR) AS fy, 'Q' || quarter(l_shipdate) AS fp, CASE WHEN l_linenumber % 2 = 1 THEN '10-K' ELSE '10-Q' END AS form,
+  strftime(l_shipdate, '%Y-%m-%d') AS filed, strftime(CAST(l_shipdate AS DATE) - CAST(l_linenumber * 30 AS INTEGER), '%Y-%m-%d') AS "end"
+  FROM entries e JOIN used u ON e.l_orderkey = u.l_orderkey AND e.concept = u.concept AND e.unit = u.used_unit
+  JOIN dim d ON d.concept = e.concept JOIN orders o ON o.o_orderkey = e.l_orderkey),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, form, metric
+  ORDER BY filed || '-' || "end" DESC, concept_ordinal, l_orderkey, pos) AS rn FROM recs WHERE l_linenumber % 6 <> 0) q WHERE rn = 1)"""
+
+
 def _w(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -132,6 +155,26 @@ FROM (SELECT o_orderkey, CASE WHEN starts_with(o_orderpriority, '1')
     q["compact_number"] = ("SELECT l_suppkey, CAST(total AS DOUBLE) AS total, CASE WHEN total IS NULL THEN 'n/a' "
                            + " ".join(tiers) + " END || ' USD' AS compact FROM (SELECT l_suppkey, "
                            "sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total FROM lineitem GROUP BY l_suppkey) q")
+    q["company_metrics"] = _w(_company_sql()) + """
+SELECT entity, CASE WHEN form = '10-K' THEN 'annual' ELSE 'quarterly' END AS period_type, metric AS metric_key, label, concept, unit, used_unit,
+  val AS value, fy, fp, form, filed, "end" FROM best"""
+    q["company_snapshot"] = _w(_company_sql(), FILINGS).rstrip() + """,
+m AS (SELECT entity, string_agg(metric || ':' || concept || ':' || filed || ':' || fy, ',' ORDER BY metric) FILTER (WHERE form = '10-K') AS annual,
+  sum(val) FILTER (WHERE form = '10-K') AS annual_total,
+  string_agg(metric || ':' || concept || ':' || filed || ':' || fy, ',' ORDER BY metric) FILTER (WHERE form = '10-Q') AS quarterly,
+  sum(val) FILTER (WHERE form = '10-Q') AS quarterly_total FROM best GROUP BY entity),
+f AS (SELECT o_custkey, string_agg(concat_ws('@', form, filing_date, sec_url), ',' ORDER BY rn) AS filings FROM (
+  SELECT o.o_custkey, f.*, row_number() OVER (PARTITION BY o.o_custkey ORDER BY f.l_orderkey, f.l_linenumber, f.l_partkey, f.idx) AS rn
+  FROM filings f JOIN orders o ON f.l_orderkey = o.o_orderkey) q WHERE rn <= 3 GROUP BY o_custkey),
+p AS (SELECT user_id, arg_max(value, (ts, event_id)) AS newest, arg_min(value, (ts, event_id)) AS oldest,
+  arg_max(CAST(json_extract(props, '$.k') AS DOUBLE), (ts, event_id)) AS volume
+  FROM events WHERE ts IS NOT NULL AND isfinite(value) GROUP BY user_id)
+SELECT c.c_custkey, c.c_name AS name, c.c_mktsegment AS sector, n.n_name AS domicile, coalesce(annual, '') AS annual,
+  round(coalesce(annual_total, 0.0), 2) AS annual_total, coalesce(quarterly, '') AS quarterly, round(coalesce(quarterly_total, 0.0), 2) AS quarterly_total,
+  coalesce(filings, '') AS filings, newest AS close, volume,
+  CASE WHEN oldest <> 0 THEN floor((newest - oldest) / oldest * 100 * 100 + 0.5) / 100 END AS change_pct, 5 AS n_fields
+FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN m ON m.entity = c.c_custkey
+LEFT JOIN f ON f.o_custkey = c.c_custkey LEFT JOIN p ON p.user_id = c.c_custkey"""
     q["entity_snapshot"] = _w(FACTS, METRICS, LATEST, PREFERRED) + """
 SELECT s.s_suppkey, s.s_name, n.n_name, coalesce(m.n_annual, 0) AS n_annual, coalesce(m.n_quarterly, 0) AS n_quarterly,
   m.latest_filed, m.annual_revenue

@@ -61,3 +61,37 @@ def test_zip_explode_and_filing_rules(spark):
     assert [(r["idx"], r["u"]) for r in got] == [
         (0, "https://www.sec.gov/Archives/edgar/data/320193/000032019324000001/d1.htm"),
         (3, "https://www.sec.gov/Archives/edgar/data/320193/ab/d4")]
+
+
+def test_metric_records_first_unit_in_document_order(spark):
+    import json
+    from evalpack.operators import facts as fx
+    rec = lambda v, form="10-K", filed="2020-02-01", **kw: {"val": v, "fy": 2019, "fp": "FY", "form": form, "filed": filed, "end": "2019-12-31", **kw}
+    doc = {"facts": {"us-gaap": {
+        "Zeta": {"units": {"USD": [rec(1)]}},                                                    # unknown concept
+        "Revenues": {"units": {"ZAR": [rec(5)], "AUD": [rec(7)]}},                               # ZAR is named first
+        "SalesRevenueNet": {"units": {"AUD": [rec(9)], "USD": [rec(1), rec(2, filed="2020-03-01"), rec("x"), rec(3, filed="")]}},
+        "ProfitLoss": {"units": {"USD": {"a": 1}}}, "Assets": {"units": {}}, "Liabilities": {}, "EarningsPerShareDiluted": {
+            "units": {"USD": [rec(4)], "USD/shares": [rec(1.5, form="10-Q", frame="CY")]}}}}}
+    rows = [(1, json.dumps(doc)), (2, "{}"), (3, None), (4, "not json"), (5, '{"facts": {"us-gaap": {"Assets": {"units": {"USD": []}}}}}')]
+    out = fx.metric_records(spark.createDataFrame(rows, "id int, doc string"), "doc", ["id"])
+    got = sorted(((r.metric, r.concept, r.unit, r.used_unit, r.pos, r.val) for r in out.collect()), key=str)
+    assert got == sorted([("revenue", "Revenues", "USD", "ZAR", 0, 5.0), ("revenue", "SalesRevenueNet", "USD", "USD", 0, 1.0),
+                          ("revenue", "SalesRevenueNet", "USD", "USD", 1, 2.0), ("revenue", "SalesRevenueNet", "USD", "USD", 2, None),
+                          ("revenue", "SalesRevenueNet", "USD", "USD", 3, 3.0),
+                          ("diluted_eps", "EarningsPerShareDiluted", "USD/shares", "USD/shares", 0, 1.5)], key=str)
+    usable = {(r.concept, r.val) for r in fx.usable_records(out).collect()}
+    assert usable == {("Revenues", 5.0), ("SalesRevenueNet", 1.0), ("SalesRevenueNet", 2.0), ("EarningsPerShareDiluted", 1.5)}
+    # the later filing leads, whatever its concept's place; the earlier concept only breaks ties
+    snap = fx.company_snapshots(spark.createDataFrame([(1, "a"), (2, "b")], "id2 int, name string"), "id2", ["name"],
+                                [fx.metric_children(out, "id", ["pos"])]).orderBy("id2").collect()
+    assert {k: (v.toPython()["concept"], v.toPython()["value"]) for k, v in snap[0].annual_metrics.items()} == {"revenue": ("SalesRevenueNet", 2.0)}
+    assert snap[0].quarterly_metrics["diluted_eps"].toPython()["frame"] == "CY"
+    assert snap[1].annual_metrics == {} and snap[1].latest_filings == [] and snap[1].market is None
+
+
+def test_snapshot_deals_children_once(spark):
+    from evalpack.plans import facts as pf
+    plan = pf._snapshots(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # partial, before the shuffle, and final
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
