@@ -254,7 +254,7 @@ def signal_evidence(prof: DataFrame, cases: DataFrame) -> DataFrame:
     entries = F.slice(F.array_compact(F.array(named, F.concat(F.lit("matched "), F.col("signal")))), 1, EVIDENCE)
     none = F.array().cast("array<string>")
     long = signals_long(prof).join(prof.select("pack", "cand_license"), "pack").join(first_cases(cases), ["pack", "signal"], "left")
-    return long.select("pack", "ordinal", "signal", "present", F.when(F.col("present"), entries).otherwise(none).alias("evidence"),
+    return long.select("pack", "ordinal", "signal", "present", "confidence", F.when(F.col("present"), entries).otherwise(none).alias("evidence"),
                        F.coalesce("first_cases", F.array().cast("array<struct<seq: bigint, kind: string>>")).alias("first_cases"))
 
 

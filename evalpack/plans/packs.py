@@ -208,3 +208,25 @@ def manifest_frame(cases: DataFrame, taxonomy=TAXONOMY) -> DataFrame:
 
 def pack_manifest(spark, sf):
     return manifest_frame(documents_as_cases(spark, sf))
+
+
+def manifest_nested(spark, sf):
+    """The nested manifest of each pack of JSON cases, read back from its JSON document."""
+    from ..operators.manifest import nested_manifest
+    cases = _json_cases(spark, sf)
+    m = nested_manifest(cases, TAXONOMY, url=F.concat(F.lit("landed/"), F.col("pack"), F.lit(".jsonl")))
+    doc = m.select("pack", F.to_json("manifest").alias("doc"))
+    back = doc.select("pack", F.from_json("doc", m.schema["manifest"].dataType).alias("m"))
+    signals = F.transform("m.schemaProfile.signals", lambda s: F.concat_ws(":", s["key"], s["present"].cast("string"), F.array_join(s["evidence"], "+")))
+    industries = F.transform("m.industryProfile.matches", lambda i: F.concat_ws(":", i["slug"], i["label"], F.array_join(i["matchedKeywords"], "+")))
+    steps = F.transform("m.enrichmentPlan.steps", lambda s: F.concat_ws(":", s["id"], s["priority"], F.array_join(s["outputs"], "+")))
+    return back.select(
+        "pack", F.col("m.schemaVersion").alias("schema_version"), F.col("m.source.url").alias("url"), F.col("m.source.licenseName").alias("license_name"),
+        F.col("m.summary.caseCount").alias("case_count"), F.array_join("m.summary.taskTypes", ",").alias("task_types"),
+        F.col("m.summary.schemaCompleteness").alias("completeness"), F.col("m.summary.readinessLevel").alias("readiness_level"),
+        F.array_join(industries, ",").alias("industries"), F.col("m.industryProfile.isIndustrySpecific").alias("is_industry_specific"),
+        F.array_join(signals, ",").alias("signals"), F.array_join("m.schemaProfile.evaluatorCandidates", ",").alias("evaluators"),
+        F.array_join("m.schemaProfile.notes", " | ").alias("notes"), F.col("m.enrichmentPlan.currentTier").alias("current_tier"),
+        F.col("m.enrichmentPlan.targetTier").alias("target_tier"), F.col("m.enrichmentPlan.estimatedReadinessLift").alias("lift"),
+        F.array_join("m.enrichmentPlan.workflowFocus", ",").alias("workflow_focus"), F.array_join(steps, ",").alias("steps"),
+        F.array_join("m.enrichmentPlan.packagingRisks", " | ").alias("risks"), F.array_join("m.recommendedNextActions", " | ").alias("next_actions"))

@@ -140,6 +140,24 @@ SELECT p.pack, CAST(p.ordinal AS INTEGER) AS ordinal, p.signal, p.present, CASE
   coalesce(f.cases, '') AS first_cases FROM present p LEFT JOIN firsts f ON p.pack = f.pack AND p.ordinal = f.ordinal"""
 
 
+def manifest_sql(cases: str) -> str:
+    tax = ", ".join(f"({sql_str(s)}, {sql_str(label)})" for s, label, _k, _w in TAXONOMY)
+    signals = " || ',' || ".join(f"'{k}:' || s_{k} || CASE WHEN s_{k} THEN ':matched {k}' ELSE ':' END" for k in KEYS)
+    return _with(_industry_ctes(), _plan_ctes(), cases=cases).rstrip() + f""",
+types AS ({TASK_TYPES}), labels(slug, label) AS (VALUES {tax}),
+words AS (SELECT pack, slug, string_agg(keyword, '+' ORDER BY kw_id) AS words FROM (
+  SELECT pack, slug, keyword, min(kw_id) AS kw_id FROM matches GROUP BY pack, slug, keyword) w GROUP BY pack, slug),
+inds AS (SELECT t.pack, string_agg(t.slug || ':' || l.label || ':' || coalesce(w.words, ''), ',' ORDER BY t.rank) AS industries
+  FROM top t JOIN labels l ON t.slug = l.slug LEFT JOIN words w ON w.pack = t.pack AND w.slug = t.slug GROUP BY t.pack),
+told AS (SELECT pack, string_agg(step_id || ':' || priority || ':' || array_to_string(outputs, '+'), ',' ORDER BY ordinal) AS steps FROM steps GROUP BY pack)
+SELECT p.pack, {sql_str(dims.MANIFEST_VERSION)} AS schema_version, 'landed/' || p.pack || '.jsonl' AS url, p.license_name, p.case_count, y.task_types,
+  CAST(p.completeness AS DOUBLE) AS completeness, CAST(p.readiness_level AS INTEGER) AS readiness_level, n.industries, i.is_industry_specific,
+  {signals} AS signals, array_to_string(p.evaluators, ',') AS evaluators, array_to_string(p.notes, ' | ') AS notes, t.current_tier, t.target_tier, l.lift,
+  array_to_string(i.workflow_focus, ',') AS workflow_focus, s.steps, array_to_string(e.risks, ' | ') AS risks, array_to_string({_ldo("e.actions")}, ' | ') AS next_actions
+FROM prof p JOIN indp i ON p.pack = i.pack JOIN types y ON p.pack = y.pack JOIN inds n ON p.pack = n.pack JOIN tiers t ON p.pack = t.pack
+JOIN lift l ON p.pack = l.pack JOIN extra e ON p.pack = e.pack JOIN told s ON p.pack = s.pack"""
+
+
 def json_queries(cases: str) -> dict[str, str]:
     """The pack keys over JSON cases, so that fields, explicit types, messages and case licenses count."""
     w = _with(cases=cases)
@@ -152,6 +170,7 @@ def json_queries(cases: str) -> dict[str, str]:
         "array_to_string(missing_critical, ',') AS missing_critical, array_to_string(evaluators, ',') AS evaluators, "
         "array_to_string(notes, ' | ') AS notes FROM prof",
         "json_task_types": w + TASK_TYPES,
+        "manifest_nested": manifest_sql(cases),
         "signal_evidence": evidence_sql(cases),
     }
 
