@@ -1,15 +1,22 @@
 """Industry segmentation: bounded keyword matches, scores, top-3 per pack.
 
-The taxonomy is a parameter (a small, bounded list). Each keyword becomes one
-bounded pattern column, evaluated on every case (plus the candidate text) in
-one projection. Matches are exploded to ``(pack, keyword id)`` rows, made
-distinct (combined before the shuffle, so a pack costs at most one row per keyword
-and task) and joined to the keyword dimension; Spark broadcasts it only if it is small.
+The taxonomy is a parameter, of any number of keywords. A keyword matches a text
+where its own characters stand (blank runs for blank runs) with no letter or
+digit before or behind. As a keyword begins with a word, it can only begin where
+a word of the text does: the text is cut, at each of its words, into the word and
+as many characters behind it as the longest keyword needs, and these cuts are
+joined with the keyword table on the first word, so that a word meets just the
+keywords that begin with it. Spark broadcasts the table if it is small. Matches
+are made distinct (combined before the shuffle, so a pack costs at most one row
+per keyword and task). Keywords that begin with another character, such as
+".net", have no first word and are searched as patterns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -41,12 +48,32 @@ def taxonomy_dim(spark: SparkSession, taxonomy=dims.STOCK_TAXONOMY) -> DataFrame
         "slug_ordinal int, slug string, label string, workflows array<string>")
 
 
-def matched_ids(text: Column, taxonomy=dims.STOCK_TAXONOMY) -> Column:
-    """array<int> of keyword ids whose bounded pattern hits ``text``."""
-    rows = keyword_rows(taxonomy)
-    if not rows:
-        return F.array().cast("array<int>")
-    return F.array_compact(F.array(*[F.when(flag(text, r[4]), F.lit(r[0])) for r in rows]))
+def _collapsed(keyword: str) -> str:
+    return re.sub(r"\s+", " ", keyword.strip().lower())
+
+
+def matched_keywords(texts: DataFrame, rows: list[tuple]) -> DataFrame:
+    """(pack, kw_id) of each keyword of ``rows`` (see ``keyword_rows``) that a text (pack, text) holds; may repeat."""
+    spark = texts.sparkSession
+    worded = [(r[0], _collapsed(r[3])) for r in rows if re.match("[a-z0-9]", _collapsed(r[3]))]
+    other = [r for r in rows if r[4] is not None and not re.match("[a-z0-9]", _collapsed(r[3]))]
+    found = []
+    if worded:
+        table = spark.createDataFrame([(i, re.match("[a-z0-9]+", k)[0], k) for i, k in worded], "kw_id int, first string, kw string")
+        reach = max(len(k) for _, k in worded)
+        at_words = rf"(?s)(?<![a-z0-9])(?=([a-z0-9].{{0,{reach}}}))"
+        body = F.regexp_replace(F.lower("text"), r"\s+", " ")
+        cuts = texts.select("pack", F.explode(F.regexp_extract_all(body, F.lit(at_words), F.lit(1))).alias("cut"))
+        cuts = cuts.withColumn("first", F.regexp_extract("cut", "^[a-z0-9]+", 0))
+        behind = F.substr("cut", F.length("kw") + 1, F.lit(1))
+        held = F.startswith("cut", F.col("kw")) & ~behind.rlike("[a-z0-9]")
+        found.append(cuts.join(table, "first").where(held).select("pack", "kw_id"))
+    if other:
+        hits = F.array_compact(F.array(*[F.when(flag(F.lower("text"), r[4]), F.lit(r[0])) for r in other]))
+        found.append(texts.select("pack", F.explode(hits).alias("kw_id")))
+    if not found:
+        return texts.select("pack", F.lit(0).alias("kw_id")).limit(0)
+    return found[0] if len(found) == 1 else found[0].union(found[1])
 
 
 def keyword_matches(cases: DataFrame | None, taxonomy=dims.STOCK_TAXONOMY,
@@ -54,14 +81,13 @@ def keyword_matches(cases: DataFrame | None, taxonomy=dims.STOCK_TAXONOMY,
     """Distinct ``(pack, kw_id, slug, kind, keyword)`` matched in any case
     or in the candidate text (``cand_industry_text``)."""
     spark = (cases if cases is not None else candidates).sparkSession
-    hits = []
+    texts = []
     if cases is not None:
-        hits.append(cases.select("pack", F.explode(matched_ids(F.lower("raw"), taxonomy)).alias("kw_id")))
+        texts.append(cases.select("pack", F.col("raw").alias("text")))
     if candidates is not None:
-        hits.append(candidates.select(
-            "pack", F.explode(matched_ids(F.lower("cand_industry_text"), taxonomy)).alias("kw_id")))
-    allhits = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
-    return allhits.distinct().join(keyword_dim(spark, taxonomy), "kw_id")
+        texts.append(candidates.select("pack", F.col("cand_industry_text").alias("text")))
+    texts = texts[0] if len(texts) == 1 else texts[0].unionByName(texts[1])
+    return matched_keywords(texts, keyword_rows(taxonomy)).distinct().join(keyword_dim(spark, taxonomy), "kw_id")
 
 
 def industry_scores(matches: DataFrame, taxonomy=dims.STOCK_TAXONOMY,
