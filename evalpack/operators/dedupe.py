@@ -17,10 +17,9 @@ Distributed plan
    share a token within the first ``n - ceil(t*n) + 1`` tokens of each set
    (prefix filter), and sizes must satisfy ``t*|a| <= |b| <= |a|/t``. The
    equi-join on prefix tokens only sees rare tokens; the pairs are then
-   verified exactly. (Cosine): unit vectors projected on a fixed direction
-   differ by at most ``sqrt(2-2t)`` when cos >= t, so an equi-join of each
-   row's band with the other row's band and its two neighbours is exact;
-   pairs are verified.
+   verified exactly. (Cosine): see ``cosine_candidates``: bands of one
+   coordinate and a bound from some coordinates and the lengths that are
+   left; both are exact, and pairs that pass are verified.
 3. **Keep-first fixed point** over the verified pair graph: undecided rows
    with no undecided earlier neighbour are kept; undecided neighbours of a
    newly kept row are dropped; repeat. Every fifth round (a parameter) and
@@ -119,9 +118,60 @@ def dot(u: Column, v: Column) -> Column:
     return F.when(F.size(u) == F.size(v), F.aggregate(prod, F.lit(0.0), lambda acc, x: acc + x)).otherwise(F.lit(0.0))
 
 
-def _direction(u: Column) -> Column:
-    """A fixed direction as long as ``u``: evenly spread values without a table."""
-    return F.transform(u, lambda x, i: F.pmod(F.xxhash64(i), F.lit(2_000_003)) / F.lit(1_000_001.0) - F.lit(1.0))
+HEAD_MOST = 64
+
+
+def _heads(u: Column, size: Column, n: int) -> Column:
+    """The first ``n`` coordinates of a unit vector in another orthonormal basis: cosine waves (the discrete cosine
+    transform) with a fixed sign for each position, which spreads the vector's length over all of them."""
+    signed = F.transform(u, lambda x, i: F.when(F.xxhash64(i) % 2 == 0, x).otherwise(-x))
+
+    def coordinate(k: Column) -> Column:
+        wave = F.transform(signed, lambda x, i: x * F.cos((i + 0.5) * k * F.lit(math.pi) / size))
+        scale = F.sqrt(F.when(k == 0, 1.0).otherwise(2.0) / size)
+        return F.when(size > k, F.aggregate(wave, F.lit(0.0), lambda acc, x: acc + x) * scale).otherwise(0.0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), coordinate)
+
+
+def cosine_candidates(reps: DataFrame, threshold: float, tasks: int | None = None) -> DataFrame:
+    """(a, b, ua, ub) of the pairs of unit vectors (id, u) that may reach ``threshold``.
+
+    Two bounds are tested before a pair becomes a row. The first coordinate of similar vectors differs by at most
+    sqrt(2 - 2t): rows are joined on bands of it. And the product of two vectors is at most that of their first
+    ``n`` coordinates plus the product of what is left of their lengths (Cauchy-Schwarz); the coordinates are plain
+    columns, so the join's condition is compiled arithmetic, and a full product is computed only for pairs that
+    pass. ``n`` leaves half of ``threshold`` for the rest of evenly spread vectors (at most ``HEAD_MOST``).
+
+    A dense band is tiled on a side x side grid of tasks: a left row goes to every tile of its grid row, a right row
+    to every tile of its column, so each pair meets in one tile and a vector is copied about sqrt(tasks) times."""
+    longest = reps.agg(F.coalesce(F.max(F.size("u")), F.lit(0))).first()[0]
+    n = max(1, min(HEAD_MOST, math.ceil(longest * (1 - threshold / 2))))
+    width = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12))
+    slack = 1e-9
+    size = F.size("u")
+    head = reps.select("id", "u", size.alias("len"), _heads(F.col("u"), size, n).alias("h"))
+    head = head.withColumn("rest", F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate("h", F.lit(0.0), lambda acc, x: acc + x * x))))
+    head = materialize(head.withColumn("band", F.floor(F.col("h")[0] / F.lit(width)).cast("long")))
+    tasks = tasks or 2 * reps.sparkSession.sparkContext.defaultParallelism
+    side = max(1, math.ceil(math.sqrt(tasks)))
+    mine = F.pmod(F.xxhash64("id"), F.lit(side))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long")))
+    flat = [F.col("h")[k] for k in range(n)]
+    a = head.select(F.col("id").alias("a"), F.col("rest").alias("ra"), *[c.alias(f"a{k}") for k, c in enumerate(flat)], "len", "band",
+                    mine.alias("tile_row"), every.alias("tile_col"))
+    b = head.select(F.col("id").alias("b"), F.col("rest").alias("rb"), *[c.alias(f"b{k}") for k, c in enumerate(flat)], "len",
+                    mine.alias("tile_col"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    b = b.withColumn("tile_row", every)
+    most = F.col("ra") * F.col("rb")
+    for k in range(n):
+        most = most + F.col(f"a{k}") * F.col(f"b{k}")
+    keys = ["len", "band", "tile_row", "tile_col"]
+    near = a.alias("l").join(b.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+                             + [F.col("a") < F.col("b"), most >= F.lit(threshold - slack)]).select("a", "b")
+    vectors = head.select("id", "u")
+    return (near.join(vectors.select(F.col("id").alias("a"), F.col("u").alias("ua")), "a")
+            .join(vectors.select(F.col("id").alias("b"), F.col("u").alias("ub")), "b"))
 
 
 def cosine_pairs(rows: DataFrame, id_col: str, vec_col: str, threshold: float,
@@ -136,26 +186,8 @@ def cosine_pairs(rows: DataFrame, id_col: str, vec_col: str, threshold: float,
     groups = groups.unionByName(rows.select(F.col(id_col).alias("id")).join(units, "id", "left_anti")
                                 .select("id", F.col("id").alias("rep")))
     reps = units.join(groups.filter(F.col("id") == F.col("rep")).select("id"), "id")
-    p = _direction(F.col("u"))
-    proj = dot(F.col("u"), p) / F.sqrt(dot(p, p))
-    width = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12))
-    banded = reps.select("id", "u", F.size("u").alias("len"), F.floor(proj / F.lit(width)).cast("long").alias("band"))
-    # A dense band is all-pairs work: it is tiled on a side x side grid of
-    # tasks. A left row goes to every tile of its grid row, a right row to
-    # every tile of its column, so each pair meets in exactly one tile and a
-    # vector is copied about sqrt(tasks) times.
-    tasks = tasks or 2 * rows.sparkSession.sparkContext.defaultParallelism
-    side = max(1, math.ceil(math.sqrt(tasks)))
-    mine = F.pmod(F.xxhash64("id"), F.lit(side))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long")))
-    a = banded.select(F.col("id").alias("a"), F.col("u").alias("ua"), "len", "band", mine.alias("tile_row"),
-                      every.alias("tile_col"))
-    b = (banded.select(F.col("id").alias("b"), F.col("u").alias("ub"), "len", mine.alias("tile_col"),
-                       F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-         .withColumn("tile_row", every))
-    sim = dot(F.col("ua"), F.col("ub"))
-    pairs = (a.join(b, ["len", "band", "tile_row", "tile_col"]).filter(F.col("a") < F.col("b"))
-             .select("a", "b", sim.alias("cosine")).filter(F.col("cosine") >= F.lit(threshold) - 1e-12))
+    pairs = (cosine_candidates(reps, threshold, tasks).select("a", "b", dot(F.col("ua"), F.col("ub")).alias("cosine"))
+             .filter(F.col("cosine") >= F.lit(threshold) - 1e-12))
     copies = groups.filter(F.col("id") != F.col("rep")).select(
         F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
     return pairs.unionByName(copies), groups

@@ -126,3 +126,28 @@ def flatten_contracts(tasks: DataFrame) -> DataFrame:
     pass_criteria, evidence, weight>>)`` to one row per capability."""
     return tasks.select(F.col("id").alias("task_id"), F.explode("capabilities").alias("capability_id", "c")) \
         .select("task_id", "capability_id", "c.*")
+
+
+def capability_grid(capabilities: DataFrame, tasks: DataFrame, contracts: DataFrame, strong: int = 1) -> DataFrame:
+    """Every capability against every task: (task, capability, family, cell, evidence) and, per row, the task's and the
+    whole grid's count of covered capabilities.
+
+    ``capabilities``: (capability, family, cross_cutting); ``tasks``: (task); ``contracts``: (task, capability, evidence),
+    repeated entries add up. A cell is cross-cutting if the capability is judged across tasks, else strong from
+    ``strong`` on, weak below it, none without an entry; strong and weak ones are covered. Entries of a capability or a
+    task that is not listed are left out.
+
+    The grid is completed from the capability dimension, which is a list of the rules' own size: it is carried to each
+    task as one array (a scalar subquery), so no table is joined without a key. Contracts are summed before they meet it."""
+    listed = capabilities.select("capability", "family", "cross_cutting").distinct().agg(
+        F.array_sort(F.collect_list(F.struct("capability", "family", "cross_cutting"))).alias("all"))
+    cells = tasks.select("task").distinct().select("task", F.explode(listed.select("all").scalar()).alias("c")).select("task", "c.*")
+    marked = contracts.groupBy("task", "capability").agg(F.sum("evidence").alias("evidence"))
+    cell = (F.when(F.col("cross_cutting"), "cross-cutting").when(F.col("evidence") >= strong, "strong")
+            .when(F.col("evidence") > 0, "weak").otherwise("none"))
+    grid = cells.join(marked, ["task", "capability"], "left").select(
+        "task", "capability", "family", cell.alias("cell"), F.coalesce("evidence", F.lit(0)).alias("evidence"))
+    hit = F.col("cell").isin("strong", "weak")
+    of_task = F.count_if(hit).over(Window.partitionBy("task"))
+    covered = grid.where(hit).select("capability").distinct().agg(F.count("*")).scalar()
+    return grid.select("*", of_task.alias("task_covered"), covered.alias("grid_covered"))

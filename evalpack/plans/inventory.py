@@ -183,6 +183,25 @@ def coverage_matrix(spark, sf):
                         .alias("strength"), covered.alias("covered"))
 
 
+#: Stand-in capability dimension: capability, family, whether it is judged across tasks.
+CAPABILITIES = [("lang-de", "language", False), ("lang-en", "language", False), ("lang-es", "language", False), ("lang-fr", "language", False),
+                ("lang-it", "language", False), ("license-notice", "law", False), ("long-text", "size", False), ("very-short", "size", False),
+                ("self-correction", "trace", True), ("unasked", "trace", False)]
+STRONG_FROM = 15
+
+
+def capability_grid(spark, sf):
+    """Capabilities against packs as tasks: a document is evidence for its language, for a license notice, and for long
+    or very short texts; one capability is judged across tasks, two have no evidence anywhere."""
+    caps = spark.createDataFrame(CAPABILITIES, "capability string, family string, cross_cutting boolean")
+    d = table(spark, sf, "documents").select(F.col("source").alias("task"), "lang", "n_chars", license_from_text("text").alias("lic"))
+    named = F.array_compact(F.array(F.concat(F.lit("lang-"), F.col("lang")), F.when(F.col("lic").isNotNull(), "license-notice"),
+                                    F.when(F.col("n_chars") > 5000, "long-text"), F.when(F.col("n_chars") < 20, "very-short"),
+                                    F.lit("self-correction"), F.lit("not listed")))
+    contracts = d.select("task", F.explode(named).alias("capability")).groupBy("task", "capability").agg(F.count("*").alias("evidence"))
+    return inv.capability_grid(caps, d.select("task"), contracts, STRONG_FROM)
+
+
 def _rubric(spark, sf) -> DataFrame:
     lab = table(spark, sf, "labels")
     rows = lab.select("doc_id", F.explode(F.array(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import dims
 from ..functions.text import sql_str
-from .inventory import CASE_FIELDS, DIGESTED, URL_WORKFLOW_DEFAULT, URL_WORKFLOW_RULES
+from .inventory import CAPABILITIES, CASE_FIELDS, DIGESTED, STRONG_FROM, URL_WORKFLOW_DEFAULT, URL_WORKFLOW_RULES
 from .packs_sql import _industry_ctes, _with
 
 LIC = r"NULLIF(trim(regexp_extract(text, '(?m)^[^\n]*[Ll]icen[cs]e[^\n]*', 0)), '')"
@@ -106,6 +106,17 @@ WHERE rank <= 5"""
     q["coverage_matrix"] = """SELECT source, lang, documents, CASE WHEN documents >= 15 THEN 'strong' ELSE 'weak' END AS strength,
   count(lang) OVER (PARTITION BY source) AS covered
 FROM (SELECT source, lang, count(*) AS documents FROM documents GROUP BY source, lang) c"""
+    caps = ", ".join(f"('{c}', '{f}', {str(x).lower()})" for c, f, x in CAPABILITIES)
+    q["capability_grid"] = f"""WITH caps(capability, family, cross_cutting) AS (VALUES {caps}),
+marks AS (SELECT source AS task, 'lang-' || lang AS capability FROM documents UNION ALL SELECT source, 'license-notice' FROM documents WHERE {LIC} IS NOT NULL
+  UNION ALL SELECT source, 'long-text' FROM documents WHERE n_chars > 5000 UNION ALL SELECT source, 'very-short' FROM documents WHERE n_chars < 20
+  UNION ALL SELECT source, 'self-correction' FROM documents),
+sums AS (SELECT task, capability, count(*) AS evidence FROM marks GROUP BY task, capability),
+grid AS (SELECT t.task, c.capability, c.family, CASE WHEN cross_cutting THEN 'cross-cutting' WHEN evidence >= {STRONG_FROM} THEN 'strong'
+    WHEN evidence > 0 THEN 'weak' ELSE 'none' END AS cell, coalesce(evidence, 0) AS evidence
+  FROM (SELECT DISTINCT source AS task FROM documents) t CROSS JOIN caps c LEFT JOIN sums s ON s.task = t.task AND s.capability = c.capability)
+SELECT *, count(*) FILTER (WHERE cell IN ('strong', 'weak')) OVER (PARTITION BY task) AS task_covered,
+  (SELECT count(DISTINCT capability) FROM grid WHERE cell IN ('strong', 'weak')) AS grid_covered FROM grid"""
     score = "(2.0 * CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END + 1.0 * CASE WHEN toxic = 0 THEN 1.0 ELSE 0.5 END) / 3.0"
     tier = "CASE " + " ".join(f"WHEN score >= {m} THEN '{t}'" for t, m in dims.SCORE_TIERS) + f" ELSE '{dims.SCORE_TIER_DEFAULT}' END"
     q["rubric_score"] = f"SELECT doc_id, {score} AS score FROM labels"

@@ -112,3 +112,26 @@ def test_pairs_and_groups_are_all_pairs(spark):
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
             if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7}
     assert got == want
+
+
+def test_cosine_candidates_are_few_and_complete(spark):
+    """At the stock similarity under 5 % of all pairs of the given vectors become rows, and none that is similar is lost."""
+    import numpy as np
+    from evalpack import dims
+    emb = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    units = emb.select(F.col("vec_id").alias("id"), dd._unit(F.col("embedding")).alias("u"))
+    n = units.count()
+    assert dd.cosine_candidates(units, dims.DEDUPE_COSINE_THRESHOLD).count() < 0.05 * n * n
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(40, 24))
+    vectors = [base[i % 40] + rng.normal(size=24) * s for i, s in enumerate([0.0, 0.1, 0.3, 0.6] * 40)] + [np.eye(24)[i % 3] for i in range(5)]
+    vectors += [rng.normal(size=k) for k in (1, 1, 2, 3, 3)] + [np.zeros(24)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, v array<double>")
+    for t in (0.4, 0.8, 0.92, 0.999):
+        pairs, groups = dd.cosine_pairs(df, "id", "v", t)
+        rep = {r.id: r.rep for r in groups.collect()}
+        got = {(r.a, r.b) for r in pairs.collect()}
+        cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)) if len(a) == len(b) and a.any() and b.any() else 0.0
+        firsts = [i for i in range(len(vectors)) if rep[i] == i]
+        want = {(i, j) for i in firsts for j in firsts if i < j and cos(vectors[i], vectors[j]) >= t}
+        assert {p for p in got if rep[p[1]] == p[1]} == want

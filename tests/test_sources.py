@@ -93,3 +93,19 @@ def test_report_json(spark, tmp_path):
     df.select(fs.report_json(df).alias("value")).coalesce(1).write.text(str(out))
     text = next(out.glob("part-*")).read_text()
     assert json.loads(text) == {"requested": 3, "failed": 1, "failures": "a:json_parse_failed"}
+
+
+def test_capability_grid(spark):
+    from evalpack.operators import inventory as inv
+    caps = spark.createDataFrame([("A", "x", False), ("B", "x", False), ("C", "y", False), ("D", "y", True), ("A", "x", False)],
+                                 "capability string, family string, cross_cutting boolean")
+    tasks = spark.createDataFrame([("t1",), ("t2",), ("t2",), ("t3",)], "task string")
+    contracts = spark.createDataFrame([("t1", "A", 2), ("t1", "B", 1), ("t2", "A", 1), ("t2", "A", 1), ("t2", "D", 9), ("t1", "Z", 5), ("t9", "A", 5)],
+                                      "task string, capability string, evidence long")
+    rows = inv.capability_grid(caps, tasks, contracts, strong=2).collect()
+    assert len(rows) == 12 and {r.grid_covered for r in rows} == {2}
+    cells = {(r.task, r.capability): r.cell for r in rows}
+    assert [cells[t, c] for t in ("t1", "t2", "t3") for c in "ABCD"] == [
+        "strong", "weak", "none", "cross-cutting", "strong", "none", "none", "cross-cutting", "none", "none", "none", "cross-cutting"]
+    assert {r.task: r.task_covered for r in rows} == {"t1": 2, "t2": 1, "t3": 0}
+    assert inv.capability_grid(caps, tasks.limit(0), contracts).count() == 0
