@@ -408,3 +408,68 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, every["id"].eqNullSafe(found["conv_id"]), "left").select(
         F.col("id").alias("conv_id"), *[F.coalesce(n, zero).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL: crc32 bit by bit, then a recursion from a conversation's last row to its first that keeps, for each
+    state, the least text of cost (nine digits) and initials."""
+    def plus(state: str, cost: str, letter: str) -> str:
+        return f"printf('%09d', CAST(substr({state}, 1, 9) AS INTEGER) + {cost}) || '{letter}' || substr({state}, 10)"
+
+    def ways(p: int) -> str:
+        steps = {(r, q) for (r, s), q in STEP.items() if s == p}
+        found = [plus(f"b.s{p}", "3", "D")]
+        found += [f"CASE WHEN r.alive AND r.initial = '{r}' THEN {plus(f'b.s{q}', 'r.cut', 'K')} END" for r, q in sorted(steps)]
+        found += [f"CASE WHEN r.alive THEN {plus(f'b.s{q}', '2 + r.cut', 'R')} END" for r, q in sorted(steps) if r != "s"]
+        return f"least({', '.join(found)}) AS r{p}"
+
+    two, three = f"least(r2, {plus('r3', '2', 'I')})", f"least(r3, {plus('r2', '2', 'I')})"
+    return rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, role, text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, flatten(list_transform(range(1, length(s) + 1), lambda i:
+      list_transform(range(0, 8), lambda j: ((ascii(s[i]) >> j) & 1)::UBIGINT)))),
+    lambda c, b: CASE WHEN (xor(c, b) & 1) = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) % 20 AS what FROM keyed),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+    CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE what WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS initial FROM hurt),
+faults AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+rows AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS alive, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM faults),
+convs AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+back(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, n + 1, '000000000', '000000004II', '000000002I', '000000000' FROM convs
+  UNION ALL
+  SELECT conv_id, i, least(r0, {plus(two, '2', 'I')}), least(r1, {plus(two, '2', 'I')}), {two}, {three} FROM (
+    SELECT b.conv_id, r.i, {', '.join(map(ways, range(4)))}
+    FROM back b JOIN rows r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1) w),
+told AS (SELECT conv_id, CAST(substr(s0, 1, 9) AS BIGINT) AS cost, substr(s0, 10) AS audit FROM back WHERE i = 1),
+letters AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM told),
+edits AS (
+  SELECT conv_id, j, audit[j] AS edit, length(replace(audit[:j], 'I', '')) AS i, length(replace(audit[:j - 1], 'D', '')) AS place FROM letters),
+kept AS (
+  SELECT e.*, r.role, r.text, bool_or(e.edit = 'K' AND place = 0 AND r.initial = 's') OVER (PARTITION BY e.conv_id) AS led
+  FROM edits e LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i AND e.edit <> 'I' WHERE e.edit <> 'D'),
+joined AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 0 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS lines FROM kept GROUP BY conv_id)
+SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+  coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(t.cost, 0) AS cost, coalesce(t.audit, '') AS audit,
+  sha256(coalesce(l.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN convs c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN joined l ON l.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+ORACLE = _oracle()

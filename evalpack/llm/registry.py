@@ -31,4 +31,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_url_filter": url_filter.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE,
+            "op12_prefix_trie": prefix_trie.ORACLE, "op13_url_filter": url_filter.ORACLE}
