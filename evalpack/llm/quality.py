@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import by_batch, columns, read, stored
+from .common import Scratch, by_batch, columns, read, stored
 
 ORDER, TRAIN, HEAD, BITS = 3, 0.5, 1 << 19, 25
 QUANTILE, SLACK, PRIOR_WORDS = 0.995, 0.25, 20
@@ -96,11 +96,12 @@ def _discount(d: list[float]):
 
 def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     """(key, value, weight, n) of every n-gram of the model, and log P(unknown)."""
-    counts = {order: stored(_counted(docs, order), "counts")}
+    scratch = Scratch(docs.sparkSession)
+    counts = {order: scratch.stored(_counted(docs, order), "counts")}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct words before
         keep = [F.first(f"s{j}").alias(f"s{j}") for j in range(k - 1, 0, -1)]
         keep += [F.first(f"p{j}").alias(f"p{j}") for j in range(k - 1, 0, -1)]
-        counts[k] = stored(counts[k + 1].groupBy(f"s{k}").agg(F.count(F.lit(1)).alias("n"), *keep), "counts")
+        counts[k] = scratch.stored(counts[k + 1].groupBy(f"s{k}").agg(F.count(F.lit(1)).alias("n"), *keep), "counts")
 
     d, total, types = _discounts(counts[1])
     if not total:
@@ -114,7 +115,7 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
         context = counts[k].groupBy(f"p{k - 1}").agg(F.sum("n").alias("all"), F.sum(_discount(d)).alias("freed"))
         context = context.select(F.col(f"p{k - 1}"), "all", (F.col("freed") / F.col("all")).alias("gamma"))
         below = lower.select(F.col(f"s{k - 1}"), F.col("p").alias("below"))
-        lower = stored(counts[k].join(context, f"p{k - 1}").join(below, f"s{k - 1}").withColumn(
+        lower = scratch.stored(counts[k].join(context, f"p{k - 1}").join(below, f"s{k - 1}").withColumn(
             "p", (F.col("n") - _discount(d)) / F.col("all") + F.col("gamma") * F.col("below")), "level")
         parts.append(lower.select(F.col(f"s{k}").alias("key"), (F.log("p") - F.log("gamma") - F.log("below")).alias("value"),
                                   F.lit(0.0).alias("weight"), "n"))
@@ -123,7 +124,9 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     for part in parts[1:]:
         rows = rows.union(part)
     model = rows.groupBy("key").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"), F.max("n").alias("n"))
-    return stored(model, "model"), math.log(spread)
+    model = stored(model, "model")
+    scratch.drop()
+    return model, math.log(spread)
 
 
 def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
