@@ -54,11 +54,16 @@ def _grams(h: np.ndarray, ptr: np.ndarray, order: int):
     return keys[inside].view(np.int64), row[inside], left[inside] == order
 
 
+def _words(k: int, first: int = 1) -> list[str]:
+    """Column names of ``k`` words of an n-gram, from word ``first`` on."""
+    return [f"w{i}" for i in range(first, first + k)]
+
+
 def _counted(docs: DataFrame, order: int) -> DataFrame:
-    """Counts of the n-grams of the highest order: keys of all their suffixes and prefixes.
+    """Counts of the n-grams of the highest order, a column of word hashes for each place.
 
-    ``s<k>``: the last k words; ``p<k>``: the k words before the last one."""
-    names = [f"s{k}" for k in range(order, 0, -1)] + [f"p{k}" for k in range(order - 1, 0, -1)]
+    Words repeat where hashes of whole n-grams do not, so shuffles and tables compress."""
+    names = _words(order)
 
     def work(batch: pa.RecordBatch):
         for _, _, h, ptr in tv.words(batch.column(0), lower=False, limit=_CHUNK):
@@ -67,16 +72,23 @@ def _counted(docs: DataFrame, order: int) -> DataFrame:
                 continue
             row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[:top]
             start = np.flatnonzero(ptr[1:][row] - np.arange(top) >= order)
-            run = {k: tv.chain(h, k) for k in range(1, order + 1)}
-            _, first, n = np.unique(run[order][start], return_index=True, return_counts=True)
-            at = start[first]
-            cols = [run[k][at + order - k].view(np.int64) for k in range(order, 0, -1)]
-            cols += [run[k][at + order - 1 - k].view(np.int64) for k in range(order - 1, 0, -1)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(n)], [*names, "n"])
+            _, first, n = np.unique(tv.chain(h, order)[start], return_index=True, return_counts=True)
+            cols = [h[start[first] + i].view(np.int64) for i in range(order)]
+            sort = np.lexsort(cols[::-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[sort]) for c in [*cols, n]], [*names, "n"])
 
     rows = by_batch(docs.select("text"), work, ", ".join(f"{x} long" for x in [*names, "n"]))
-    rest = [F.first(x).alias(x) for x in names[1:]]
-    return rows.groupBy(names[0]).agg(F.sum("n").alias("n"), *rest)
+    return rows.groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def _keyed(rows: DataFrame, k: int) -> DataFrame:
+    """(key, value, weight, n): the words ``w1..wk`` replaced by the hash of the n-gram."""
+    def work(batch: pa.RecordBatch):
+        h = np.column_stack([c.to_numpy() for c in batch.columns[:k]]).view(np.uint64).ravel()
+        return pa.RecordBatch.from_arrays([pa.array(tv.chain(h, k)[::k].view(np.int64)), *batch.columns[k:]],
+                                          ["key", "value", "weight", "n"])
+
+    return by_batch(rows.select(*_words(k), "value", "weight", "n"), work, "key long, value double, weight double, n long")
 
 
 def _discounts(counts: DataFrame) -> tuple[list[float], int, int]:
@@ -99,31 +111,41 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     scratch = Scratch(docs.sparkSession)
     counts = {order: scratch.stored(_counted(docs, order), "counts")}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct words before
-        keep = [F.first(f"s{j}").alias(f"s{j}") for j in range(k - 1, 0, -1)]
-        keep += [F.first(f"p{j}").alias(f"p{j}") for j in range(k - 1, 0, -1)]
-        counts[k] = scratch.stored(counts[k + 1].groupBy(f"s{k}").agg(F.count(F.lit(1)).alias("n"), *keep), "counts")
+        last = [F.col(w).alias(x) for w, x in zip(_words(k, 2), _words(k))]
+        counts[k] = scratch.stored(counts[k + 1].groupBy(*_words(k, 2)).agg(F.count(F.lit(1)).alias("n")).select(*last, "n"), "counts")
 
     d, total, types = _discounts(counts[1])
     if not total:
-        return counts[1].select(F.col("s1").alias("key"), F.lit(0.0).alias("value"), F.lit(0.0).alias("weight"), "n"), 0.0
+        return counts[1].select(F.col("w1").alias("key"), F.lit(0.0).alias("value"), F.lit(0.0).alias("weight"), "n"), 0.0
     spread = counts[1].agg(F.sum(_discount(d))).first()[0] / total / (types + 1)
-    lower = counts[1].withColumn("p", (F.col("n") - _discount(d)) / total + spread)
-    parts = [lower.select(F.col("s1").alias("key"), (F.log("p") - math.log(spread)).alias("value"),
-                          F.lit(0.0).alias("weight"), "n")]
+    lower = scratch.stored(counts[1].withColumn("p", (F.col("n") - _discount(d)) / total + spread), "level")
+    none = F.lit(0.0).alias("weight")
+    parts = [_keyed(lower.select("w1", (F.log("p") - math.log(spread)).alias("value"), none, "n"), 1)]
     for k in range(2, order + 1):
         d, _, _ = _discounts(counts[k])
-        context = counts[k].groupBy(f"p{k - 1}").agg(F.sum("n").alias("all"), F.sum(_discount(d)).alias("freed"))
-        context = context.select(F.col(f"p{k - 1}"), "all", (F.col("freed") / F.col("all")).alias("gamma"))
-        below = lower.select(F.col(f"s{k - 1}"), F.col("p").alias("below"))
-        lower = scratch.stored(counts[k].join(context, f"p{k - 1}").join(below, f"s{k - 1}").withColumn(
-            "p", (F.col("n") - _discount(d)) / F.col("all") + F.col("gamma") * F.col("below")), "level")
-        parts.append(lower.select(F.col(f"s{k}").alias("key"), (F.log("p") - F.log("gamma") - F.log("below")).alias("value"),
-                                  F.lit(0.0).alias("weight"), "n"))
-        parts.append(context.select(F.col(f"p{k - 1}").alias("key"), F.lit(0.0), F.log("gamma"), F.lit(0).cast("long")))
+        before, after = _words(k - 1), _words(k - 1, 2)
+        context = counts[k].groupBy(*before).agg(F.sum("n").alias("all"), F.sum(_discount(d)).alias("freed"))
+        context = scratch.stored(context.select(*before, "all", (F.col("freed") / F.col("all")).alias("gamma")), "contexts")
+        # Each join is a stage of its own, so that the files of one are gone when the next begins.
+        held = scratch.stored(counts[k].join(context, before).select(*_words(k), "n", "all", "gamma"), "held")
+        scratch.drop(counts.pop(k))
+        below = lower.select(*[F.col(w).alias(x) for w, x in zip(before, after)], F.col("p").alias("below"))
+        kept = held.join(below, after).withColumn("p", (F.col("n") - _discount(d)) / F.col("all") + F.col("gamma") * F.col("below"))
+        kept = kept.withColumn("value", F.log("p") - F.log("gamma") - F.log("below"))
+        if k == order:
+            top = scratch.stored(_keyed(kept.withColumn("weight", F.lit(0.0)), k), "top")
+        else:
+            lower = scratch.stored(kept.select(*_words(k), "n", "value", "p"), "level")
+            parts.append(_keyed(lower.withColumn("weight", F.lit(0.0)), k))
+        scratch.drop(held)
+        parts.append(_keyed(context.select(*before, F.lit(0.0).alias("value"), F.log("gamma").alias("weight"),
+                                           F.lit(0).cast("long").alias("n")), k - 1))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)
     model = rows.groupBy("key").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"), F.max("n").alias("n"))
+    if order > 1:  # the highest order is no context, so its n-grams need no second row
+        model = model.union(top)
     model = stored(model, "model")
     scratch.drop()
     return model, math.log(spread)
