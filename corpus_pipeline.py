@@ -13,13 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalpack.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from evalpack.llm.common import read, shared_folder
+from evalpack.llm.common import read, stored
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not among ``dropped``."""
-    ids = dropped.select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__dropped")), "left_anti")
+    gone = _free(docs, "dropped")
+    ids = dropped.select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +38,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of equal texts."""
+    gone, digest = _free(docs, "dropped"), _free(docs, "dropped_sha")
     drop = exact_dedup.exact_dedup(docs).where("NOT kept").select(
-        F.col("doc_id").alias("__dropped"), F.col("text_sha256").alias("__sha")).distinct()
+        F.col("doc_id").alias(gone), F.col("text_sha256").alias(digest)).distinct()
     sha = F.sha2(F.encode(exact_dedup.normalised(), "UTF-8"), 256)
-    return docs.join(drop, docs["doc_id"].eqNullSafe(F.col("__dropped")) & (sha == F.col("__sha")), "left_anti")
+    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col(gone)) & (sha == F.col(digest)), "left_anti")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to ``documents``, each written and read again in between."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = shared_folder(spark, name)
-        kept = stage(spark, docs, sf_dir)
-        kept.write.parquet(path)
-        docs = spark.read.schema(kept.schema).parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
