@@ -13,8 +13,15 @@ documents and different values have different ones:
   and social security numbers are numbers below a product a * b: the two places
   take turns in being shifted by a keyed hash of the other.
 
-Values that fail their test stay as they are. The key is a parameter; whoever
-has it can undo the pseudonyms.
+A date with slashes is read day first; one that only makes sense month first
+(its day is above 12) becomes another such date, permuted among the 88,497 of
+them, so no two dates of one format share a pseudonym. ISO dates and day-first
+dates of one day are linked with each other.
+
+Values that fail their test stay as they are. The key comes from the caller, or
+from the session's ``spark.evalpack.pii.key``; without either each call draws a
+key of its own, so values are linked within its result only. Whoever has the
+key can undo the pseudonyms.
 
 Defined results: a null text stays null, an empty one empty; repeated rows are
 each replaced alike; values overlap nowhere (the leftmost match wins); a mail
@@ -24,12 +31,14 @@ result; other columns are left out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns, read
 
-KEY, ROUNDS = "evalpack", 8
+KEY, ROUNDS = "spark.evalpack.pii.key", 8
 
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -130,15 +139,33 @@ def _ip(m: Column, key: str) -> tuple[Column, Column]:
     return F.forall(octets, lambda x: x <= 255), out
 
 
+def _late_day(key: str, day: Column, start: Column) -> Column:
+    """A keyed permutation of the days of 1800 to 2199 whose day of the month is above 12.
+
+    Such a day's rank leaves out the first twelve days of its month and of all months before."""
+    months = (F.year(day) - 1800) * 12 + F.month(day)
+    rank = F.datediff(day, start).cast("long") - 12 * months
+
+    def ranked(month: Column) -> Column:
+        return F.datediff(F.add_months(start, month), start) - 12 * month
+
+    def found(n: Column) -> Column:
+        # 88,497 days in 4,800 months: the month is at most one off the proportional one.
+        near = F.floor(n * 4800 / 88497).cast("int")
+        month = F.when(ranked(near + 1) <= n, near + 1).when(ranked(near) <= n, near).otherwise(near - 1)
+        return _let(month, lambda x: F.date_add(start, (n + 12 * (x + 1)).cast("int")))
+    return _let(_number(key, "late", rank, 9, 9833), found)
+
+
 def _date(m: Column, key: str) -> tuple[Column, Column]:
     iso = m.contains("-")
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.coalesce(F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "MM/dd/yyyy")))
+    first, second = F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "MM/dd/yyyy")
+    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.coalesce(first, second))
     start = F.to_date(F.lit("1800-01-01"))
     made = F.date_add(start, _number(key, "date", F.datediff(day, start).cast("long"), 189, 773).cast("int"))
-    month_first = ~iso & F.try_to_date(m, "dd/MM/yyyy").isNull()
-    out = _let(made, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).when(
-        month_first, F.date_format(x, "MM/dd/yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy")))
-    return F.coalesce(F.year(day).between(1800, 2199), F.lit(False)), out
+    any_day = _let(made, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).otherwise(F.date_format(x, "dd/MM/yyyy")))
+    late = F.date_format(_late_day(key, second, start), "MM/dd/yyyy")
+    return F.coalesce(F.year(day).between(1800, 2199), F.lit(False)), F.when(~iso & first.isNull(), late).otherwise(any_day)
 
 
 def _ssn(m: Column, key: str) -> tuple[Column, Column]:
@@ -173,8 +200,9 @@ def _replaced(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind>: how many of each kind were replaced."""
+    key = key or docs.sparkSession.conf.get(KEY, None) or uuid.uuid4().hex
     # Nothing but a mail address starts elsewhere than at a digit, a sign or a parenthesis.
     whole = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
     whole = f"(?:{_MAIL})|(?=[0-9+(])(?:{whole})"

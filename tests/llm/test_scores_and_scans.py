@@ -254,6 +254,47 @@ def test_pseudonyms_are_permutations(spark):
     assert len(s) == 1000 and all(re.fullmatch(r"\d{3}", r.x) for r in s)
 
 
+def feistel(key, kind, n, a, b):
+    """The permutation of the numbers below a * b, in plain Python."""
+    left, right = divmod(n, b)
+    for i in range(pii.ROUNDS):
+        by = lambda other: int(hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()[:15], 16)
+        if i % 2 == 0:
+            left = (left + by(right)) % a
+        else:
+            right = (right + by(left)) % b
+    return left * b + right
+
+
+def test_no_two_dates_of_a_format_share_a_pseudonym(spark):
+    from datetime import date, timedelta
+    from pyspark.sql import functions as F
+    days = [date(1800, 1, 1) + timedelta(i) for i in range(146097)]
+    assert days[-1] == date(2199, 12, 31)
+    late = [d for d in days if d.day > 12]
+    want = {f"{d:%d/%m/%Y}": f"{days[feistel('k', 'date', i, 189, 773)]:%d/%m/%Y}" for i, d in enumerate(days)}
+    want |= {f"{d:%m/%d/%Y}": f"{late[feistel('k', 'late', i, 9, 9833)]:%m/%d/%Y}" for i, d in enumerate(late)}
+    assert len(want) == len(set(want.values())) == len(days) + len(late)
+    every = spark.range(146097).select(F.date_add(F.to_date(F.lit("1800-01-01")), F.col("id").cast("int")).alias("d"))
+    texts = every.select(F.date_format("d", "dd/MM/yyyy").alias("m")).union(
+        every.where(F.dayofmonth("d") > 12).select(F.date_format("d", "MM/dd/yyyy")))
+    valid, made = pii._date(F.col("m"), "k")
+    got = texts.select("m", valid.alias("valid"), made.alias("made")).toPandas()
+    assert got["valid"].all() and dict(zip(got["m"], got["made"])) == want
+
+
+def test_the_key_is_the_callers_or_the_sessions(spark):
+    rows = docs(spark, [(1, "on 1999-12-31 or 02/28/2020, ssn 123-45-6789, card 4111 1111 1111 1111")])
+    made = lambda key=None: pii.pseudonymise(rows, key).first().text
+    assert made("one") == made("one") != made("two")
+    assert made() != made()  # a key of its own each time
+    spark.conf.set(pii.KEY, "one")
+    try:
+        assert made() == made("one")
+    finally:
+        spark.conf.unset(pii.KEY)
+
+
 # --- licenses -----------------------------------------------------------------------------
 
 def test_licenses_with_spans(spark):
