@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +28,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, path: str) -> None:
-    """Writes ``df`` as Parquet; its shuffle files are dropped as soon as the table is there."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")
+@contextmanager
+def short_shuffles(spark: SparkSession):
+    """Queries that are built and run inside lose their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, path: str) -> None:
+    """Writes ``df`` as Parquet; its shuffle files are dropped as soon as the table is there."""
+    with short_shuffles(df.sparkSession):
+        df.select("*").write.parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

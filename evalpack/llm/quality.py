@@ -3,7 +3,7 @@
 The model is an n-gram model over white-space words, trained on a share of
 ``TRAIN`` of all documents labelled as good quality, chosen by a hash of their
 id: it grows with the input. Counts, continuation counts and back-off weights are aggregations and joins
-by n-gram hash. Because the suffix of a seen n-gram is seen, a log probability
+by the hashes of an n-gram's words; only the finished model is keyed by a hash of the n-gram. Because the suffix of a seen n-gram is seen, a log probability
 is a sum over the n-grams and contexts of a text, and each n-gram of the model
 has one value and, as a context, one back-off weight:
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import Scratch, by_batch, columns, read, stored
+from .common import Scratch, by_batch, columns, read, short_shuffles, stored
 
 ORDER, TRAIN, HEAD, BITS = 3, 0.5, 1 << 19, 25
 QUANTILE, SLACK, PRIOR_WORDS = 0.995, 0.25, 20
@@ -167,12 +167,29 @@ def _seen_bits(model: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _most_frequent(model: DataFrame, head: int) -> DataFrame:
+    """About ``head`` of the most frequent n-grams, found by a histogram of the counts: no row is
+    sorted or shuffled. Of those of the last count a share by their keys; all others are joined."""
+    cut, room = None, head
+    sizes = model.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()  # 65,537 rows at most
+    for r in sorted(sizes, key=lambda r: -r["n"]):
+        cut, share = r["n"], min(1.0, room / r["count"])
+        room -= r["count"]
+        if room <= 0:
+            break
+    if cut is None:
+        return model.limit(0)
+    part = F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20))
+    return model.where((F.least("n", F.lit(1 << 16)) > cut) | ((F.least("n", F.lit(1 << 16)) == cut) & part))
+
+
 def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER,
                    head: int = HEAD, bits: int = BITS) -> DataFrame:
     """doc_id, words, loglik: the natural log of each text's probability."""
-    most = model.orderBy(F.desc("n"), "key").limit(head).toArrow().sort_by("key")
+    with short_shuffles(docs.sparkSession):
+        most, seen_bits = _most_frequent(model, head).toArrow().sort_by("key"), _seen_bits(model, bits)
     shared = docs.sparkSession.sparkContext.broadcast((
-        most["key"].to_numpy(), most["value"].to_numpy(), most["weight"].to_numpy(), _seen_bits(model, bits)))
+        most["key"].to_numpy(), most["value"].to_numpy(), most["weight"].to_numpy(), seen_bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     salt = np.uint64(0x9E3779B97F4A7C15)
 
