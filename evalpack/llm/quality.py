@@ -146,7 +146,9 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     model = rows.groupBy("key").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"), F.max("n").alias("n"))
     if order > 1:  # the highest order is no context, so its n-grams need no second row
         model = model.union(top)
-    model = stored(model, "model")
+    # Single precision is enough for a term of a text's sum, which is taken in double.
+    single = [F.col(c).cast("float").alias(c) for c in ("value", "weight")]
+    model = stored(model.select("key", *single, "n"), "model")
     scratch.drop()
     return model, math.log(spread)
 
@@ -189,7 +191,7 @@ def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int
     with short_shuffles(docs.sparkSession):
         most, seen_bits = _most_frequent(model, head).toArrow().sort_by("key"), _seen_bits(model, bits)
     shared = docs.sparkSession.sparkContext.broadcast((
-        most["key"].to_numpy(), most["value"].to_numpy(), most["weight"].to_numpy(), seen_bits))
+        most["key"].to_numpy(), *[most[c].to_numpy().astype(np.float64) for c in ("value", "weight")], seen_bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     salt = np.uint64(0x9E3779B97F4A7C15)
 
@@ -228,7 +230,8 @@ def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int
 
     rows = columns(docs, "doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, key long, last boolean, words long, base double")
-    found = F.coalesce(F.col("value") + F.when(F.col("last"), 0.0).otherwise(F.col("weight")), F.lit(0.0))
+    value, weight = F.col("value").cast("double"), F.col("weight").cast("double")
+    found = F.coalesce(value + F.when(F.col("last"), 0.0).otherwise(weight), F.lit(0.0))
     return (rows.join(model.select("key", "value", "weight"), "key", "left")
             .select("doc_id", "words", F.when(F.col("words").isNotNull(), F.col("base")).otherwise(found).alias("part"))
             .groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("part").alias("loglik")))
