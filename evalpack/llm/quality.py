@@ -3,15 +3,18 @@
 The model is an n-gram model over white-space words, trained on a share of
 ``TRAIN`` of all documents labelled as good quality, chosen by a hash of their
 id: it grows with the input. Counts, continuation counts and back-off weights are aggregations and joins
-by the hashes of an n-gram's words; only the finished model is keyed by a hash of the n-gram. Because the suffix of a seen n-gram is seen, a log probability
+by the hashes of an n-gram's words; only the finished model is keyed by Spark's
+``xxhash64`` of these. Because the suffix of a seen n-gram is seen, a log probability
 is a sum over the n-grams and contexts of a text, and each n-gram of the model
 has one value and, as a context, one back-off weight:
 
     log P(text) = words * log P(unknown) + sum of value(n-gram) + sum of weight(context)
 
 Scoring is therefore a join of all documents' n-grams with the model's rows by
-hash and a sum for each document. The ``HEAD`` most frequent n-grams and a bit
-table of fixed size that excludes unseen ones are applied while texts are read
+hash and a sum for each document, one round for the highest order and one for all
+others, so that the shuffle files of one are gone when the next begins. The ``HEAD``
+most frequent n-grams of a round and a bit table that excludes unseen ones (of at
+most 2^``BITS`` bits, sized by the round's model) are applied while texts are read
 (both bounded by a constant and broadcast), so no n-gram that a large share of
 all documents holds is shuffled.
 
@@ -40,18 +43,39 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import Scratch, by_batch, columns, read, short_shuffles, stored
 
-ORDER, TRAIN, HEAD, BITS = 3, 0.5, 1 << 19, 25
+ORDER, TRAIN, HEAD, BITS = 3, 0.5, 1 << 19, 28
 QUANTILE, SLACK, PRIOR_WORDS = 0.995, 0.25, 20
 _CHUNK = 1 << 19
 
 
-def _grams(h: np.ndarray, ptr: np.ndarray, order: int):
-    """(keys, row of each, whether it ends its text) of the n-grams of one order."""
-    keys = tv.chain(h, order)
-    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[: len(keys)]
-    left = ptr[1:][row] - np.arange(len(keys))
-    inside = left >= order
-    return keys[inside].view(np.int64), row[inside], left[inside] == order
+#: Fixed values of the 64-bit xxHash.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _xxhash(h: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of one long each, as Spark computes it; of several columns, one's hash is the next one's seed."""
+    x = (seed + (_P5 + np.uint64(8))) ^ (_turn(h * _P2, 31) * _P1)
+    x = _turn(x, 27) * _P1 + _P4
+    x = (x ^ (x >> np.uint64(33))) * _P2
+    x = (x ^ (x >> np.uint64(29))) * _P3
+    return x ^ (x >> np.uint64(32))
+
+
+def _grams(h: np.ndarray, ptr: np.ndarray, orders: list[int]):
+    """Yields (keys, row of each, whether it ends its text) of the n-grams of each of the orders."""
+    rows = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    left = ptr[1:][rows] - np.arange(len(h))
+    keys = np.full(len(h), 42, np.uint64)
+    for k in range(1, max(orders) + 1):
+        keys = _xxhash(h[k - 1:], keys[: max(0, len(h) - k + 1)])
+        if k in orders:
+            inside = left[: len(keys)] >= k
+            yield keys[inside].view(np.int64), rows[: len(keys)][inside], left[: len(keys)][inside] == k
 
 
 def _words(k: int, first: int = 1) -> list[str]:
@@ -81,14 +105,11 @@ def _counted(docs: DataFrame, order: int) -> DataFrame:
     return rows.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def _keyed(rows: DataFrame, k: int) -> DataFrame:
-    """(key, value, weight, n): the words ``w1..wk`` replaced by the hash of the n-gram."""
-    def work(batch: pa.RecordBatch):
-        h = np.column_stack([c.to_numpy() for c in batch.columns[:k]]).view(np.uint64).ravel()
-        return pa.RecordBatch.from_arrays([pa.array(tv.chain(h, k)[::k].view(np.int64)), *batch.columns[k:]],
-                                          ["key", "value", "weight", "n"])
-
-    return by_batch(rows.select(*_words(k), "value", "weight", "n"), work, "key long, value double, weight double, n long")
+def _keyed(rows: DataFrame, k: int, value, weight, n) -> DataFrame:
+    """(key, value, weight, n) of n-grams ``w1..wk``. Single precision is enough for a term of a text's
+    sum, which is taken in double."""
+    return rows.select(F.xxhash64(*_words(k)).alias("key"), value.cast("float").alias("value"),
+                       weight.cast("float").alias("weight"), n.cast("long").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[list[float], int, int]:
@@ -107,55 +128,62 @@ def _discount(d: list[float]):
 
 
 def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
-    """(key, value, weight, n) of every n-gram of the model, and log P(unknown)."""
+    """(key, value, weight, n, top) of every n-gram of the model, and log P(unknown); ``top``: of the highest order."""
     scratch = Scratch(docs.sparkSession)
     counts = {order: scratch.stored(_counted(docs, order), "counts")}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct words before
         last = [F.col(w).alias(x) for w, x in zip(_words(k, 2), _words(k))]
         counts[k] = scratch.stored(counts[k + 1].groupBy(*_words(k, 2)).agg(F.count(F.lit(1)).alias("n")).select(*last, "n"), "counts")
 
+    none = F.lit(0.0)
     d, total, types = _discounts(counts[1])
     if not total:
-        return counts[1].select(F.col("w1").alias("key"), F.lit(0.0).alias("value"), F.lit(0.0).alias("weight"), "n"), 0.0
+        return _keyed(counts[1], 1, none, none, F.col("n")).withColumn("top", F.lit(order == 1)), 0.0
     spread = counts[1].agg(F.sum(_discount(d))).first()[0] / total / (types + 1)
     lower = scratch.stored(counts[1].withColumn("p", (F.col("n") - _discount(d)) / total + spread), "level")
-    none = F.lit(0.0).alias("weight")
-    parts = [_keyed(lower.select("w1", (F.log("p") - math.log(spread)).alias("value"), none, "n"), 1)]
+    first = _keyed(lower, 1, F.log("p") - math.log(spread), none, F.col("n"))
+    if order == 1:
+        model = stored(first, "model").withColumn("top", F.lit(True))
+        scratch.drop()
+        return model, math.log(spread)
+    parts = [first]
     for k in range(2, order + 1):
         d, _, _ = _discounts(counts[k])
         before, after = _words(k - 1), _words(k - 1, 2)
         context = counts[k].groupBy(*before).agg(F.sum("n").alias("all"), F.sum(_discount(d)).alias("freed"))
-        context = scratch.stored(context.select(*before, "all", (F.col("freed") / F.col("all")).alias("gamma")), "contexts")
+        context = scratch.stored(context.select(*before, "all", (F.col("freed") / F.col("all")).cast("float").alias("gamma")), "contexts")
         # Each join is a stage of its own, so that the files of one are gone when the next begins.
         held = scratch.stored(counts[k].join(context, before).select(*_words(k), "n", "all", "gamma"), "held")
         scratch.drop(counts.pop(k))
         below = lower.select(*[F.col(w).alias(x) for w, x in zip(before, after)], F.col("p").alias("below"))
-        kept = held.join(below, after).withColumn("p", (F.col("n") - _discount(d)) / F.col("all") + F.col("gamma") * F.col("below"))
-        kept = kept.withColumn("value", F.log("p") - F.log("gamma") - F.log("below"))
+        gamma, p = F.col("gamma").cast("double"), F.col("p").cast("double")
+        kept = held.join(below, after).withColumn("p", (F.col("n") - _discount(d)) / F.col("all") + gamma * F.col("below").cast("double"))
+        value = F.log(p) - F.log(gamma) - F.log(F.col("below").cast("double"))
+        parts.append(_keyed(context, k - 1, none, F.log(gamma), F.lit(0)))
         if k == order:
-            top = scratch.stored(_keyed(kept.withColumn("weight", F.lit(0.0)), k), "top")
+            top = stored(_keyed(kept, k, value, none, F.col("n")), "top")
         else:
-            lower = scratch.stored(kept.select(*_words(k), "n", "value", "p"), "level")
-            parts.append(_keyed(lower.withColumn("weight", F.lit(0.0)), k))
+            lower = scratch.stored(kept.select(*_words(k), "n", value.cast("float").alias("value"), p.cast("float").alias("p")), "level")
+            parts.append(_keyed(lower, k, F.col("value"), none, F.col("n")))
         scratch.drop(held)
-        parts.append(_keyed(context.select(*before, F.lit(0.0).alias("value"), F.log("gamma").alias("weight"),
-                                           F.lit(0).cast("long").alias("n")), k - 1))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)
-    model = rows.groupBy("key").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"), F.max("n").alias("n"))
-    if order > 1:  # the highest order is no context, so its n-grams need no second row
-        model = model.union(top)
-    # Single precision is enough for a term of a text's sum, which is taken in double.
-    single = [F.col(c).cast("float").alias(c) for c in ("value", "weight")]
-    model = stored(model.select("key", *single, "n"), "model")
+    rows = rows.groupBy("key").agg(F.sum("value").cast("float").alias("value"), F.sum("weight").cast("float").alias("weight"),
+                                   F.max("n").alias("n"))
+    low = stored(rows, "model")
     scratch.drop()
-    return model, math.log(spread)
+    # The highest order is no context, so its n-grams need no second row.
+    return low.withColumn("top", F.lit(False)).union(top.withColumn("top", F.lit(True))), math.log(spread)
 
 
-def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    k = keys.view(np.uint64)
-    return [(k >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 19, 64 - bits)]
+def _maybe(seen: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """The places of the keys that a bit table does not exclude."""
+    at, k = np.arange(len(keys)), keys.view(np.uint64)
+    for s in (0, 19, 64 - bits):
+        p = (k[at] >> np.uint64(s)) & np.uint64((1 << bits) - 1)
+        at = at[(seen[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+    return at
 
 
 def _seen_bits(model: DataFrame, bits: int) -> np.ndarray:
@@ -185,10 +213,11 @@ def _most_frequent(model: DataFrame, head: int) -> DataFrame:
     return model.where((F.least("n", F.lit(1 << 16)) > cut) | ((F.least("n", F.lit(1 << 16)) == cut) & part))
 
 
-def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER,
-                   head: int = HEAD, bits: int = BITS) -> DataFrame:
-    """doc_id, words, loglik: the natural log of each text's probability."""
+def _round(docs: DataFrame, model: DataFrame, orders: list[int], unknown: float, head: int, bits: int) -> DataFrame:
+    """doc_id, words, part: the words of each text and the sum of its terms of some orders."""
     with short_shuffles(docs.sparkSession):
+        # Eight bits a key, as far as the bound allows: about one unseen n-gram in thirty passes.
+        bits = min(bits, max(20, (4 * model.count()).bit_length()))
         most, seen_bits = _most_frequent(model, head).toArrow().sort_by("key"), _seen_bits(model, bits)
     shared = docs.sparkSession.sparkContext.broadcast((
         most["key"].to_numpy(), *[most[c].to_numpy().astype(np.float64) for c in ("value", "weight")], seen_bits))
@@ -202,19 +231,18 @@ def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int
             for lo, hi, h, ptr in tv.words(batch.column(1), lower=False, limit=_CHUNK):
                 base = np.diff(ptr) * unknown
                 rows, rest, lasts = [], [], []
-                for k in range(1, order + 1):
-                    g, row, last = _grams(h, ptr, k)
+                for g, row, last in _grams(h, ptr, orders):
+                    may = _maybe(seen, g, bits)
+                    may = may[np.argsort(g[may])]  # a search in order stays in the processor's cache
+                    g, row, last = g[may], row[may], last[may]
                     spot = np.searchsorted(keys, g)
                     spot[spot == len(keys)] = 0
                     known = keys[spot] == g if len(keys) else np.zeros(len(g), bool)
                     at = spot[known]
                     base += np.bincount(row[known], value[at] + weight[at] * ~last[known], len(base))
-                    may = ~known
-                    for p in _probes(g, bits):
-                        may &= (seen[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-                    rows.append(row[may])
-                    rest.append(g[may])
-                    lasts.append(last[may])
+                    rows.append(row[~known])
+                    rest.append(g[~known])
+                    lasts.append(last[~known])
                 n, ids = hi - lo, batch.column(0)
                 row = np.concatenate([np.arange(n), *rows])
                 made += n
@@ -234,7 +262,19 @@ def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int
     found = F.coalesce(value + F.when(F.col("last"), 0.0).otherwise(weight), F.lit(0.0))
     return (rows.join(model.select("key", "value", "weight"), "key", "left")
             .select("doc_id", "words", F.when(F.col("words").isNotNull(), F.col("base")).otherwise(found).alias("part"))
-            .groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("part").alias("loglik")))
+            .groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("part").alias("part")))
+
+
+def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER,
+                   head: int = HEAD, bits: int = BITS) -> DataFrame:
+    """doc_id, words, loglik: the natural log of each text's probability."""
+    parts = [_round(docs, model.where("top").drop("top"), [order], unknown, head, bits)]
+    if order > 1:
+        low = _round(docs, model.where("NOT top").drop("top"), list(range(1, order)), 0.0, head, bits)
+        parts.append(low.withColumn("words", F.lit(0).cast("long")))
+    parts = [stored(part, "part") for part in parts]
+    return (parts[0].union(parts[1]) if order > 1 else parts[0]).groupBy("doc_id").agg(
+        F.sum("words").alias("words"), F.sum("part").alias("loglik"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs: int | None = None,
