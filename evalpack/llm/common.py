@@ -39,10 +39,10 @@ def short_shuffles(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, path: str) -> None:
-    """Writes ``df`` as Parquet; its shuffle files are dropped as soon as the table is there."""
+def written(df: DataFrame, path: str, *by: str) -> None:
+    """Writes ``df`` as Parquet, a folder for each value of ``by``; its shuffle files are dropped as soon as the table is there."""
     with short_shuffles(df.sparkSession):
-        df.select("*").write.parquet(path)
+        df.select("*").write.partitionBy(*by).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -59,9 +59,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
+    def stored(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         path = shared_folder(self.spark, name)
-        written(df, path)
+        written(df, path, *by)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -69,8 +69,15 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Deletes the given tables of this scratch (without any given: all)."""
         for key in [id(t) for t in tables] or list(self.paths):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(key)[1])
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.paths.pop(key)[1])
+
+    def drop_part(self, table: DataFrame, by: str, value: int) -> None:
+        """Deletes the rows with one value of the column that a table was stored by; they must not be read again."""
+        self._delete(f"{self.paths[id(table)][1]}/{by}={value}")
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],

@@ -3,7 +3,8 @@
 The model is an n-gram model over white-space words, trained on a share of
 ``TRAIN`` of all documents labelled as good quality, chosen by a hash of their
 id: it grows with the input. Counts, continuation counts and back-off weights are aggregations and joins
-by the hashes of an n-gram's words; only the finished model is keyed by Spark's
+by the hashes of an n-gram's words, those of the highest order in ``SLICES`` rounds by the
+hash of the second word, which an n-gram shares with its context and its suffix; only the finished model is keyed by Spark's
 ``xxhash64`` of these. Because the suffix of a seen n-gram is seen, a log probability
 is a sum over the n-grams and contexts of a text, and each n-gram of the model
 has one value and, as a context, one back-off weight:
@@ -11,8 +12,8 @@ has one value and, as a context, one back-off weight:
     log P(text) = words * log P(unknown) + sum of value(n-gram) + sum of weight(context)
 
 Scoring is therefore a join of all documents' n-grams with the model's rows by
-hash and a sum for each document, one round for the highest order and one for all
-others, so that the shuffle files of one are gone when the next begins. The ``HEAD``
+hash and a sum for each document, in ``ROUNDS`` rounds by the hash for the highest order and
+as many for all others, so that the shuffle files of one are gone when the next begins. The ``HEAD``
 most frequent n-grams of a round and a bit table that excludes unseen ones (of at
 most 2^``BITS`` bits, sized by the round's model) are applied while texts are read
 (both bounded by a constant and broadcast), so no n-gram that a large share of
@@ -34,6 +35,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ from . import textvec as tv
 from .common import Scratch, by_batch, columns, read, short_shuffles, stored
 
 ORDER, TRAIN, HEAD, BITS = 3, 0.5, 1 << 19, 28
-QUANTILE, SLACK, PRIOR_WORDS = 0.995, 0.25, 20
+QUANTILE, SLACK, PRIOR_WORDS, SLICES, ROUNDS = 0.995, 0.25, 20, 4, 2
 _CHUNK = 1 << 19
 
 
@@ -130,7 +132,8 @@ def _discount(d: list[float]):
 def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     """(key, value, weight, n, top) of every n-gram of the model, and log P(unknown); ``top``: of the highest order."""
     scratch = Scratch(docs.sparkSession)
-    counts = {order: scratch.stored(_counted(docs, order), "counts")}
+    own = F.pmod(F.xxhash64("w2"), F.lit(SLICES)) if order > 2 else F.lit(0)
+    counts = {order: scratch.stored(_counted(docs, order).withColumn("slice", own.cast("int")), "counts", "slice")}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct words before
         last = [F.col(w).alias(x) for w, x in zip(_words(k, 2), _words(k))]
         counts[k] = scratch.stored(counts[k + 1].groupBy(*_words(k, 2)).agg(F.count(F.lit(1)).alias("n")).select(*last, "n"), "counts")
@@ -146,37 +149,47 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
         model = stored(first, "model").withColumn("top", F.lit(True))
         scratch.drop()
         return model, math.log(spread)
-    parts = [first]
+    parts, tops = [first], []
     for k in range(2, order + 1):
         d, _, _ = _discounts(counts[k])
         before, after = _words(k - 1), _words(k - 1, 2)
-        context = counts[k].groupBy(*before).agg(F.sum("n").alias("all"), F.sum(_discount(d)).alias("freed"))
-        context = scratch.stored(context.select(*before, "all", (F.col("freed") / F.col("all")).cast("float").alias("gamma")), "contexts")
-        # Each join is a stage of its own, so that the files of one are gone when the next begins.
-        held = scratch.stored(counts[k].join(context, before).select(*_words(k), "n", "all", "gamma"), "held")
+        below = lower.select(*[F.col(w).alias(x) for w, x in zip(before, after)], F.col("p").cast("double").alias("below"))
+        for i in range(SLICES if k == order > 2 else 1):
+            grams = counts[k].where(F.col("slice") == i).drop("slice") if k == order else counts[k]
+            context = grams.groupBy(*before).agg(F.sum("n").alias("all"), F.sum(_discount(d)).alias("freed"))
+            context = scratch.stored(context.select(*before, "all", (F.col("freed") / F.col("all")).cast("float").alias("gamma")), "contexts")
+            # Each join is a stage of its own, so that the files of one are gone when the next begins.
+            held = scratch.stored(grams.join(context, before).select(*_words(k), "n", "all", "gamma"), "held")
+            if k == order:
+                scratch.drop_part(counts[k], "slice", i)
+            seen = below.where(F.pmod(F.xxhash64("w2"), F.lit(SLICES)) == i) if k == order > 2 else below
+            gamma, p = F.col("gamma").cast("double"), F.col("p")
+            kept = held.join(seen, after).withColumn("p", (F.col("n") - _discount(d)) / F.col("all") + gamma * F.col("below"))
+            value = F.log(p) - F.log(gamma) - F.log("below")
+            parts.append(_keyed(context, k - 1, none, F.log(gamma), F.lit(0)))
+            if k == order:
+                tops.append(stored(_keyed(kept, k, value, none, F.col("n")), "top"))
+            else:
+                lower = scratch.stored(kept.select(*_words(k), "n", value.cast("float").alias("value"), p.cast("float").alias("p")), "level")
+                parts.append(_keyed(lower, k, F.col("value"), none, F.col("n")))
+            scratch.drop(held)
         scratch.drop(counts.pop(k))
-        below = lower.select(*[F.col(w).alias(x) for w, x in zip(before, after)], F.col("p").alias("below"))
-        gamma, p = F.col("gamma").cast("double"), F.col("p").cast("double")
-        kept = held.join(below, after).withColumn("p", (F.col("n") - _discount(d)) / F.col("all") + gamma * F.col("below").cast("double"))
-        value = F.log(p) - F.log(gamma) - F.log(F.col("below").cast("double"))
-        parts.append(_keyed(context, k - 1, none, F.log(gamma), F.lit(0)))
-        if k == order:
-            top = stored(_keyed(kept, k, value, none, F.col("n")), "top")
-        else:
-            lower = scratch.stored(kept.select(*_words(k), "n", value.cast("float").alias("value"), p.cast("float").alias("p")), "level")
-            parts.append(_keyed(lower, k, F.col("value"), none, F.col("n")))
-        scratch.drop(held)
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.union(part)
+    rows, top = reduce(DataFrame.union, parts), reduce(DataFrame.union, tops)
     rows = rows.groupBy("key").agg(F.sum("value").cast("float").alias("value"), F.sum("weight").cast("float").alias("weight"),
                                    F.max("n").alias("n"))
-    low = stored(rows, "model")
+    low = reduce(DataFrame.union, [stored(rows.where(_round_of(F.col("key")) == i), "model") for i in range(ROUNDS)])
     scratch.drop()
     # The highest order is no context, so its n-grams need no second row.
     return low.withColumn("top", F.lit(False)).union(top.withColumn("top", F.lit(True))), math.log(spread)
 
 
+def _round_of(key):
+    """The round in which n-grams are looked up, by bits of the hash."""
+    if isinstance(key, np.ndarray):
+        return (key.view(np.uint64) >> np.uint64(32)) % np.uint64(ROUNDS)
+    return F.pmod(F.shiftrightunsigned(key, 32), F.lit(ROUNDS))
+
+
 def _maybe(seen: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """The places of the keys that a bit table does not exclude."""
     at, k = np.arange(len(keys)), keys.view(np.uint64)
@@ -213,8 +226,9 @@ def _most_frequent(model: DataFrame, head: int) -> DataFrame:
     return model.where((F.least("n", F.lit(1 << 16)) > cut) | ((F.least("n", F.lit(1 << 16)) == cut) & part))
 
 
-def _round(docs: DataFrame, model: DataFrame, orders: list[int], unknown: float, head: int, bits: int) -> DataFrame:
-    """doc_id, words, part: the words of each text and the sum of its terms of some orders."""
+def _round(docs: DataFrame, model: DataFrame, orders: list[int], at_round: int, unknown: float, head: int, bits: int) -> DataFrame:
+    """doc_id, words, part: the words of each text and the sum of its terms of some orders in one of the rounds."""
+    model = model.where(_round_of(F.col("key")) == at_round).drop("top")
     with short_shuffles(docs.sparkSession):
         # Eight bits a key, as far as the bound allows: about one unseen n-gram in thirty passes.
         bits = min(bits, max(20, (4 * model.count()).bit_length()))
@@ -232,7 +246,8 @@ def _round(docs: DataFrame, model: DataFrame, orders: list[int], unknown: float,
                 base = np.diff(ptr) * unknown
                 rows, rest, lasts = [], [], []
                 for g, row, last in _grams(h, ptr, orders):
-                    may = _maybe(seen, g, bits)
+                    may = np.flatnonzero(_round_of(g) == at_round)
+                    may = may[_maybe(seen, g[may], bits)]
                     may = may[np.argsort(g[may])]  # a search in order stays in the processor's cache
                     g, row, last = g[may], row[may], last[may]
                     spot = np.searchsorted(keys, g)
@@ -260,21 +275,23 @@ def _round(docs: DataFrame, model: DataFrame, orders: list[int], unknown: float,
         run, f"doc_id {kind}, key long, last boolean, words long, base double")
     value, weight = F.col("value").cast("double"), F.col("weight").cast("double")
     found = F.coalesce(value + F.when(F.col("last"), 0.0).otherwise(weight), F.lit(0.0))
-    return (rows.join(model.select("key", "value", "weight"), "key", "left")
+    made = (rows.join(model.select("key", "value", "weight"), "key", "left")
             .select("doc_id", "words", F.when(F.col("words").isNotNull(), F.col("base")).otherwise(found).alias("part"))
             .groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("part").alias("part")))
+    made = stored(made, "part")
+    shared.destroy()  # the round is on disk: nothing computes it again
+    return made
 
 
 def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER,
                    head: int = HEAD, bits: int = BITS) -> DataFrame:
     """doc_id, words, loglik: the natural log of each text's probability."""
-    parts = [_round(docs, model.where("top").drop("top"), [order], unknown, head, bits)]
-    if order > 1:
-        low = _round(docs, model.where("NOT top").drop("top"), list(range(1, order)), 0.0, head, bits)
-        parts.append(low.withColumn("words", F.lit(0).cast("long")))
-    parts = [stored(part, "part") for part in parts]
-    return (parts[0].union(parts[1]) if order > 1 else parts[0]).groupBy("doc_id").agg(
-        F.sum("words").alias("words"), F.sum("part").alias("loglik"))
+    parts = []
+    for own, orders in ((model.where("top"), [order]), (model.where("NOT top"), list(range(1, order)))):
+        for i in range(ROUNDS if orders else 0):
+            part = _round(docs, own, orders, i, 0.0 if parts else unknown, head, bits)
+            parts.append(part.withColumn("words", F.lit(0).cast("long")) if parts else part)
+    return reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("part").alias("loglik"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs: int | None = None,
