@@ -85,8 +85,8 @@ def _words(k: int, first: int = 1) -> list[str]:
     return [f"w{i}" for i in range(first, first + k)]
 
 
-def _counted(docs: DataFrame, order: int) -> DataFrame:
-    """Counts of the n-grams of the highest order, a column of word hashes for each place.
+def _counted(docs: DataFrame, order: int, only: int | None = None) -> DataFrame:
+    """Counts of the n-grams of the highest order (of one slice), a column of word hashes for each place.
 
     Words repeat where hashes of whole n-grams do not, so shuffles and tables compress."""
     names = _words(order)
@@ -97,7 +97,10 @@ def _counted(docs: DataFrame, order: int) -> DataFrame:
             if top <= 0:
                 continue
             row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[:top]
-            start = np.flatnonzero(ptr[1:][row] - np.arange(top) >= order)
+            inside = ptr[1:][row] - np.arange(top) >= order
+            if only is not None:
+                inside &= _xxhash(h[1 : top + 1], np.uint64(42)).view(np.int64) % SLICES == only
+            start = np.flatnonzero(inside)
             _, first, n = np.unique(tv.chain(h, order)[start], return_index=True, return_counts=True)
             cols = [h[start[first] + i].view(np.int64) for i in range(order)]
             sort = np.lexsort(cols[::-1])
@@ -132,8 +135,11 @@ def _discount(d: list[float]):
 def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     """(key, value, weight, n, top) of every n-gram of the model, and log P(unknown); ``top``: of the highest order."""
     scratch = Scratch(docs.sparkSession)
-    own = F.pmod(F.xxhash64("w2"), F.lit(SLICES)) if order > 2 else F.lit(0)
-    counts = {order: scratch.stored(_counted(docs, order).withColumn("slice", own.cast("int")), "counts", "slice")}
+    text = scratch.stored(docs.select("text"), "text")
+    cuts = range(SLICES) if order > 2 else [None]
+    slices = [scratch.stored(_counted(text, order, i), "counts") for i in cuts]
+    scratch.drop(text)
+    counts = {order: reduce(DataFrame.union, slices)}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct words before
         last = [F.col(w).alias(x) for w, x in zip(_words(k, 2), _words(k))]
         counts[k] = scratch.stored(counts[k + 1].groupBy(*_words(k, 2)).agg(F.count(F.lit(1)).alias("n")).select(*last, "n"), "counts")
@@ -154,15 +160,13 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
         d, _, _ = _discounts(counts[k])
         before, after = _words(k - 1), _words(k - 1, 2)
         below = lower.select(*[F.col(w).alias(x) for w, x in zip(before, after)], F.col("p").cast("double").alias("below"))
-        for i in range(SLICES if k == order > 2 else 1):
-            grams = counts[k].where(F.col("slice") == i).drop("slice") if k == order else counts[k]
+        for i, grams in zip(cuts, slices) if k == order else [(None, counts[k])]:
             context = grams.groupBy(*before).agg(F.sum("n").alias("all"), F.sum(_discount(d)).alias("freed"))
             context = scratch.stored(context.select(*before, "all", (F.col("freed") / F.col("all")).cast("float").alias("gamma")), "contexts")
             # Each join is a stage of its own, so that the files of one are gone when the next begins.
             held = scratch.stored(grams.join(context, before).select(*_words(k), "n", "all", "gamma"), "held")
-            if k == order:
-                scratch.drop_part(counts[k], "slice", i)
-            seen = below.where(F.pmod(F.xxhash64("w2"), F.lit(SLICES)) == i) if k == order > 2 else below
+            scratch.drop(grams)
+            seen = below if i is None else below.where(F.pmod(F.xxhash64("w2"), F.lit(SLICES)) == i)
             gamma, p = F.col("gamma").cast("double"), F.col("p")
             kept = held.join(seen, after).withColumn("p", (F.col("n") - _discount(d)) / F.col("all") + gamma * F.col("below"))
             value = F.log(p) - F.log(gamma) - F.log("below")
@@ -173,7 +177,6 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
                 lower = scratch.stored(kept.select(*_words(k), "n", value.cast("float").alias("value"), p.cast("float").alias("p")), "level")
                 parts.append(_keyed(lower, k, F.col("value"), none, F.col("n")))
             scratch.drop(held)
-        scratch.drop(counts.pop(k))
     rows, top = reduce(DataFrame.union, parts), reduce(DataFrame.union, tops)
     rows = rows.groupBy("key").agg(F.sum("value").cast("float").alias("value"), F.sum("weight").cast("float").alias("weight"),
                                    F.max("n").alias("n"))
@@ -294,6 +297,10 @@ def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int
     return reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("part").alias("loglik"))
 
 
+def _train_hash():
+    return F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30))
+
+
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs: int | None = None,
             quantile: float = QUANTILE, slack: float = SLACK, prior: int = PRIOR_WORDS) -> DataFrame:
     """doc_id, lang, words, perplexity, threshold, kept of each doc_id of ``docs`` (doc_id, text, lang).
@@ -306,11 +313,12 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs:
                .agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
                .where("low = 1 AND high = 1 AND doc_id IS NOT NULL").select("doc_id"))
     ids = stored(columns(docs, "doc_id").join(trusted, "doc_id", "left_semi").distinct().select(
-        "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)).alias("h")), "trusted")
+        "doc_id", _train_hash().alias("h")), "trusted")
     share = TRAIN if train_docs is None else min(TRAIN, train_docs / max(1, ids.count()))
     cut = int((1 << 30) * share)
     taught = ids.where(F.col("h") < cut).select("doc_id")
-    model, unknown = train(docs.join(taught, "doc_id", "left_semi"), order)
+    likely = docs.where(_train_hash() < cut)  # the join moves no text that the hash alone rules out
+    model, unknown = train(likely.join(taught, "doc_id", "left_semi"), order)
 
     scored = log_likelihood(docs, model, unknown, order)
     lang = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"))
