@@ -39,6 +39,21 @@ def short_shuffles(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
+@contextmanager
+def fuller_tasks(spark: SparkSession, size: str = "16m"):
+    """Shuffled partitions are joined up to ``size`` each, not spread over all cores: queries of many short
+    stages start fewer tasks and write fewer files."""
+    wanted = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": size}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, path: str) -> None:
     """Writes ``df`` as Parquet; its shuffle files are dropped as soon as the table is there."""
     with short_shuffles(df.sparkSession):

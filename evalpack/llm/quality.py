@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import Scratch, by_batch, columns, read, short_shuffles, stored
+from .common import Scratch, by_batch, columns, fuller_tasks, read, short_shuffles, stored
 
 ORDER, TRAIN, HEAD, BITS = 3, 0.5, 1 << 19, 28
 QUANTILE, SLACK, PRIOR_WORDS, SLICES, ROUNDS = 0.995, 0.25, 20, 4, 2
@@ -318,9 +318,9 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs:
     cut = int((1 << 30) * share)
     taught = ids.where(F.col("h") < cut).select("doc_id")
     likely = docs.where(_train_hash() < cut)  # the join moves no text that the hash alone rules out
-    model, unknown = train(likely.join(taught, "doc_id", "left_semi"), order)
-
-    scored = log_likelihood(docs, model, unknown, order)
+    with fuller_tasks(docs.sparkSession):
+        model, unknown = train(likely.join(taught, "doc_id", "left_semi"), order)
+        scored = log_likelihood(docs, model, unknown, order)
     lang = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     held = ids.select(F.col("doc_id").alias("held_id"), (F.col("h") >= cut).alias("held"))
     scored = scored.withColumnRenamed("doc_id", "id").join(lang, F.col("id").eqNullSafe(F.col("doc_id"))).drop("id")
