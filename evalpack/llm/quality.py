@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -132,9 +133,16 @@ def _discount(d: list[float]):
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
-    """(key, value, weight, n, top) of every n-gram of the model, and log P(unknown); ``top``: of the highest order."""
-    scratch = Scratch(docs.sparkSession)
+class Model(NamedTuple):
+    """Stored tables (key, value, weight, n) of the n-grams of the highest order and of all others."""
+    top: list[DataFrame]
+    low: list[DataFrame]
+    scratch: Scratch
+
+
+def train(docs: DataFrame, order: int = ORDER) -> tuple[Model, float]:
+    """The model and log P(unknown)."""
+    scratch, kept_for = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     text = scratch.stored(docs.select("text"), "text")
     cuts = range(SLICES) if order > 2 else [None]
     slices = [scratch.stored(_counted(text, order, i), "counts") for i in cuts]
@@ -147,14 +155,16 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     none = F.lit(0.0)
     d, total, types = _discounts(counts[1])
     if not total:
-        return _keyed(counts[1], 1, none, none, F.col("n")).withColumn("top", F.lit(order == 1)), 0.0
+        empty = [kept_for.stored(_keyed(counts[1], 1, none, none, F.col("n")), "model")]
+        scratch.drop()
+        return Model(empty, [], kept_for), 0.0
     spread = counts[1].agg(F.sum(_discount(d))).first()[0] / total / (types + 1)
     lower = scratch.stored(counts[1].withColumn("p", (F.col("n") - _discount(d)) / total + spread), "level")
     first = _keyed(lower, 1, F.log("p") - math.log(spread), none, F.col("n"))
     if order == 1:
-        model = stored(first, "model").withColumn("top", F.lit(True))
+        tops = [kept_for.stored(first, "model")]
         scratch.drop()
-        return model, math.log(spread)
+        return Model(tops, [], kept_for), math.log(spread)
     parts, tops = [first], []
     for k in range(2, order + 1):
         d, _, _ = _discounts(counts[k])
@@ -172,18 +182,16 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
             value = F.log(p) - F.log(gamma) - F.log("below")
             parts.append(_keyed(context, k - 1, none, F.log(gamma), F.lit(0)))
             if k == order:
-                tops.append(stored(_keyed(kept, k, value, none, F.col("n")), "top"))
+                tops.append(kept_for.stored(_keyed(kept, k, value, none, F.col("n")), "top"))
             else:
                 lower = scratch.stored(kept.select(*_words(k), "n", value.cast("float").alias("value"), p.cast("float").alias("p")), "level")
                 parts.append(_keyed(lower, k, F.col("value"), none, F.col("n")))
             scratch.drop(held)
-    rows, top = reduce(DataFrame.union, parts), reduce(DataFrame.union, tops)
-    rows = rows.groupBy("key").agg(F.sum("value").cast("float").alias("value"), F.sum("weight").cast("float").alias("weight"),
-                                   F.max("n").alias("n"))
-    low = reduce(DataFrame.union, [stored(rows.where(_round_of(F.col("key")) == i), "model") for i in range(ROUNDS)])
+    rows = reduce(DataFrame.union, parts).groupBy("key").agg(
+        F.sum("value").cast("float").alias("value"), F.sum("weight").cast("float").alias("weight"), F.max("n").alias("n"))
+    low = [kept_for.stored(rows.where(_round_of(F.col("key")) == i), "model") for i in range(ROUNDS)]
     scratch.drop()
-    # The highest order is no context, so its n-grams need no second row.
-    return low.withColumn("top", F.lit(False)).union(top.withColumn("top", F.lit(True))), math.log(spread)
+    return Model(tops, low, kept_for), math.log(spread)  # the highest order is no context: its n-grams need no second row
 
 
 def _round_of(key):
@@ -231,7 +239,7 @@ def _most_frequent(model: DataFrame, head: int) -> DataFrame:
 
 def _round(docs: DataFrame, model: DataFrame, orders: list[int], at_round: int, unknown: float, head: int, bits: int) -> DataFrame:
     """doc_id, words, part: the words of each text and the sum of its terms of some orders in one of the rounds."""
-    model = model.where(_round_of(F.col("key")) == at_round).drop("top")
+    model = model.where(_round_of(F.col("key")) == at_round)
     with short_shuffles(docs.sparkSession):
         # Eight bits a key, as far as the bound allows: about one unseen n-gram in thirty passes.
         bits = min(bits, max(20, (4 * model.count()).bit_length()))
@@ -286,14 +294,17 @@ def _round(docs: DataFrame, model: DataFrame, orders: list[int], at_round: int,
     return made
 
 
-def log_likelihood(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER,
-                   head: int = HEAD, bits: int = BITS) -> DataFrame:
-    """doc_id, words, loglik: the natural log of each text's probability."""
+def log_likelihood(docs: DataFrame, model: Model, unknown: float, order: int = ORDER,
+                   head: int = HEAD, bits: int = BITS, last: bool = False) -> DataFrame:
+    """doc_id, words, loglik: the natural log of each text's probability. ``last``: the model's tables are
+    deleted once they have been used."""
     parts = []
-    for own, orders in ((model.where("top"), [order]), (model.where("NOT top"), list(range(1, order)))):
-        for i in range(ROUNDS if orders else 0):
-            part = _round(docs, own, orders, i, 0.0 if parts else unknown, head, bits)
+    for tables, orders in ((model.top, [order]), (model.low, list(range(1, order)))):
+        for i in range(ROUNDS if tables else 0):
+            part = _round(docs, reduce(DataFrame.union, tables), orders, i, 0.0 if parts else unknown, head, bits)
             parts.append(part.withColumn("words", F.lit(0).cast("long")) if parts else part)
+        if last and tables:
+            model.scratch.drop(*tables)
     return reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("part").alias("loglik"))
 
 
@@ -320,7 +331,7 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs:
     likely = docs.where(_train_hash() < cut)  # the join moves no text that the hash alone rules out
     with fuller_tasks(docs.sparkSession):
         model, unknown = train(likely.join(taught, "doc_id", "left_semi"), order)
-        scored = log_likelihood(docs, model, unknown, order)
+        scored = log_likelihood(docs, model, unknown, order, last=True)
     lang = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     held = ids.select(F.col("doc_id").alias("held_id"), (F.col("h") >= cut).alias("held"))
     scored = scored.withColumnRenamed("doc_id", "id").join(lang, F.col("id").eqNullSafe(F.col("doc_id"))).drop("id")
