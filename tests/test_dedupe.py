@@ -135,3 +135,40 @@ def test_cosine_candidates_are_few_and_complete(spark):
         firsts = [i for i in range(len(vectors)) if rep[i] == i]
         want = {(i, j) for i in firsts for j in firsts if i < j and cos(vectors[i], vectors[j]) >= t}
         assert {p for p in got if rep[p[1]] == p[1]} == want
+
+
+def test_keep_first_of_a_long_chain(spark):
+    """Each round's plan is that of one round: twelve rounds used to be nested plans of 9**4 copies of the first."""
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(24)], "a long, b long")
+    ids = spark.range(26)
+    kept = dd.keep_first(ids, pairs, ids.select("id", F.col("id").alias("rep")))
+    assert len(kept._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert [r.kept for r in kept.orderBy("id").collect()] == [i % 2 == 0 or i == 25 for i in range(26)]
+
+
+def test_jaccard_candidates_are_few(spark):
+    """Unlike texts of shared frequent words are ruled out before their sets are compared; repeated rows pair as often as the SQL says."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(120)]
+    texts = [" ".join(rng.sample(vocab, 40)) for _ in range(200)]
+    texts += [t.rsplit(" ", 2)[0] + f" z{i}" for i, t in enumerate(texts[:30])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    classes = dd.token_table(df, "id", F.col("text")).select("id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"))
+    prefixes = dd._prefixes(classes, 0.85)
+    left = {(r.a, r.b) for r in dd._sketched(dd._met(prefixes, 0.85), prefixes, 0.85).collect()}
+    assert {(i, 200 + i) for i in range(30)} <= left and len(left) < 100
+    pairs, _ = dd.jaccard_pairs(df.where("id IN (0, 1, 200)").union(df.where("id = 0")), "id", F.col("text"), 0.85)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 200)] * 2
+
+
+def test_cosine_in_few_numbers_per_pair(spark):
+    """Tiles compare blocks; a pair's cosine is the one that ``dot`` sums, whatever the number of tiles."""
+    rng = random.Random(8)
+    vecs = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(70)] + [[rng.gauss(0, 1) for _ in range(3)] for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(vecs)), "id long, v array<double>")
+    units = df.select("id", dd._unit(F.col("v")).alias("u"))
+    a, b = units.select(F.col("id").alias("a"), F.col("u").alias("ua")), units.select(F.col("id").alias("b"), F.col("u").alias("ub"))
+    every = a.join(b, (F.col("a") < F.col("b")) & (F.size("ua") == F.size("ub"))).select("a", "b", dd.dot(F.col("ua"), F.col("ub")).alias("cosine"))
+    want = {(r.a, r.b, r.cosine) for r in every.where("cosine >= 0.3").collect()}
+    for tasks in (1, 40):
+        assert {(r.a, r.b, r.cosine) for r in dd.cosine_pairs(df, "id", "v", 0.3, tasks)[0].collect()} == want
