@@ -153,8 +153,8 @@ def test_jaccard_candidates_are_few(spark):
     texts = [" ".join(rng.sample(vocab, 40)) for _ in range(200)]
     texts += [t.rsplit(" ", 2)[0] + f" z{i}" for i, t in enumerate(texts[:30])]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    classes = dd.token_table(df, "id", F.col("text")).select("id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"))
-    prefixes = dd._prefixes(classes, 0.85)
+    sets = dd.token_table(df, "id", F.col("text")).select("id", "key", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"))
+    prefixes = dd._prefixes(sets, 0.85)
     left = {(r.a, r.b) for r in dd._sketched(dd._met(prefixes, 0.85), prefixes, 0.85).collect()}
     assert {(i, 200 + i) for i in range(30)} <= left and len(left) < 100
     pairs, _ = dd.jaccard_pairs(df.where("id IN (0, 1, 200)").union(df.where("id = 0")), "id", F.col("text"), 0.85)
