@@ -45,3 +45,11 @@ def test_stock_taxonomy(spark):
     got = {(r.slug, r.keyword) for r in ind.keyword_matches(cases, dims.STOCK_TAXONOMY).collect()}
     assert got == {("software", "pull request"), ("ecommerce", "e-commerce"), ("hr", "hr"), ("hr", "policy"), ("legal", "policy")}
     assert keyword_pattern(" ") is None
+
+
+def test_words_are_not_shuffled(spark):
+    """The keyword table is broadcast: only distinct matches are shuffled, not every word of every text."""
+    from evalpack.operators import industry as ind
+    texts = spark.createDataFrame([("p", "payment fraud in banking")], "pack string, text string")
+    plan = ind.matched_keywords(texts, ind.keyword_rows())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

@@ -157,3 +157,19 @@ def test_signal_evidence(spark):
     assert [tuple(c) for c in got["p", "input"].first_cases] == [(0, "field"), (0, "text"), (1, "field")]
     assert [tuple(c) for c in got["p", "split"].first_cases] == [(9, "text")]
     assert got["q", "input"].evidence == [] == got["q", "input"].first_cases and not got["q", "metadata"].present
+
+
+def test_runs_leave_no_tables_behind_but_their_results(spark):
+    """Tables of a run go once nothing reads them; a folder of the caller's stays."""
+    import os
+    from evalpack.session import ensure_checkpoint_dir
+    there = lambda: set(os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:")))
+    before = there()
+    prompts = spark.createDataFrame([(i, "s", "u") for i in range(4)], "slot long, system string, user string")
+    text = F.concat(F.lit('{"caseId": "c'), F.col("slot"), F.lit('", "input": "a b c d '), F.col("slot"), F.lit('"}'))
+    answers = prompts.select("slot", F.lit(1).alias("attempt"), text.alias("text"), F.lit(1).cast("long").alias("prompt_tokens"),
+                             F.lit(1).cast("long").alias("completion_tokens"))
+    run = sy.synthesize(prompts, sy.Spec("x"), "m", sy.landed(answers), dedupe=0.95, max_tokens=100)
+    assert run.cases.count() == 4 and run.failures.count() == 0
+    left = {n.rsplit("-", 1)[0] for n in there() - before}
+    assert "synthesis-cases" in left and not left & {"synthesis", "synthesis-slots", "synthesis-made", "tokens", "prefixes", "met", "needed"}
