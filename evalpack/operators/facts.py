@@ -57,6 +57,8 @@ METRICS = [
     ("diluted_eps", "Diluted EPS", ["EarningsPerShareDiluted"], "USD/shares"),
 ]
 FORM_PERIOD = [("10-K", "annual"), ("10-Q", "quarterly")]
+#: Records of a concept: what is no text becomes the text of its value, but ``val`` keeps its kind.
+RECORDS = "array<struct<val:variant,fy:string,fp:string,form:string,filed:string,end:string,frame:string>>"
 
 
 def metric_dim(spark: SparkSession, metrics=METRICS) -> DataFrame:
@@ -70,27 +72,24 @@ def metric_records(docs: DataFrame, doc_col: str, keys: list[str], metrics=METRI
     (*keys, metric, label, concept, concept_ordinal, unit, used_unit, pos, val, fy, fp, form, filed, end, frame).
 
     Concepts and units are read as maps, which keep the document's order: a concept's records are those of the
-    metric's unit, or else of the first unit that the document names. The records are a VARIANT, exploded
-    laterally; ``val`` is null if it is no number, ``unit`` is the metric's, ``used_unit`` the one read."""
+    metric's unit, or else of the first unit that the document names. The records are a VARIANT, cast to their
+    fields once and exploded by an expression, so that no filter on them is pushed down to parse the JSON again;
+    ``val`` is null if it is no number, ``unit`` is the metric's, ``used_unit`` the one read."""
     spark = docs.sparkSession
     concepts = docs.select(*keys, F.explode(F.from_json(F.col(doc_col), "struct<facts:struct<`us-gaap`:map<string,string>>>")
                                             ["facts"]["us-gaap"]).alias("concept", "body"))
-    known = concepts.join(F.broadcast(metric_dim(spark, metrics)), "concept").withColumn("units", F.get_json_object("body", "$.units"))
-    known = known.withColumn("names", F.json_object_keys("units")).withColumn("by_unit", F.from_json("units", "map<string,variant>"))
-    wanted = F.array_contains("names", F.col("unit")) & ~F.coalesce(F.is_variant_null(F.try_element_at("by_unit", F.col("unit"))), F.lit(True))
-    known = known.withColumn("used_unit", F.when(wanted, F.col("unit")).otherwise(F.get("names", F.lit(0))))
-    known = known.withColumn("records", F.try_element_at("by_unit", F.col("used_unit")))
-    known = known.where(F.schema_of_variant("records").startswith("ARRAY")).select(
-        *keys, "metric", "label", "concept", "concept_ordinal", "unit", "used_unit", "records")
-    each = known.lateralJoin(spark.tvf.variant_explode(F.col("records").outer()).select(F.col("pos"), F.col("value").alias("r"))).drop("records")
-
-    def text(name: str) -> Column:
-        return F.try_variant_get("r", f"$.{name}", "string").alias(name)
-
-    kind = F.schema_of_variant(F.try_variant_get("r", "$.val", "variant"))
-    number = F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("r", "$.val", "double"))
+    known = concepts.join(F.broadcast(metric_dim(spark, metrics)), "concept").withColumn(
+        "by_unit", F.from_json("body", "struct<units:map<string,variant>>")["units"])
+    known = known.withColumn("own", F.try_element_at("by_unit", F.col("unit")))
+    wanted = F.col("own").isNotNull() & ~F.is_variant_null("own")
+    known = known.withColumn("used_unit", F.when(wanted, F.col("unit")).otherwise(F.get(F.map_keys("by_unit"), F.lit(0))))
+    read = F.try_variant_get(F.when(wanted, F.col("own")).otherwise(F.try_element_at("by_unit", F.col("used_unit"))), "$", RECORDS)
+    each = known.select(*keys, "metric", "label", "concept", "concept_ordinal", "unit", "used_unit", F.posexplode(read).alias("pos", "r"))
+
+    kind = F.schema_of_variant("r.val")
+    number = F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("r.val", "$", "double"))
     return each.select(*keys, "metric", "label", "concept", "concept_ordinal", "unit", "used_unit", "pos", number.alias("val"),
-                       F.try_variant_get("r", "$.fy", "string").alias("fy"), *[text(n) for n in ("fp", "form", "filed", "end", "frame")])
+                       *[F.col(f"r.{n}") for n in ("fy", "fp", "form", "filed", "end", "frame")])
 
 
 def usable_records(records: DataFrame) -> DataFrame:
