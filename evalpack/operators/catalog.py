@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions.text import flag
+
 
 def license_risk(license_name: Column, restricted_flag: Column, variant: str) -> Column:
     """Risk level from a license name; ``variant`` is ``hub`` or ``repo``
@@ -34,20 +36,22 @@ def repo_record_kind(text: Column) -> Column:
     written as ASCII classes so every engine agrees (``\\b`` in Java also
     treats accented letters as word characters)."""
     t = F.lower(text)
-    return (F.when(t.rlike(r"(^|[^a-z0-9_])benchmark([^a-z0-9_]|$)"), F.lit("benchmark"))
-            .when(t.rlike(r"(^|[^a-z0-9_])dataset") | t.rlike(r"corpus([^a-z0-9_]|$)"), F.lit("dataset"))
+    # a substring search first: the expressions are tried only on texts that hold the word
+    return (F.when(t.contains("benchmark") & t.rlike(r"(^|[^a-z0-9_])benchmark([^a-z0-9_]|$)"), F.lit("benchmark"))
+            .when((t.contains("dataset") & t.rlike(r"(^|[^a-z0-9_])dataset"))
+                  | (t.contains("corpus") & t.rlike(r"corpus([^a-z0-9_]|$)")), F.lit("dataset"))
             .otherwise(F.lit("repository")))
 
 
 def task_tags(text: Column) -> Column:
     t = F.lower(text)
-    tags = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(tag)) for tag, p in dims.REPO_TASK_RULES]))
+    tags = F.array_compact(F.array(*[F.when(flag(t, p), F.lit(tag)) for tag, p in dims.REPO_TASK_RULES]))
     return F.when(F.size(tags) == 0, F.array(F.lit(dims.REPO_TASK_DEFAULT))).otherwise(tags)
 
 
 def modality_tags(text: Column) -> Column:
     t = F.lower(text)
-    return F.array_compact(F.array(F.lit("text"), *[F.when(t.rlike(p), F.lit(m)) for m, p in dims.MODALITY_RULES]))
+    return F.array_compact(F.array(F.lit("text"), *[F.when(flag(t, p), F.lit(m)) for m, p in dims.MODALITY_RULES]))
 
 
 def tag_values(tags: Column, prefix: str) -> Column:
