@@ -104,12 +104,12 @@ def unpivot_metrics(spark, sf):
         *[F.coalesce(F.col(f"m.{c}"), F.lit("")).alias(c) for c in ("fy", "fp", "form", "filed", "end")])
 
 
-def filing_lists(spark, sf) -> DataFrame:
+def filing_lists(spark, sf, li: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """One filing index per lineitem with parallel arrays (form,
     accession, document, filing date): the line's own filing and, for open
     lines, a follow-up ``8-K``; closed lines add a non-kept ``S-1`` first.
-    Built per row, so no group grows with the data."""
-    li = table(spark, sf, "lineitem")
+    Built per row, so no group grows with the data. ``li``: lineitems with further columns, of which ``also`` are kept."""
+    li = table(spark, sf, "lineitem") if li is None else li
     form = (F.when(F.col("l_returnflag") == "R", "10-K").when(F.col("l_returnflag") == "A", "10-Q")
             .otherwise("DEF 14A"))
     acc = F.when(F.col("l_linenumber") == 3, F.lit("")).otherwise(
@@ -121,7 +121,7 @@ def filing_lists(spark, sf) -> DataFrame:
     accs = F.when(is_open, F.array(acc, F.concat(acc, F.lit("-8")))).otherwise(F.array(F.concat(acc, F.lit("-s")), acc))
     docs = F.when(is_open, F.array(doc, F.lit("event.htm"))).otherwise(F.array(F.lit(""), doc))
     dates = F.array(fdate)  # shorter array: the second filing has no date
-    return li.select("l_orderkey", "l_linenumber", "l_partkey",
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", *also,
                      F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("cik"),
                      forms.alias("form_arr"), accs.alias("acc_arr"), docs.alias("doc_arr"), dates.alias("fdate_arr"))
 
@@ -130,26 +130,48 @@ def _field(name: str):
     return lambda r: r[name]
 
 
-def _filings(spark, sf) -> DataFrame:
-    z = fx.zip_explode(filing_lists(spark, sf), ["l_orderkey", "l_linenumber", "l_partkey", "cik"],
+def _kept_filings(spark, sf, li: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    z = fx.zip_explode(filing_lists(spark, sf, li, also), ["l_orderkey", "l_linenumber", "l_partkey", *also, "cik"],
                        {"form": "form_arr", "accession": "acc_arr", "document": "doc_arr", "filing_date": "fdate_arr"})
     z = z.filter(fx.keep_filing(F.col("form"), F.col("accession"), F.col("document")))
-    return z.select("l_orderkey", "l_linenumber", "l_partkey", "cik", F.col("idx").cast("int").alias("idx"), "form",
-                    "accession", "document",
+    return z.withColumn("idx", F.col("idx").cast("int"))
+
+
+def _told(z: DataFrame, *also: str) -> DataFrame:
+    """Kept filings with their URL and use."""
+    return z.select("l_orderkey", "l_linenumber", "l_partkey", *also, "cik", "idx", "form", "accession", "document",
                     "filing_date", fx.filing_url(F.col("cik"), F.col("accession"), F.col("document")).alias("sec_url"),
                     F.array_join(fx.form_use(F.col("form")), "; ").alias("agent_use"))
 
 
+def _filings(spark, sf) -> DataFrame:
+    return _told(_kept_filings(spark, sf))
+
+
+def _first_filings(spark, sf, n: int) -> DataFrame:
+    """The first ``n`` kept filings of each company (customer) in source order, ``rank`` 1 to ``n``.
+
+    Lineitems meet their orders by the few columns that filings are made of; the strings are made of them
+    behind that shuffle, and the URL only of the filings that are left."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
+                                             "l_shipdate")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    li = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    z = _kept_filings(spark, sf, li, ("o_custkey", "l_suppkey"))
+    # What a filing is ordered by stays; the rest is made again behind the cut, of the line's own columns.
+    narrow = z.select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "accession", "idx", "form", "cik", "document", "filing_date")
+    top = fx.first_n_per_key(narrow, ["o_custkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
+                                                     F.col("accession"), F.col("idx")], n)
+    return _told(top, "o_custkey", "rank")
+
+
 def zip_explode_filings(spark, sf):
     return _filings(spark, sf)
 
 
 def recent_filings(spark, sf):
     """First 10 kept filings per company (customer) in source order."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    f = _filings(spark, sf).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    top = fx.first_n_per_key(f, ["o_custkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
-                                                 F.col("accession"), F.col("idx")], 10)
+    top = _first_filings(spark, sf, 10)
     return top.select("o_custkey", F.col("rank").cast("int").alias("rank"), "l_orderkey", "idx", "form", "sec_url")
 
 
