@@ -157,12 +157,14 @@ def _first_filings(spark, sf, n: int) -> DataFrame:
                                              "l_shipdate")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     li = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    z = _kept_filings(spark, sf, li, ("o_custkey", "l_suppkey"))
-    # What a filing is ordered by stays; the rest is made again behind the cut, of the line's own columns.
-    narrow = z.select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "accession", "idx", "form", "cik", "document", "filing_date")
-    top = fx.first_n_per_key(narrow, ["o_custkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
-                                                     F.col("accession"), F.col("idx")], n)
-    return _told(top, "o_custkey", "rank")
+    # A filing is cut by what it is ordered by, next to its line's own columns; the rest is read again behind the cut.
+    line = ("o_custkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
+    z = _kept_filings(spark, sf, li, line).select("l_orderkey", "l_linenumber", "l_partkey", *line, "accession", "idx")
+    top = fx.first_n_per_key(z, ["o_custkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
+                                                F.col("accession"), F.col("idx")], n).drop("accession")
+    again = filing_lists(spark, sf, top, ("o_custkey", "rank", "idx"))
+    named = {"form": "form_arr", "accession": "acc_arr", "document": "doc_arr", "filing_date": "fdate_arr"}
+    return _told(again.select("*", *[F.get(src, F.col("idx")).alias(name) for name, src in named.items()]), "o_custkey", "rank")
 
 
 def zip_explode_filings(spark, sf):
