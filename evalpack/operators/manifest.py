@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..sources.scratch import Scratch, stored
 from . import discovery
 from . import industry as ind
 from . import plan as pl
@@ -19,10 +20,10 @@ def _signals(prof: DataFrame, cases: DataFrame) -> DataFrame:
     return e.groupBy("pack").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s.dropFields("ordinal")).alias("signals"))
 
 
-def _industries(cases: DataFrame, taxonomy) -> DataFrame:
+def _industries(cases: DataFrame, facts: DataFrame, taxonomy, scratch: Scratch) -> DataFrame:
     """(pack, primary_industry, is_industry_specific, workflow_focus, industry_matches): at most three matches a pack."""
-    matches = ind.keyword_matches(cases, taxonomy)
-    top = ind.industry_top(ind.industry_scores(matches, taxonomy), cases, taxonomy)
+    matches = scratch.stored(ind.keyword_matches(cases, taxonomy), "matches")
+    top = scratch.stored(ind.industry_top(ind.industry_scores(matches, taxonomy), facts, taxonomy), "top")
     hints = ind.taxonomy_dim(cases.sparkSession, taxonomy).select("slug", "workflows")
     full = top.join(discovery.matched_words(matches, taxonomy), ["pack", "slug"], "left").join(hints, "slug", "left")
     entry = F.struct("rank", "slug", "label", F.col("confidence").cast("double").alias("confidence"),
@@ -37,10 +38,16 @@ def _number(name: str) -> Column:
 
 def nested_manifest(cases: DataFrame, taxonomy=dims.STOCK_TAXONOMY, generated_at: str | None = None, url: Column | None = None) -> DataFrame:
     """(pack, manifest struct) of ``cases`` (pack, seq, raw[, license]). A pack's lists are bounded by the rules and by
-    its distinct task types, never by its cases."""
-    prof = pf.profile(cases)
-    full = (prof.join(_industries(cases, taxonomy), "pack").join(_signals(prof, cases), "pack")
-            .join(pf.case_type_lists(cases), "pack", "left"))
+    its distinct task types, never by its cases.
+
+    The cases are read twice, for their facts and for keywords; all other steps read these, and one row a pack is stored."""
+    scratch = Scratch(cases.sparkSession)
+    facts = scratch.stored(pf.case_facts(cases), "facts")
+    prof = scratch.stored(pf.profile(facts), "profile")
+    full = (prof.join(_industries(cases, facts, taxonomy, scratch), "pack").join(_signals(prof, facts), "pack")
+            .join(pf.case_type_lists(facts), "pack", "left"))
+    full = stored(full, "packs")
+    scratch.drop()
     full = pl.plan(full)
     steps = F.transform("steps", lambda s: F.struct(*[s[a].alias(b) for a, b in (
         ("step_id", "id"), ("title", "title"), ("priority", "priority"), ("automatable", "automatable"), ("inputs", "inputs"), ("outputs", "outputs"))]))
