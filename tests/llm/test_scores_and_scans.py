@@ -145,6 +145,23 @@ def test_log_likelihood_is_kneser_neys(spark, order, head):
         assert got[i].loglik == pytest.approx(score((t or "").split()), abs=1e-4)
 
 
+def test_counts_carry_their_contexts_sums_after_one_shuffle(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(2, 30)) for _ in range(30)]
+    counts = Counter(tuple(w[i:i + 3]) for w in map(str.split, texts) for i in range(len(w) - 2))
+    made = [quality._counted(docs(spark, list(enumerate(texts))).select("text"), 3, i) for i in range(quality.SLICES)]
+    assert made[0]._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 0
+    assert made[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = [r for m in made for r in m.collect()]
+    assert sorted(r.n for r in rows) == sorted(counts.values())
+    sums = Counter()
+    for g, n in counts.items():
+        sums[g[:2], "all"] += n
+        sums[g[:2], min(n, 3)] += 1
+    want = sorted((sums[c, "all"], sums[c, 1], sums[c, 2], sums[c, 3]) for c in {g[:2] for g in counts})
+    assert sorted((r["all"], r.ones, r.twos, r.more) for r in rows if r.lead) == want
+
+
 def test_half_of_the_trusted_documents_teach(spark, monkeypatch):
     sizes, train = [], quality.train
     monkeypatch.setattr(quality, "train", lambda d, order: sizes.append(d.count()) or train(d, order))
