@@ -34,11 +34,40 @@ FIELDS = [("id", "id"), ("source", "source"), ("recordKind", "record_kind"), ("t
 def candidates(sources: list[DataFrame]) -> DataFrame:
     """Normalised rows of all sources (``ct.normalize_hub``, ``ct.normalize_repo``) in one table, keyed by source and
     id: the last row of a key wins and keeps the first position; source_order is that of the list."""
+    return with_texts(_candidates(sources))
+
+
+def _candidates(sources: list[DataFrame]) -> DataFrame:
     rows = None
     for i, more in enumerate(sources):
         more = more.withColumn("source_order", F.lit(i))
         rows = more if rows is None else rows.unionByName(more)
-    return ct.dedupe_by_key(rows, ["source", "id"]).drop("last_seq")
+    return ct.dedupe_by_key(texts_once(rows), ["source", "id"]).drop("last_seq")
+
+
+TEXTS = ("search_text", "domain_text")
+
+
+def texts_once(rows: DataFrame) -> DataFrame:
+    """``rows`` with each text held once: a summary that is the raw item's description is left to that, and the texts
+    for search and domains are cut into what stands before and behind the summary they hold. ``with_texts`` undoes it."""
+    said = F.col("summary") == F.try_variant_get("raw", "$.description", "string")
+    rows = rows.withColumn("said", F.coalesce(said, F.lit(False)))
+    for c in TEXTS:
+        at = F.when(F.length("summary") > 0, F.position("summary", c))
+        around = F.struct(F.substr(c, F.lit(1), at - 1).alias("before"), F.substr(c, at + F.length("summary")).alias("behind"))
+        rows = rows.withColumn(f"{c}_around", F.when(at > 0, around))
+        rows = rows.withColumn(c, F.when(F.col(f"{c}_around").isNull(), F.col(c)))
+    return rows.withColumn("summary", F.when(~F.col("said"), F.col("summary")))
+
+
+def with_texts(rows: DataFrame) -> DataFrame:
+    """The texts of ``texts_once`` as they were."""
+    rows = rows.withColumn("summary", F.when(F.col("said"), F.try_variant_get("raw", "$.description", "string")).otherwise(F.col("summary")))
+    for c in TEXTS:
+        around = F.col(f"{c}_around")
+        rows = rows.withColumn(c, F.when(around.isNotNull(), F.concat(around["before"], "summary", around["behind"])).otherwise(F.col(c)))
+    return rows.drop("said", *[f"{c}_around" for c in TEXTS])
 
 
 def whole(rows: DataFrame) -> DataFrame:
@@ -99,20 +128,25 @@ def discover(queries: DataFrame, sources: list[DataFrame], limit: int, taxonomy=
     up, at least one). Returns qid, rank, source, id, candidate (VARIANT), completeness, readiness_level,
     primary_industry, is_industry_specific, industry_matches, plan, and the profile's task_type and missing signals."""
     per_source = max(1, -(-limit // 2)) if len(sources) > 1 else limit
-    known = search.stored(candidates(sources), "discovery-candidates")
-    place = F.struct((-F.coalesce("popularity", F.lit(0))).alias("down"), F.col("position"))
-    index = search.build_index(known.select(F.col("source_order").alias("scope"), F.col("id").alias("doc"),
-                                            place.alias("place"), F.col("search_text").alias("text")))
+    scratch = search.Scratch(queries.sparkSession)
+    # numbered in the order in which they are found: a posting holds the number, no id and no popularity
+    ordered = _candidates(sources).orderBy(-F.coalesce("popularity", F.lit(0)), "position")
+    known = with_texts(scratch.stored(ordered.withColumn("place", F.monotonically_increasing_id()), "discovery-candidates"))
+    known = known.withColumn("doc", F.when(F.col("id").isNotNull(), F.col("place")))  # one without an id is never met
+    built = search.Scratch(queries.sparkSession)
+    index = search.build_index(known.select(F.col("source_order").alias("scope"), "doc", "place", F.col("search_text").alias("text")), built.stored)
     variants = queries.select("qid", F.posexplode(ct.query_variants(F.col("query"))).alias("pos", "variant"))
     variants = variants.withColumn("scope", F.explode(F.array(*map(F.lit, range(len(sources))))))
     hits = search.cascade(variants.select("qid", "scope", (F.col("pos") + 1).alias("k"), "variant"), index, per_source)
-    hits = search.stored(hits.select("qid", F.col("scope").alias("source_order"), F.col("doc").alias("id"), F.col("rank").alias("found_rank")),
-                         "discovery-hits")
-    met = known.join(hits.select("source_order", "id").distinct(), ["source_order", "id"]).withColumn("pack", F.concat_ws(":", "source", "id"))
+    hits = search.stored(hits.select("qid", "doc", F.col("rank").alias("found_rank")), "discovery-hits")
+    built.drop()
+    met = known.join(hits.select("doc").distinct(), "doc").withColumn("pack", F.concat_ws(":", "source", "id"))
+    met = scratch.stored(met, "discovery-found")
     domains = ct.candidate_domains(met.select("pack", F.col("domain_text").alias("cand_industry_text")), taxonomy)
     met = search.stored(whole(met.join(domains, "pack")), "discovery-met")
+    scratch.drop()
     prof = _profiled(met)
-    pairs = hits.join(met, ["source_order", "id"]).join(queries.select("qid", "query"), "qid").withColumnRenamed("pack", "candidate_pack")
+    pairs = hits.join(met, "doc").join(queries.select("qid", "query"), "qid").withColumnRenamed("pack", "candidate_pack")
     pairs = search.stored(pairs.withColumn("pack", F.concat_ws("\x1f", F.col("qid").cast("string"), "candidate_pack")), "discovery-pairs")
     planned = pl.plan(pairs.select("pack", "candidate_pack").join(prof.withColumnRenamed("pack", "candidate_pack"), "candidate_pack")
                       .join(_segmented(pairs, taxonomy), "pack"))

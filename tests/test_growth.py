@@ -1,10 +1,21 @@
 """Steps whose size grows with the tables: what is broadcast, stored and moved."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
 
+from evalpack.operators import catalog as ct
+from evalpack.operators import discovery, search
 from evalpack.operators import synthesis as sy
+from evalpack.session import ensure_checkpoint_dir
+
+HUB = ("seq long, id string, author string, gated boolean, disabled boolean, description string, downloads long, likes long, "
+       "created_at string, last_modified string, tags array<string>")
+
+
+def folder(spark) -> str:
+    return ensure_checkpoint_dir(spark).removeprefix("file:")
 
 
 def started(df) -> str:
@@ -33,3 +44,35 @@ def test_completions_are_not_broadcast(spark, monkeypatch):
     assert {"attempt-1", "attempt-2", "gap-filled"} <= set(plans)
     assert "SortMergeJoin [slot" in plans["gap-filled"] and "BroadcastHashJoin [slot" not in plans["gap-filled"]
     assert not re.search("BroadcastHashJoin.*LeftAnti", plans["attempt-2"])
+
+
+def test_candidates_hold_a_text_once(spark):
+    rows = spark.sql("""SELECT * FROM VALUES
+        (0, 'bank loans', parse_json('{"description": "bank loans"}'), 'id bank loans tag', 'bank loans'),
+        (1, 'other', parse_json('{"description": "bank loans"}'), 'id é other', 'nothing of it'),
+        (2, '', parse_json('{"description": ""}'), 'id', ''), (3, NULL, parse_json('{"description": 5}'), 'id', NULL),
+        (4, '5', parse_json('{"description": 5}'), '5', '55'), (5, 'x', NULL, NULL, 'x') AS t(seq, summary, raw, search_text, domain_text)""")
+    once = discovery.texts_once(rows)
+    first = once.where("seq = 0").first()
+    assert (first.summary, first.search_text, first.domain_text) == (None, None, None) and first.search_text_around == ("id ", " tag")
+    told = [tuple(r) for r in rows.select("seq", "summary", "search_text", "domain_text").orderBy("seq").collect()]
+    assert [tuple(r) for r in discovery.with_texts(once).select("seq", "summary", "search_text", "domain_text").orderBy("seq").collect()] == told
+
+
+def test_a_search_deals_only_postings_that_can_count(spark):
+    # w1 to w200 are in one document each, "a" and "b" in all: the probe asks for "a w7" and must not deal the postings of "b"
+    docs = spark.range(200).select(F.lit(0).alias("scope"), F.col("id").alias("doc"), F.col("id").alias("place"), F.format_string("a b w%d", "id").alias("text"))
+    index = search.build_index(docs)
+    hits = search.probe(spark.createDataFrame([(0, ["a", "w7"], "a w7")], "scope int, tokens array<string>, key string"), index, 5)
+    assert [r.doc for r in hits.collect()] == [7]
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+
+
+def test_discovery_leaves_no_index_behind(spark):
+    hub = ct.normalize_hub(spark.createDataFrame([(0, "acme/loans", "acme", False, False, "bank loan questions", 10, 1, None, None, ["license:mit"]),
+                                                  (1, "acme/more", "acme", False, False, "a bank loan", 10, 1, None, None, [])], HUB))
+    before = set(os.listdir(folder(spark)))
+    found = discovery.discover(spark.createDataFrame([(1, "bank loan")], "qid int, query string"), [hub], 2)
+    assert [r.id for r in found.orderBy("rank").collect()] == ["acme/loans", "acme/more"]
+    left = {re.sub("-[0-9a-f]{32}$", "", x) for x in set(os.listdir(folder(spark))) - before}
+    assert "discovery-pairs" in left and not left & {"search-postings", "search-frequency", "search-candidates", "discovery-candidates"}
