@@ -1,11 +1,13 @@
 """Steps whose size grows with the tables: what is broadcast, stored and moved."""
 
 import os
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from evalpack.operators import catalog as ct
+from evalpack.operators import curate as cu
 from evalpack.operators import discovery, search
 from evalpack.operators import synthesis as sy
 from evalpack.session import ensure_checkpoint_dir
@@ -76,3 +78,21 @@ def test_discovery_leaves_no_index_behind(spark):
     assert [r.id for r in found.orderBy("rank").collect()] == ["acme/loans", "acme/more"]
     left = {re.sub("-[0-9a-f]{32}$", "", x) for x in set(os.listdir(folder(spark))) - before}
     assert "discovery-pairs" in left and not left & {"search-postings", "search-frequency", "search-candidates", "discovery-candidates"}
+
+
+def test_fenced_blocks_are_found_without_a_pattern_of_the_body(spark):
+    rng, parts = random.Random(5), ["```", "`", "json", "JSON", "js", " ", "\n", "{", "}", '{"caseId": "c"}', "é", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(600)] + ["```json\n" + "y" * 100_000 + "\n```", None]
+
+    def plain(text):
+        text = text.strip(" \t\n\x0b\f\r")
+        if block := re.search(r"```(?:json)?\s*([\s\S]*?)```", text, re.I | re.A):
+            text = block[1].strip(" \t\n\x0b\f\r")
+        first, last = text.find("{"), text.rfind("}")
+        return text[first:last + 1] if 0 <= first < last else text
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    want = [(i, None if t is None else plain(t)) for i, t in enumerate(texts)]
+    for body in (cu._with_body(rows, "text").select("id", "_body"), rows.select("id", cu.extract_json_object(F.col("text")))):
+        assert [tuple(r) for r in body.orderBy("id").collect()] == want
+        assert "[\\s\\S]" not in started(body)
