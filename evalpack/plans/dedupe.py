@@ -17,13 +17,13 @@ JACCARD_T = dims.DEDUPE_JACCARD_THRESHOLD
 COSINE_T = 0.40
 
 
-def _jaccard(spark, sf):
+def _jaccard(spark, sf, first_only=True):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return docs, *dd.jaccard_pairs(docs, "doc_id", F.col("text"), JACCARD_T)
+    return docs, *dd.jaccard_pairs(docs, "doc_id", F.col("text"), JACCARD_T, first_only)
 
 
 def jaccard_pairs(spark, sf):
-    _d, pairs, _g = _jaccard(spark, sf)
+    _d, pairs, _g = _jaccard(spark, sf, first_only=False)
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evalpack.operators import catalog as ct
 from evalpack.operators import curate as cu
+from evalpack.operators import dedupe as dd
 from evalpack.operators import discovery, search
 from evalpack.operators import synthesis as sy
 from evalpack.session import ensure_checkpoint_dir
@@ -96,3 +97,43 @@ def test_fenced_blocks_are_found_without_a_pattern_of_the_body(spark):
     for body in (cu._with_body(rows, "text").select("id", "_body"), rows.select("id", cu.extract_json_object(F.col("text")))):
         assert [tuple(r) for r in body.orderBy("id").collect()] == want
         assert "[\\s\\S]" not in started(body)
+
+
+def test_thinning_keeps_the_first_of_near_copies(spark, monkeypatch):
+    rng, words = random.Random(11), [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(6):
+        base = rng.sample(words, 40)
+        for _ in range(25):
+            # copies at distances around the threshold, so that not all are similar to the first
+            texts.append(" ".join(rng.sample(words, (k := rng.randrange(5))) + base[k // 2:] + (base[:1] if rng.random() < 0.2 else [])))
+    texts += ["", "", texts[3], texts[40], "w1", "w2 w1"]
+    rng.shuffle(texts)
+    sets, kept = [set(t.split()) for t in texts], []
+    for i, x in enumerate(sets):
+        if not any(len(x & sets[j]) / len(x | sets[j]) >= 0.85 if x | sets[j] else True for j in kept):
+            kept.append(i)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rounds, thinned = [], dd._thinned
+    monkeypatch.setattr(dd, "CROWD", 3)
+    monkeypatch.setattr(dd, "THINNED", 10 ** 9)
+    monkeypatch.setattr(dd, "_thinned", lambda p, *a: rounds.append((p.count(), (left := thinned(p, *a)).count())) or left)
+    every, _ = dd.jaccard_pairs(rows, "id", F.col("text"), 0.85)
+    assert not rounds
+    pairs, groups = dd.jaccard_pairs(rows, "id", F.col("text"), 0.85, first_only=True)
+    got = dd.keep_first(rows.select("id"), pairs, groups)
+    assert sorted(r.id for r in got.where("kept").collect()) == kept
+    assert rounds[0][1] < rounds[0][0] and pairs.count() < every.count() / 3
+    # ids that come twice are left to all pairs
+    twice = rows.union(rows.where("id < 5"))
+    assert dd.jaccard_pairs(twice, "id", F.col("text"), 0.85, first_only=True)[0].count() == dd.jaccard_pairs(twice, "id", F.col("text"), 0.85)[0].count()
+    assert len(rounds) == 1
+
+
+def test_tokens_are_made_once(spark, monkeypatch):
+    plans, stored = [], dd.Scratch.stored
+    monkeypatch.setattr(dd.Scratch, "stored", lambda self, df, name, *a: plans.append((name, started(df))) or stored(self, df, name, *a))
+    rows = spark.createDataFrame([(1, "a b"), (2, "b a a"), (3, None)], "id long, text string")
+    pairs, groups = dd.jaccard_pairs(rows, "id", F.col("text"), 0.85)
+    assert dict(plans)["tokens"].count("regexp_extract_all") == 1
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 1.0)] and groups.count() == 2
