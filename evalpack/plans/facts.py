@@ -148,8 +148,8 @@ def _filings(spark, sf) -> DataFrame:
     return _told(_kept_filings(spark, sf))
 
 
-def _first_filings(spark, sf, n: int) -> DataFrame:
-    """The first ``n`` kept filings of each company (customer) in source order, ``rank`` 1 to ``n``.
+def _first_filings(spark, sf, n: int, by: tuple[str, ...] = ("accession", "idx")) -> DataFrame:
+    """The first ``n`` kept filings of each company (customer) in source order (of one line, by ``by``), ``rank`` 1 to ``n``.
 
     Lineitems meet their orders by the few columns that filings are made of; the strings are made of them
     behind that shuffle, and the URL only of the filings that are left."""
@@ -161,7 +161,7 @@ def _first_filings(spark, sf, n: int) -> DataFrame:
     line = ("o_custkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
     z = _kept_filings(spark, sf, li, line).select("l_orderkey", "l_linenumber", "l_partkey", *line, "accession", "idx")
     top = fx.first_n_per_key(z, ["o_custkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
-                                                F.col("accession"), F.col("idx")], n).drop("accession")
+                                                *map(F.col, by)], n).drop("accession")
     again = filing_lists(spark, sf, top, ("o_custkey", "rank", "idx"))
     named = {"form": "form_arr", "accession": "acc_arr", "document": "doc_arr", "filing_date": "fdate_arr"}
     return _told(again.select("*", *[F.get(src, F.col("idx")).alias(name) for name, src in named.items()]), "o_custkey", "rank")
@@ -243,24 +243,29 @@ def company_documents(spark, sf) -> DataFrame:
     value is no number. An order holds a handful of lines, so no group grows with the data."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_linestatus", "l_returnflag",
                                              "l_shipdate")
-    concept = F.element_at(F.array(*map(F.lit, CONCEPTS)), (F.col("l_partkey") % len(CONCEPTS) + 1).cast("int"))
-    li = li.withColumn("concept", concept)
-    share = F.when(F.col("concept") == EPS, "/shares").otherwise("")
-    unit = F.concat(F.when(F.col("l_linestatus") == "F", "USD").otherwise("EUR"), share)
-    rest = F.to_json(F.struct(F.year("l_shipdate").alias("fy"), F.concat(F.lit("Q"), F.quarter("l_shipdate").cast("string")).alias("fp"),
-                              F.when(F.col("l_linenumber") % 2 == 1, "10-K").otherwise("10-Q").alias("form"),
-                              F.date_format("l_shipdate", "yyyy-MM-dd").alias("filed"),
-                              F.date_format(F.date_sub(F.to_date("l_shipdate"), F.col("l_linenumber") * 30), "yyyy-MM-dd").alias("end")))
-
-    def record(value) -> F.Column:
-        val = F.when(F.col("l_linenumber") % 6 == 0, F.lit('"n/a"')).otherwise(value.cast("string"))
+
+    def record(x: F.Column, value: F.Column) -> F.Column:
+        rest = F.to_json(F.struct(F.year(x["l_shipdate"]).alias("fy"), F.concat(F.lit("Q"), F.quarter(x["l_shipdate"]).cast("string")).alias("fp"),
+                                  F.when(x["l_linenumber"] % 2 == 1, "10-K").otherwise("10-Q").alias("form"),
+                                  F.date_format(x["l_shipdate"], "yyyy-MM-dd").alias("filed"),
+                                  F.date_format(F.date_sub(F.to_date(x["l_shipdate"]), x["l_linenumber"] * 30), "yyyy-MM-dd").alias("end")))
+        val = F.when(x["l_linenumber"] % 6 == 0, F.lit('"n/a"')).otherwise(value.cast("string"))
         return F.concat(F.lit('{"val":'), val, F.lit(","), F.substr(rest, F.lit(2)))
 
-    here = F.struct(unit.alias("unit"), record(F.col("l_extendedprice")).alias("record"))
-    both = F.when(F.col("l_returnflag") == "R", F.array(F.struct(F.lit("AUD").alias("unit"), record(F.col("l_extendedprice") * 2).alias("record")), here))
-    lines = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_extendedprice", "concept",
-                                             F.coalesce(both, F.array(here)).alias("entries")).alias("line"))
-    docs = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    def told(x: F.Column) -> F.Column:
+        concept = F.element_at(F.array(*map(F.lit, CONCEPTS)), (x["l_partkey"] % len(CONCEPTS) + 1).cast("int"))
+        share = F.when(concept == EPS, "/shares").otherwise("")
+        unit = F.concat(F.when(x["l_linestatus"] == "F", "USD").otherwise("EUR"), share)
+        here = F.struct(unit.alias("unit"), record(x, x["l_extendedprice"]).alias("record"))
+        both = F.when(x["l_returnflag"] == "R", F.array(F.struct(F.lit("AUD").alias("unit"), record(
+            x, x["l_extendedprice"] * 2).alias("record")), here))
+        return F.struct(x["l_linenumber"].alias("l_linenumber"), x["l_partkey"].alias("l_partkey"), x["l_extendedprice"].alias("l_extendedprice"),
+                        concept.alias("concept"), F.coalesce(both, F.array(here)).alias("entries"))
+
+    # an order's lines meet by their own narrow columns and are put into words behind that
+    lines = li.select("l_orderkey", F.struct(*[c for c in li.columns if c != "l_orderkey"]).alias("line"))
+    docs = lines.groupBy("l_orderkey").agg(F.collect_list("line").alias("lines"))
+    docs = docs.withColumn("lines", F.array_sort(F.transform("lines", told)))
     docs = docs.withColumn("e", F.flatten(F.transform("lines", lambda x: F.transform(
         x["entries"], lambda y: F.struct(x["concept"].alias("concept"), y["unit"].alias("unit"), y["record"].alias("record"))))))
 
@@ -295,8 +300,8 @@ def company_metrics(spark, sf):
 
 
 def _snapshots(spark, sf) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    filings = _filings(spark, sf).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # more filings than are shown meet neither their orders nor the other children
+    filings = _first_filings(spark, sf, fx.FILINGS_SHOWN, by=("idx",))
     filing = fx.child_rows(filings, "o_custkey", F.lit("filing"), F.lit("filing"),
                            [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "idx")],
                            F.struct("form", "filing_date", F.col("agent_use").alias("description"), "sec_url"))

@@ -6,13 +6,16 @@ import re
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as e
 from evalpack.operators import catalog as ct
 from evalpack.operators import curate as cu
 from evalpack.operators import dedupe as dd
 from evalpack.operators import discovery, search
 from evalpack.operators import synthesis as sy
+from evalpack.plans import facts
 from evalpack.session import ensure_checkpoint_dir
 
+SMOKE = "/root/testdata/sf0.001"
 HUB = ("seq long, id string, author string, gated boolean, disabled boolean, description string, downloads long, likes long, "
        "created_at string, last_modified string, tags array<string>")
 
@@ -137,3 +140,23 @@ def test_tokens_are_made_once(spark, monkeypatch):
     pairs, groups = dd.jaccard_pairs(rows, "id", F.col("text"), 0.85)
     assert dict(plans)["tokens"].count("regexp_extract_all") == 1
     assert [tuple(r) for r in pairs.collect()] == [(1, 2, 1.0)] and groups.count() == 2
+
+
+def test_snapshots_move_lines_not_their_words(spark):
+    def plan(key: str) -> str:
+        return e.queries()[key](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+
+    documents, snapshot = plan("company_metrics"), plan("company_snapshot")
+    assert "date_format" in documents and "date_format" not in documents[documents.rindex("Aggregate [l_orderkey"):].split("\n", 1)[1]
+    assert 0 < snapshot.index("sec.gov") < snapshot.rindex("Join Inner, (l_orderkey")
+
+
+def test_snapshot_filings_follow_the_source_order(spark, tmp_path):
+    li = spark.sql("""SELECT * FROM VALUES (1L, 1, 5L, 9L, 'R', 'O', 10.0D, DATE'2020-01-02'), (1L, 2, 5L, 9L, 'A', 'F', 10.0D, DATE'2020-01-03'),
+        (2L, 1, 6L, 9L, 'N', 'O', 10.0D, DATE'2020-02-02'), (2L, 3, 6L, 9L, 'N', 'O', 10.0D, DATE'2020-02-02'), (3L, 1, 6L, 9L, 'N', 'O', 1.0D, NULL)
+        AS t(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_extendedprice, l_shipdate)""")
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 7L), (2L, 7L), (3L, 8L) AS t(o_orderkey, o_custkey)").write.parquet(f"{tmp_path}/orders.parquet")
+    first = {(r.o_custkey, r["rank"]): (r.l_orderkey, r.l_linenumber, r.idx, r.form) for r in facts._first_filings(
+        spark, str(tmp_path), 3, by=("idx",)).collect()}
+    assert first == {(7, 1): (1, 1, 0, "10-K"), (7, 2): (1, 1, 1, "8-K"), (7, 3): (1, 2, 1, "10-Q"), (8, 1): (3, 1, 0, "DEF 14A"), (8, 2): (3, 1, 1, "8-K")}
