@@ -253,7 +253,9 @@ def company_documents(spark, sf) -> DataFrame:
         return F.concat(F.lit('{"val":'), val, F.lit(","), F.substr(rest, F.lit(2)))
 
     def told(x: F.Column) -> F.Column:
-        concept = F.element_at(F.array(*map(F.lit, CONCEPTS)), (x["l_partkey"] % len(CONCEPTS) + 1).cast("int"))
+        # a null part picks the last concept
+        concept = F.when(x["l_partkey"].isNull(), CONCEPTS[-1]).otherwise(
+            F.element_at(F.array(*map(F.lit, CONCEPTS)), (x["l_partkey"] % len(CONCEPTS) + 1).cast("int")))
         share = F.when(concept == EPS, "/shares").otherwise("")
         unit = F.concat(F.when(x["l_linestatus"] == "F", "USD").otherwise("EUR"), share)
         here = F.struct(unit.alias("unit"), record(x, x["l_extendedprice"]).alias("record"))

@@ -160,3 +160,12 @@ def test_snapshot_filings_follow_the_source_order(spark, tmp_path):
     first = {(r.o_custkey, r["rank"]): (r.l_orderkey, r.l_linenumber, r.idx, r.form) for r in facts._first_filings(
         spark, str(tmp_path), 3, by=("idx",)).collect()}
     assert first == {(7, 1): (1, 1, 0, "10-K"), (7, 2): (1, 1, 1, "8-K"), (7, 3): (1, 2, 1, "10-Q"), (8, 1): (3, 1, 0, "DEF 14A"), (8, 2): (3, 1, 1, "8-K")}
+
+
+def test_lines_without_a_part_are_written_under_the_last_concept(spark, tmp_path):
+    spark.sql("""SELECT * FROM VALUES (1L, 1, CAST(NULL AS BIGINT), 'N', 'F', 2.5D, DATE'2020-01-02')
+        AS t(l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus, l_extendedprice, l_shipdate)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 7L) AS t(o_orderkey, o_custkey)").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.doc for r in facts.company_documents(spark, str(tmp_path)).collect()] == [
+        '{"facts":{"us-gaap":{"EarningsPerShareDiluted":{"units":{"USD/shares":[{"val":2.5,"fy":2020,"fp":"Q1","form":"10-K","filed":"2020-01-02",'
+        '"end":"2019-12-03"}]}}}}}']
