@@ -148,8 +148,8 @@ def _filings(spark, sf) -> DataFrame:
     return _told(_kept_filings(spark, sf))
 
 
-def _first_filings(spark, sf, n: int, by: tuple[str, ...] = ("accession", "idx")) -> DataFrame:
-    """The first ``n`` kept filings of each company (customer) in source order (of one line, by ``by``), ``rank`` 1 to ``n``.
+def _first_filings(spark, sf, n: int) -> DataFrame:
+    """The first ``n`` kept filings of each company (customer) in source order, ``rank`` 1 to ``n``.
 
     Lineitems meet their orders by the few columns that filings are made of; the strings are made of them
     behind that shuffle, and the URL only of the filings that are left."""
@@ -161,7 +161,7 @@ def _first_filings(spark, sf, n: int, by: tuple[str, ...] = ("accession", "idx")
     line = ("o_custkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
     z = _kept_filings(spark, sf, li, line).select("l_orderkey", "l_linenumber", "l_partkey", *line, "accession", "idx")
     top = fx.first_n_per_key(z, ["o_custkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
-                                                *map(F.col, by)], n).drop("accession")
+                                                F.col("accession"), F.col("idx")], n).drop("accession")
     again = filing_lists(spark, sf, top, ("o_custkey", "rank", "idx"))
     named = {"form": "form_arr", "accession": "acc_arr", "document": "doc_arr", "filing_date": "fdate_arr"}
     return _told(again.select("*", *[F.get(src, F.col("idx")).alias(name) for name, src in named.items()]), "o_custkey", "rank")
@@ -302,8 +302,12 @@ def company_metrics(spark, sf):
 
 
 def _snapshots(spark, sf) -> DataFrame:
-    # more filings than are shown meet neither their orders nor the other children
-    filings = _first_filings(spark, sf, fx.FILINGS_SHOWN, by=("idx",))
+    # lines meet their orders by the columns that filings are made of; the strings are made behind that
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
+                                             "l_shipdate")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    li = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    filings = _told(_kept_filings(spark, sf, li, ("o_custkey",)), "o_custkey")
     filing = fx.child_rows(filings, "o_custkey", F.lit("filing"), F.lit("filing"),
                            [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "idx")],
                            F.struct("form", "filing_date", F.col("agent_use").alias("description"), "sec_url"))
